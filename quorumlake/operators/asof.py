@@ -53,9 +53,7 @@ def dyadic_nodes(lo: Column, hi: Column, levels: int = LEVELS) -> Column:
         b = F.shiftright(hi, k)
         node = lambda x, k=k: F.struct(F.lit(k).alias("level"), x.cast("int").alias("node"))
         odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
-        parts += [F.when((a < b) & odd(a), node(a)), F.when((a < b) & odd(b) & ~(odd(a) & (b - 1 == a)), node(b - 1))]
-        if k == levels:
-            parts.append(F.when((a < b) & ~odd(a), node(a)))
+        parts += [F.when((a < b) & odd(a), node(a)), F.when((a < b) & odd(b), node(b - 1))]
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
