@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.catalog import table
+from quorumlake.llm.mixing import mix
+from quorumlake.llm.packing import fill_containers, unused
+from quorumlake.llm.sizes import token_sizes
 from quorumlake.llm.truncation import find_truncated
+from quorumlake.llm.turns import speaker_turns
+from quorumlake.session import written
 
 
 def _truncated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -22,5 +27,58 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return _truncated(spark, folder)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    captions = table(spark, folder, "statement").filter("feed = 'live_captions'")
+    return speaker_turns(
+        captions.select("id", "document_id", "time", F.col("who_en").alias("who"), F.col("content_en").alias("content"))
+    )
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _turns(spark, folder).select("document_id", "turn_no", F.col("id").alias("statement_id")).distinct()
+
+
+def p3_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per turn: speaker, time of the first fragment, all words in order. A turn is the words of one speaker until
+    the next, gathered only for the output."""
+    parts = _turns(spark, folder).withColumnRenamed("id", "statement_id")
+    return parts.groupBy("document_id", "turn_no", "speaker").agg(
+        F.min("time").alias("started"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("time", "statement_id", "part_no", "words"))), lambda x: x["words"]), " "
+        ).alias("words"),
+    )
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = written(token_sizes(table(spark, folder, "documents"), "doc_id", "text"), "p7-sizes")
+    return fill_containers(sizes, table(spark, folder, "container_spec"))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every text with its container, for each capacity."""
+    return _packed(spark, folder)
+
+
+def p7_unused(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and unused share per capacity."""
+    return unused(_packed(spark, folder))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sizes = token_sizes(table(spark, folder, "documents").filter("source is not null"), "doc_id", "text", "source")
+    return mix(sizes, table(spark, folder, "source_weight"))
+
+
+def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """The selection: text, source, number of uses."""
+    return _mixed(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached shares per source."""
+    return _mixed(spark, folder)[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_turns": p3_turns, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_mixed": p8_mixed, "p8_shares": p8_shares}
 ORACLE: dict[str, str] = {}
