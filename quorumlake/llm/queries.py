@@ -9,8 +9,10 @@ from quorumlake.catalog import table
 from quorumlake.llm.mixing import mix
 from quorumlake.llm.packing import fill_containers, unused
 from quorumlake.llm.sizes import token_sizes
+from quorumlake.llm.quality import text_quality
 from quorumlake.llm.truncation import find_truncated
 from quorumlake.llm.turns import speaker_turns
+from quorumlake.llm.variants import link_variants, variant_pairs
 from quorumlake.session import written
 
 
@@ -80,5 +82,28 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_turns": p3_turns, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_mixed": p8_mixed, "p8_shares": p8_shares}
+def _variants(spark: SparkSession, folder: str) -> DataFrame:
+    witnesses = table(spark, folder, "statement").filter("statement_type = 'witness'")
+    return link_variants(witnesses, key="id", name="who_en", context="who_context_en")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_pairs(_variants(spark, folder))
+
+
+def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed form with its entity and number of links."""
+    return _variants(spark, folder)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality(table(spark, folder, "documents")).filter("form <> 'prose'").select("doc_id", "form")
+
+
+def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """All statistics, the outlier score and the form of every document."""
+    return text_quality(table(spark, folder, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_turns": p3_turns, "p5_found": p5_found, "p5_forms": p5_forms, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_quality": p9_quality}
 ORACLE: dict[str, str] = {}
