@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.catalog import table
+from quorumlake.llm.alignment import aligned
 from quorumlake.llm.mixing import mix
 from quorumlake.llm.packing import fill_containers, unused
 from quorumlake.llm.sizes import token_sizes
@@ -29,6 +30,18 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return _truncated(spark, folder)[1]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    said = table(spark, folder, "statement").select(
+        F.lit("statement").alias("record_kind"), F.col("id").alias("record_id"), F.col("imported_at").alias("version"),
+        F.col("content_en").alias("en"), F.col("content_fr").alias("fr"),
+    )
+    bills = table(spark, folder, "bill_text").select(
+        F.lit("bill_text").alias("record_kind"), F.col("id").alias("record_id"), F.col("created").alias("version"),
+        F.col("text_en").alias("en"), F.col("text_fr").alias("fr"),
+    )
+    return aligned(said.unionByName(bills))
+
+
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
     captions = table(spark, folder, "statement").filter("feed = 'live_captions'")
     return speaker_turns(
@@ -105,5 +118,5 @@ def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return text_quality(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_turns": p3_turns, "p5_found": p5_found, "p5_forms": p5_forms, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_quality": p9_quality}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p5_found": p5_found, "p5_forms": p5_forms, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_quality": p9_quality}
 ORACLE: dict[str, str] = {}

@@ -241,28 +241,43 @@ def _similar(forms: DataFrame) -> DataFrame:
                 w = np.array([w / math.sqrt(norm[g[0]]) * weight[g[0]] / total for _, g, w in cells])
                 rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])
                 keep = int((rest >= limit - 1e-9).sum())
-                out.append((fid, [g for _, g, _ in cells], w.tolist(), keep))
-            yield pd.DataFrame(out, columns=["fid", "g", "w", "keep"])
-
-    sparse = written(vectors.mapInPandas(prefix, "fid long, g array<string>, w array<double>, keep int").join(told.drop("grams"), "fid"), "p5-vectors")
-    index = sparse.select("fid", F.explode(F.slice("g", 1, F.col("keep"))).alias("g"))
-    pairs = index.select(F.col("fid").alias("a"), "g").join(index.select(F.col("fid").alias("b"), "g"), "g").filter("a < b").select("a", "b").distinct()
-    side = lambda s: sparse.select(F.col("fid").alias(s), F.struct("g", "w", "org", "given", "middle", "family", "words", "kind").alias(f"_{s}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def check(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                out.append((fid, [g for _, g, _ in cells], w.tolist(), rest[:keep].tolist()))
+            yield pd.DataFrame(out, columns=["fid", "g", "w", "rest"])
+
+    sparse = written(vectors.mapInPandas(prefix, "fid long, g array<string>, w array<double>, rest array<double>"), "p5-vectors")
+    # From the rarest shared gram on, the cosine is at most the product of the norms that are left there.
+    index = sparse.select("fid", F.explode(F.arrays_zip(F.slice("g", F.lit(1), F.size("rest")).alias("g"), "rest")).alias("i"))
+    index = index.select("fid", "i.g", "i.rest")
+    pairs = (
+        index.select(F.col("fid").alias("a"), "g", F.col("rest").alias("ra"))
+        .join(index.select(F.col("fid").alias("b"), "g", F.col("rest").alias("rb")), "g")
+        .filter((F.col("a") < F.col("b")) & (F.col("ra") * F.col("rb") >= limit - 1e-9))
+        .select("a", "b")
+        .distinct()
+    )
+    # The names are compared first: they are short, and few candidates pass. Only for those the vectors travel.
+    named = told.select("fid", F.struct("org", "given", "middle", "family", "words", "kind").alias("_n"))
+
+    def plausible(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            out = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["_a"], pdf["_b"]):
-                other = dict(zip(y["g"], y["w"]))
-                cos = sum(w * other.get(g, 0.0) for g, w in zip(x["g"], x["w"]))
-                if cos >= limit:
-                    x, y = ({**z, "words": list(z["words"])} for z in (x, y))
-                    if same_witness(x, y):
-                        out.append((a, b, min(1.0, float(cos))))
-            yield pd.DataFrame(out, columns=["a", "b", "cosine"])
-
-    return full.select("a", "b", "_a", "_b").mapInPandas(check, "a long, b long, cosine double")
+            keep = [
+                same_witness({**x, "words": list(x["words"])}, {**y, "words": list(y["words"])}) for x, y in zip(pdf["_x"], pdf["_y"])
+            ]
+            yield pdf.loc[keep, ["a", "b"]]
+
+    close = (
+        pairs.join(named.select(F.col("fid").alias("a"), F.col("_n").alias("_x")), "a")
+        .join(named.select(F.col("fid").alias("b"), F.col("_n").alias("_y")), "b")
+        .select("a", "b", "_x", "_y")
+        .mapInPandas(plausible, "a long, b long")
+    )
+    close = written(close, "p5-close")
+    vector = sparse.select("fid", F.map_from_arrays("g", "w").alias("v"))
+    full = close.join(vector.select(F.col("fid").alias("a"), F.col("v").alias("_x")), "a").join(
+        vector.select(F.col("fid").alias("b"), F.col("v").alias("_y")), "b"
+    )
+    dot = F.expr("aggregate(map_entries(_x), 0D, (s, e) -> s + e.value * coalesce(_y[e.key], 0D))")
+    return full.select("a", "b", F.least(F.lit(1.0), dot).alias("cosine")).filter(F.col("cosine") >= limit - 1e-9)
 
 
 def link_variants(df: DataFrame, *, key: str, name: str, context: str) -> DataFrame:
