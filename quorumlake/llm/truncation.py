@@ -24,6 +24,7 @@ ENDINGS = ("mark", "open", "dangling", "extended", "never", "unknown", "final")
 COMPONENTS, ROUNDS = 4, 60
 #: A length is tried as a limit if that many distinct values have it, and so many times the mean of its neighbours.
 SPIKE_MIN, SPIKE_TIMES = 5, 3.0
+LIMIT_WEIGHT = 3.0
 #: Twice the gain in log likelihood that a limit must bring.
 GAIN = 12.0
 _FITS = "source string, field string, measure string, len int, q double, share double, gain double"
@@ -169,6 +170,8 @@ def _em(table: pd.DataFrame) -> pd.DataFrame:
     q = table["q"].fillna(0).clip(0.02, 0.995).to_numpy()
     group, _ = pd.factorize(table["source"] + "\0" + table["field"])
     rate = np.full(group.max() + 1, 0.01)
+    at, _ = pd.factorize(table["source"] + "\0" + table["field"] + "\0" + table["len"].astype(str))
+    first = q.copy()
     cut = np.array([0.2, 0.2, 0.15, 0.25, 0.1, 0.05, 0.05])
     whole = np.array([1e-4, 1e-3, 1e-3, 5e-3, 5e-3, 0.1, 0.88])
     for _ in range(50):
@@ -179,7 +182,10 @@ def _em(table: pd.DataFrame) -> pd.DataFrame:
         cut, whole = c / c.sum(), w / w.sum()
         # No sign of a cut may become one by drift: their ratios stay on their side of one.
         cut[:4], whole[:4] = np.maximum(cut[:4], 3 * whole[:4]), np.minimum(whole[:4], cut[:4] / 3)
-        cut[5], cut[6] = min(cut[5], 2 * whole[5]), min(cut[6], 0.5 * whole[6])
+        cut[5], cut[6] = min(cut[5], 2 * whole[5]), min(cut[6], 0.1 * whole[6])
+        # The endings on a limit say how far it is one: its share is re-estimated, the fit counting as LIMIT_WEIGHT values.
+        own = np.bincount(at, n * post)[at], np.bincount(at, n)[at]
+        q = np.where(limit, (own[0] + LIMIT_WEIGHT * first) / (own[1] + LIMIT_WEIGHT), q).clip(0.001, 0.995)
         free = ~limit
         size = np.bincount(group[free], n[free], len(rate))
         rate = (np.bincount(group[free], (n * post)[free], len(rate)) + 0.02) / (size + 20)

@@ -99,7 +99,8 @@ def _same_org(a: list[str], ka: str, b: list[str], kb: str) -> float:
             rest.remove(m)
             hit += 1
     for w in list(left):
-        m = next((x for x in rest if _cut(w, x, 2)), None)
+        known = N.DIRECTIONS.values()
+        m = next((x for x in rest if _cut(w, x, 2) and not (w in known and x in known)), None)
         if m is not None:
             left.remove(w)
             rest.remove(m)
