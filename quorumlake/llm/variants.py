@@ -123,9 +123,8 @@ def same_witness(a: dict, b: dict) -> bool:
     if a["org"]:
         if not a["words"] or not b["words"]:
             return False
-        s = _same_org(a["words"], a["kind"], b["words"], b["kind"])
-        long = [w for w in a["words"] if len(w) > 5 and w not in N.DIRECTIONS.values()]
-        return s == 1.0 or s == 0.5 and any(_cut(w, x, 5) for w in long for x in b["words"])
+        own = [[w for w in x["words"] if len(w) > 5 and w not in N.DIRECTIONS.values()] for x in (a, b)]
+        return _same_org(a["words"], a["kind"], b["words"], b["kind"]) > 0 and any(_cut(w, x, 5) or _alike(w, x) for w in own[0] for x in own[1])
     ga, gb, fa, fb = a["given"], b["given"], a["family"], b["family"]
     if not fa or not fb:
         return False
@@ -209,6 +208,28 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads).distinct()
 
 
+def _near_sql(x: str, y: str) -> str:
+    """A bound on `_alike`: a swap of neighbours is two plain edits."""
+    m = f"least(length({x}), length({y}))"
+    return f"(case when {m} >= 7 then levenshtein({x}, {y}, 4) >= 0 when {m} >= 4 then levenshtein({x}, {y}, 2) >= 0 else {x} = {y} end)"
+
+
+def _begins_sql(x: str, y: str) -> str:
+    """A bound on `_cut`."""
+    m = f"least(length({x}), length({y}))"
+    return f"levenshtein(left({x}, {m}), left({y}, {m}), 4) >= 0"
+
+
+_FA, _FB = "replace(family_a, ' ', '')", "replace(family_b, ' ', '')"
+#: What `same_witness` implies, in SQL.
+_MUST = f"""org_a = org_b and case when org_a then
+  (kind_a = '' or kind_b = '' or kind_a = kind_b)
+  and exists(split(words_a, ' '), x -> length(x) > 5 and exists(split(words_b, ' '), y -> length(y) > 5 and {_begins_sql("x", "y")}))
+else
+  (given_a = '' or given_b = '' or least(length(given_a), length(given_b)) = 1 and left(given_a, 1) = left(given_b, 1) or {_near_sql("given_a", "given_b")})
+  and ({_near_sql(_FA, _FB)} or {_begins_sql("family_a", "family_b")} or arrays_overlap(split(family_a, ' '), split(family_b, ' ')))
+end"""
+
 _PARTS = "fid long, org boolean, given string, middle string, family string, words array<string>, kind string"
 
 
@@ -256,22 +277,25 @@ def _similar(forms: DataFrame) -> DataFrame:
         .select("a", "b")
         .distinct()
     )
-    # The names are compared first: they are short, and few candidates pass. Only for those the vectors travel.
-    named = told.select("fid", F.struct("org", "given", "middle", "family", "words", "kind").alias("_n"))
+    # The names are compared first: they are short, and few candidates pass. What any pair of one witness must fulfil is
+    # asked in SQL, the rest of the check in Python. Only then do the vectors travel.
+    flat = told.select("fid", "org", "given", "middle", "family", F.array_join("words", " ").alias("words"), "kind")
+    side = lambda s: flat.select(F.col("fid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in flat.columns if c != "fid"])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.expr(_MUST))
 
     def plausible(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            keep = [
-                same_witness({**x, "words": list(x["words"])}, {**y, "words": list(y["words"])}) for x, y in zip(pdf["_x"], pdf["_y"])
+        def form(pdf: pd.DataFrame, s: str) -> list[dict]:
+            cols = [pdf[f"{c}_{s}"] for c in ("org", "given", "middle", "family", "kind")]
+            return [
+                {"org": o, "given": g, "middle": m, "family": f, "kind": k, "words": w.split()}
+                for o, g, m, f, k, w in zip(*cols, pdf[f"words_{s}"])
             ]
+
+        for pdf in rows:
+            keep = [same_witness(x, y) for x, y in zip(form(pdf, "a"), form(pdf, "b"))]
             yield pdf.loc[keep, ["a", "b"]]
 
-    close = (
-        pairs.join(named.select(F.col("fid").alias("a"), F.col("_n").alias("_x")), "a")
-        .join(named.select(F.col("fid").alias("b"), F.col("_n").alias("_y")), "b")
-        .select("a", "b", "_x", "_y")
-        .mapInPandas(plausible, "a long, b long")
-    )
+    close = near.mapInPandas(plausible, "a long, b long")
     close = written(close, "p5-close")
     vector = sparse.select("fid", F.map_from_arrays("g", "w").alias("v"))
     full = close.join(vector.select(F.col("fid").alias("a"), F.col("v").alias("_x")), "a").join(
@@ -293,14 +317,28 @@ def link_variants(df: DataFrame, *, key: str, name: str, context: str) -> DataFr
     edges = links.join(comp.withColumnRenamed("node", "a"), "a")
     least = LINKAGE
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.r_[pdf["a"].to_numpy(), pdf["b"].to_numpy()])
         at = {v: i for i, v in enumerate(ids)}
         got = average_linkage(len(ids), [(at[a], at[b], s) for a, b, s in zip(pdf["a"], pdf["b"], pdf["cosine"])], least)
         return pd.DataFrame({"fid": ids, "entity": [ids[g] for g in got]})
 
+    def group(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted by component; a component may go on in the next batch."""
+        rest: pd.DataFrame | None = None
+        for pdf in rows:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = pdf["component"] == pdf["component"].iloc[-1]
+            rest = pdf[last]
+            done = [linked(g) for _, g in pdf[~last].groupby("component")]
+            if done:
+                yield pd.concat(done)
+        if rest is not None:
+            yield linked(rest)
+
     # A component is the spellings of a few namesakes: checked links only, never a block of candidates.
-    grouped = edges.groupBy("component").applyInPandas(group, "fid long, entity long")
+    edges = edges.select("component", "a", "b", "cosine").repartition("component").sortWithinPartitions("component")
+    grouped = edges.mapInPandas(group, "fid long, entity long")
     ends = links.select(F.explode(F.array("a", "b")).alias("fid")).groupBy("fid").agg(F.count("*").alias("n_links"))
     out = forms.join(grouped, "fid", "left").join(ends, "fid", "left")
     return out.select("fid", F.col("who").alias(name), F.col("context").alias(context), F.coalesce("entity", "fid").alias("entity"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
