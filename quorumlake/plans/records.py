@@ -8,21 +8,10 @@ from pyspark.sql import functions as F
 from quorumlake.catalog import once, table
 from quorumlake.operators import filters as fl
 from quorumlake.operators import joins, ranking, votes
+from quorumlake.plans.registry import Registry
 
-_SQL: dict[str, str] = {}
-_RUN: dict[str, object] = {}
-
-
-def query(name: str, sql: str):
-    """Registers a query with its SQL."""
-
-    def keep(f):
-        _RUN[name] = f
-        _SQL[name] = sql
-        return f
-
-    return keep
-
+REGISTRY = Registry()
+query = REGISTRY.query
 
 # Repeated rows count once. The SQL names the same relations.
 BASE = """WITH em AS (SELECT DISTINCT * FROM elected_member), pol AS (SELECT DISTINCT * FROM politician),
@@ -559,4 +548,4 @@ def changes(s, d):
     )
 
 
-QUERIES, ORACLE = _RUN, _SQL
+QUERIES, ORACLE = REGISTRY.queries, REGISTRY.sql
