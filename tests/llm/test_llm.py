@@ -70,14 +70,21 @@ def test_truncated_values(spark):
 # --- p2 ----------------------------------------------------------------------------------------------------------------
 
 
-def test_sentences():
-    s = alignment.sentences
-    assert s("One. Two? Three!") == ["One.", "Two?", "Three!"]
-    assert s("<p>A 3.5 b.</p>\n<p>(Division)</p> ") == ["A 3.5 b.", "(Division)"]
-    assert s("1. The Act. (a) Next one.\nHeading\n2 Last.") == ["1. The Act.", "(a) Next one.", "Heading", "2 Last."]
-    assert s("") == s(None) == s("  <br> \n") == []
-    assert alignment.tokens(alignment._one_spelling("13 661 jours, 3,2 %")) == ["13661", "jours", "3.2"]
-    assert alignment.tokens("1 This Act") == ["this", "act"] and alignment.tokens("437 files") == ["437", "files"]
+def test_sentences(spark):
+    cases = {
+        "One. Two? Three!": ["one", "two", "three"],
+        "<p>A big 3.5 b.</p>\n<p>(Division)</p> ": ["a big 3.5 b", "division"],
+        "1. The Act. (a) Next one.\nHeading\n2 Last.": ["the act", "next one", "heading", "last"],
+        "13 661 jours, 3,2 % ?": ["13661 jours 3.2"],
+        "437 files of 1,234,567. Done": ["437 files of 1234567", "done"],
+        "Word.\n\n...\nEnd": ["word", "", "end"],
+        "": [], "  <br> \n": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)) + [(99, None)], "i int, t string")
+    got = {r.i: r.w for r in df.select("i", alignment.sentence_words(F.col("t")).alias("w")).collect()}
+    assert got[99] is None
+    for i, want in enumerate(cases.values()):
+        assert [" ".join(x.split()) for x in got[i].split("\n")] == (want or [""]), i
 
 
 _EN = [a + b for a in ("hou", "riv", "brid", "doc", "schoo", "win", "eng", "farm") for b in ("ser", "min", "tol", "gan", "pes")]
