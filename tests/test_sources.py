@@ -31,7 +31,7 @@ def test_transcripts(spark, tmp_path):
     (tmp_path / "c.xml").write_text("no xml")
     rows = transcripts.transcripts(spark, str(tmp_path)).orderBy("path", "seq").collect()
     good = [r for r in rows if r.error is None]
-    assert len(rows) - len(good) == 2 and [r.id for r in good] == ["a1", "a3", "p6"]
+    assert len(rows) - len(good) == 2 and [r.id for r in good] == ["a1", "a3", "pp6"]
     a, b, c = good
     assert a.date == dt.date(2020, 3, 9) and a.session_id == "43-1" and a.number == "12" and a.time == dt.datetime(2020, 3, 10, 0, 5)
     assert (a.h1, a.h2, a.who, a.who_id) == ("Routine Business", "Harbours", "Hon. Ann Lee (North Bay)", "5")
