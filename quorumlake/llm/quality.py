@@ -42,7 +42,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CLEAN = re.compile(r"[\"'«»“”‘’(\[]*(?:[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿœ]+|[A-ZÀ-ÖØ-ÞŒ]+)(?:['’—–-](?:[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿœ]+|[A-ZÀ-ÖØ-ÞŒ]+))*[\"'«»“”‘’)\]]*[.,;:!?…%]*[\"'»”)]*")
 _NUMBER = re.compile(r"[($€£#]*[-+]?\d[\d.,:/ -]*[%)]*[.,;:!?)]*|[–—-]+|[.,;:!?«»]+")
 _MOJI = re.compile(r"[Ã¢Â€™©¨\x80-\x9f]{2,}")
-_PLAIN = re.compile(r"[\w\s.,;:!?'’\"“”«»()–—%$-]")
+_SYMBOL = re.compile(r"[^\w\s.,;:!?'’\"“”«»()–—%$-]+")
 _BULLET = re.compile(r"(?:[-*•‣▪◦–+]\s+|\[[ xX✓]?\]\s*|[A-Z]-\d+\s+)(?=.*\w)")
 _MARK = re.compile(r"(?:\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][.)]\s+|\([ivx]+\)\s+|§\s*\d+\s+)")
 _LEADER = re.compile(r"(?:\.\s?){4,}\s*\d+\s*$")
@@ -138,11 +138,15 @@ def statistics(text: str, lang: str | None) -> dict:
     words = [w.lower() for w in _WORD.findall(text)]
     known = language(lang, words)
     common = _SETS.get(known) or _SETS["en"] | _SETS["fr"]
-    pieces = [p for w in words for p in re.split(r"['’]", w) if p]
+    pieces: list[str] = []
+    for w in words:
+        if "'" in w or "’" in w:
+            pieces += [p for p in w.replace("’", "'").split("'") if p]
+        else:
+            pieces.append(w)
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    chars = sum(not ch.isspace() for ch in text)
-    plain = len(_PLAIN.findall(text)) - sum(ch.isspace() for ch in text)
-    odd = sum(len(x) for x in _MOJI.findall(text))
+    chars = sum(map(len, raw))
+    symbols = sum(map(len, _SYMBOL.findall(text))) + sum(map(len, _MOJI.findall(text)))
     tops = Counter(words).most_common(3)
     part = shares(text)
     n = len(raw)
@@ -150,7 +154,7 @@ def statistics(text: str, lang: str | None) -> dict:
     return {
         "words": n,
         "mean_word_len": r(sum(map(len, raw)) / n if n else 0),
-        "symbol_ratio": r((chars - plain + odd) / chars if chars else 0),
+        "symbol_ratio": r(symbols / chars if chars else 0),
         "end_punct_share": r(sum(bool(_END.search(x) or x[-1] in ":;") for x in lines) / len(lines) if lines else 0),
         "common_share": r(sum(p in common for p in pieces) / len(pieces) if pieces else 0),
         "clean_share": r(sum(map(_readable, raw)) / n if n else 0),
