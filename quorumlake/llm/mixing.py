@@ -9,8 +9,6 @@ from quorumlake.session import written
 
 #: Buckets of the seeded order in which a source's texts are drawn; only the bucket where the quota ends is ordered row by row.
 BUCKETS = 4096
-#: So often at most the text that fits best is added to what a source still lacks.
-FITTING_ROUNDS = 6
 
 
 def largest_total(tokens: dict[str, int], share: dict[str, float], repeats: dict[str, int]) -> float:
@@ -42,14 +40,32 @@ def water_fill(tokens: dict[str, int], share: dict[str, float], repeats: dict[st
     return goal
 
 
+def _prefix(pool: DataFrame, room: DataFrame, key: str) -> DataFrame:
+    """`pool` with `_in`: 1 where a text lies within its source's room (a row per source) whole, in the seeded order of the
+    texts that fit, 0 for the others that fit, -1 for those that don't."""
+    pool = pool.join(F.broadcast(room), "source", "left").withColumn("_fits", F.coalesce(F.col("n_tokens") <= F.col("room"), F.lit(False)))
+    fit = pool.filter("_fits")
+    per = fit.groupBy("source", "_b", "room").agg(F.sum("n_tokens").alias("_n"))
+    upto = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    # Buckets that end before the room does are in, those that begin after it out; the one between is ordered row by row.
+    per = per.withColumn("_state", F.when(F.col("_before") + F.col("_n") <= F.col("room"), 1).when(F.col("_before") >= F.col("room"), 0).otherwise(2))
+    placed = fit.join(F.broadcast(per.drop("_n", "room")), ["source", "_b"])  # at most sources x BUCKETS rows
+    inside = Window.partitionBy("source", "_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.filter("_state = 2").withColumn("_in", (F.col("_before") + F.sum("n_tokens").over(inside) <= F.col("room")).cast("int"))
+    flat = placed.filter("_state <> 2").withColumn("_in", F.col("_state"))
+    cols = [key, "source", "n_tokens", "_h", "_b", "_in"]
+    return flat.select(cols).unionByName(edge.select(cols)).unionByName(pool.filter("not _fits").withColumn("_in", F.lit(-1)).select(cols))
+
+
 def mix(sizes: DataFrame, weights: DataFrame, *, key: str = "doc_id", total: float | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(selection, report). selection: key, source, copies, n_tokens, the whole and the drawn fractional repetition in one
     count; report: source, target_share, max_repeats, available_tokens, goal_tokens, taken_tokens, reached_share, epochs.
 
     `total` is the number of tokens wanted; None takes the largest at which every source with texts reaches its share (the
     shares of sources without texts are spread over the others in proportion). A source's fraction is drawn in the order of
-    a seeded hash up to the quota, then with the texts that best fit what is left, so its tokens are right but for less than
-    the smallest text left, however skewed the sizes. Sources without a weight (or a null source), texts without tokens and repeats below 1 give nothing. Repeated
+    a seeded hash; texts larger than what is left of the quota are passed over, until none fits, so its tokens are right but
+    for less than the smallest text left, however skewed the sizes. Sources without a weight (or a null source), texts without tokens and repeats below 1 give nothing. Repeated
     weight rows count once. Weights are a setting: one row per source, so they and the sums per source reach the driver."""
     kinds = weights.filter("source is not null and target_share > 0").groupBy("source").agg(
         F.max("target_share").alias("w"), F.max("max_repeats").alias("r")
@@ -74,41 +90,20 @@ def mix(sizes: DataFrame, weights: DataFrame, *, key: str = "doc_id", total: flo
     )
     order = F.xxhash64(F.lit(seed), F.col(key))
     drawn = rows.withColumn("_h", order).withColumn("_b", F.pmod(F.shiftright("_h", 7), F.lit(BUCKETS)).cast("int"))
-    per = drawn.groupBy("source", "_b").agg(F.sum("n_tokens").alias("_n"))
-    upto = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(F.broadcast(plan.select("source", "whole", "part")), "source")
-    # Buckets that end before the quota are in, those that begin after it out; the one between is ordered row by row.
-    per = per.withColumn("_state", F.when(F.col("_before") + F.col("_n") <= F.col("part"), 1).when(F.col("_before") >= F.col("part"), 0).otherwise(2))
-    placed = drawn.join(F.broadcast(per.drop("_n")), ["source", "_b"])  # at most sources x BUCKETS rows
-    inside = Window.partitionBy("source", "_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.filter("_state = 2").withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    # A text is in where it lies within the quota whole; what is left is then filled with the texts that fit it best.
-    edge = edge.withColumn("_in", (F.col("_at") + F.col("n_tokens") <= F.col("part")).cast("int"))
-    flat = placed.filter("_state <> 2").withColumn("_in", F.col("_state"))
-    cols = [key, "source", "n_tokens", "whole", "part", "_in"]
-    got = written(flat.select(cols).unionByName(edge.select(cols)), "p8-drawn")
-    left = {r.source: r.part - r.n for r in got.groupBy("source", "part").agg(F.sum(F.col("_in") * F.col("n_tokens")).alias("n")).collect()}
-    extra: list[tuple] = []
-    for _ in range(FITTING_ROUNDS):
-        open_ = {s: x for s, x in left.items() if x >= max(1.0, 0.0005 * goal[s])}
-        if not open_:
-            break
-        room = spark.createDataFrame(list(open_.items()), "source string, room double")
-        taken = spark.createDataFrame(extra, f"{key} {dict(sizes.dtypes)[key]}, source string")
-        best = (
-            got.filter("_in = 0").join(F.broadcast(room), "source").filter("n_tokens <= room")
-            .join(F.broadcast(taken), [key, "source"], "left_anti")  # rounds x sources rows at most
-            .groupBy("source").agg(F.max(F.struct("n_tokens", key)).alias("b")).collect()
-        )
-        for r in best:
-            extra.append((r.b[key], r.source))
-            left[r.source] -= r.b["n_tokens"]
-        if not best:
-            break
-    more = spark.createDataFrame(extra, f"{key} {dict(sizes.dtypes)[key]}, source string").withColumn("_more", F.lit(1))
-    got = got.join(F.broadcast(more), [key, "source"], "left").withColumn(
-        "copies", F.col("whole") + F.col("_in") + F.coalesce("_more", F.lit(0))
-    )
+    pool = drawn.select(key, "source", "n_tokens", "_h", "_b")
+    room = {r.source: r.part for r in plan.collect()}
+    settled: list[DataFrame] = []
+    while room:
+        pool = written(_prefix(pool, spark.createDataFrame(list(room.items()), "source string, room double"), key), "p8-drawn")
+        settled.append(pool.filter("_in <> 0").select(key, "source", "n_tokens", "_in"))
+        got = {r.source: r.n for r in pool.filter("_in = 1").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+        # Where nothing was taken no text fits any more; of every other source each round takes a text at least.
+        room = {s: room[s] - n for s, n in got.items()}
+        pool = pool.filter("_in = 0").drop("_in")
+    got = rows.select(key, "source", "n_tokens", F.lit(-1).alias("_in")).limit(0)
+    for part in settled:
+        got = got.unionByName(part)
+    got = got.join(F.broadcast(plan.select("source", "whole")), "source").withColumn("copies", F.col("whole") + (F.col("_in") == 1).cast("int"))
     selection = got.filter("copies > 0").select(key, "source", "copies", "n_tokens")
     sums = selection.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("taken_tokens"))
     report = plan.join(sums, "source", "left").na.fill(0, ["taken_tokens"])

@@ -350,6 +350,17 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), w)[0].count() == 0 and mixing.mix(df, w.limit(0))[0].count() == 0
 
 
+def test_mix_passes_over_large_texts(spark):
+    """One text of each source is larger than its goal; the others reach it, wherever the large one stands in the order."""
+    docs = [(100 * s + i, f"s{s}", 1000 if i == 0 else 10) for s in range(8) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    w = spark.createDataFrame([(f"s{s}", 0.125, 1) for s in range(8)], "source string, target_share double, max_repeats int")
+    sel, rep = mixing.mix(df, w, total=8 * 905.0)
+    assert {r.source: r.taken_tokens for r in rep.collect()} == {f"s{s}": 900 for s in range(8)}
+    got = sel.toPandas()
+    assert set(got.copies) == {1} and got.doc_id.is_unique and set(got.n_tokens) == {10}
+
+
 # --- p9 ----------------------------------------------------------------------------------------------------------------
 
 
