@@ -2,21 +2,24 @@
 
 `text_statistics` computes the statistics in one pass over whole texts, in Arrow batches. `tail_probabilities` gives each
 value its exact rank within the language: equal values are first counted, the distinct values are sorted by range
-partitioning, and the sums of the partitions before give each partition its offset. The outlier score of a document adds
-the logarithms of the tail probabilities in the direction in which unreadable text lies. The form comes from what the lines
+partitioning, and the sums of the partitions before give each partition its offset. Distinct texts are ranked, so that a
+text isn't taken for usual because it is repeated. The outlier score of a document adds the logarithms of the tail
+probabilities in the direction in which unreadable text lies; the bar is lower in small languages, where no score can be
+high. The form comes from what the lines
 of the text are (items, rows of cells, sentences, unreadable), by characters; the score decides where the lines read like
 words but the text like none.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.session import written
@@ -164,6 +167,12 @@ def statistics(text: str, lang: str | None) -> dict:
     }
 
 
+def bar(n: Column) -> Column:
+    """The score that stands out among n distinct texts: SCORE_MIN, or less where a text that is the first in two statistics
+    can't reach it (n of 33 and fewer)."""
+    return F.round(F.least(F.lit(SCORE_MIN), 2 * F.log(n)), 6)
+
+
 _STATS = (
     "words long, mean_word_len double, symbol_ratio double, end_punct_share double, common_share double, clean_share double, "
     "top_share double, lang_group string, share_p double, share_l double, share_t double, share_j double"
@@ -171,18 +180,20 @@ _STATS = (
 
 
 def text_statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """key and the statistics of each text; null counts as empty, and an empty text has all statistics 0."""
+    """key, the statistics of each text and `_text`, which is equal for equal texts of one language; null counts as empty, and
+    an empty text has all statistics 0."""
     kind = dict(df.dtypes)[key]
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             got = [statistics(t or "", la) for t, la in zip(pdf["_text"], pdf["_lang"])]
             out = pd.DataFrame(got, columns=[c.split()[0] for c in _STATS.split(", ")])
+            out["_text"] = [f"{g['lang_group']}:{hashlib.md5((t or '').encode('utf-8', 'surrogatepass')).hexdigest()}" for g, t in zip(got, pdf["_text"])]
             out.insert(0, key, pdf[key].to_numpy())
             yield out
 
     slim = df.select(key, F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    return slim.mapInPandas(run, f"{key} {kind}, {_STATS}")
+    return slim.mapInPandas(run, f"{key} {kind}, {_STATS}, _text string")
 
 
 def tail_probabilities(stats: DataFrame, key: str, group: str, names: list[str]) -> DataFrame:
@@ -216,20 +227,26 @@ def text_quality(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang
     The score is the sum over the statistics of -ln of the tail probability on the side of SIDES. An empty or null text is
     junk: there is nothing to read. Keys should be unique; rows with a key of their own are judged by themselves."""
     stats = written(text_statistics(df, key, text, lang), "p9-stats")
-    tails = tail_probabilities(stats, key, "lang_group", list(SIDES))
+    # Equal texts of a language have equal statistics: they are ranked as one.
+    texts = stats.select("_text", "lang_group", *SIDES).distinct()
+    tails = tail_probabilities(texts, "_text", "lang_group", list(SIDES))
     sided = F.when(F.col("stat").isin([s for s, d in SIDES.items() if d > 0]), F.col("high")).otherwise(F.col("low"))
-    scores = tails.groupBy(key).agg(F.sum(-F.log(sided)).alias("outlier_score"))
-    scored = stats.join(scores, key, "left").withColumn("outlier_score", F.round(F.coalesce("outlier_score", F.lit(0.0)), 6))
+    scores = tails.groupBy("_text").agg(F.sum(-F.log(sided)).alias("outlier_score"))
+    scored = stats.join(scores, "_text", "left").withColumn("outlier_score", F.round(F.coalesce("outlier_score", F.lit(0.0)), 6))
+    bars = texts.groupBy("lang_group").agg(bar(F.count("*")).alias("_bar"))
+    scored = scored.join(F.broadcast(bars), "lang_group").select(key, *[c.split()[0] for c in _STATS.split(", ")], "outlier_score", "_bar")
     top = F.greatest("share_p", "share_l", "share_t", "share_j")
-    outlying = F.col("outlier_score") >= SCORE_MIN
+    outlying = F.col("outlier_score") >= F.col("_bar")
+    # Without a list of the language's common words a low share of them tells nothing by itself, so the full bar stays.
+    strange = F.when(F.col("lang_group").isin(list(COMMON)), outlying).otherwise(F.col("outlier_score") >= SCORE_MIN)
     form = (
         F.when(F.col("words") == 0, "junk")
         .when(F.col("share_j") == top, "junk")
         .when((F.col("share_t") == top), "table")
         .when((F.col("clean_share") < 0.5) & outlying, "junk")
         .when((F.col("top_share") > 0.3) & (F.col("words") > 8) & outlying, "junk")
-        .when((F.col("share_p") == top) & (F.col("common_share") < COMMON_MIN) & outlying, "junk")
+        .when((F.col("share_p") == top) & (F.col("common_share") < COMMON_MIN) & strange, "junk")
         .when(F.col("share_l") == top, "list")
         .otherwise("prose")
     )
-    return scored.withColumn("form", form)
+    return scored.withColumn("form", form).drop("_bar")

@@ -393,3 +393,16 @@ def test_ranks_and_quality(spark):
     form = {r.doc_id: r.form for r in out.collect()}
     assert len(form) == 306 and form[5] == form[1005] == "prose" and form[1000] == form[1001] == form[1002] == "junk" and form[1003] == "table"
     assert quality.text_quality(out.select("doc_id", F.lit("").alias("text"), F.lit("").alias("lang")).limit(0)).count() == 0
+
+
+def test_copies_and_small_languages_are_judged_as_one_text_of_many(spark):
+    prose = "The committee heard {} witnesses in {}. It was late, and nobody had read the report that we sent to them."
+    junk = "Xelqar vontrip zumbed aklorin drevast quomple tindrax belvoor snarquil ophtern.\n" * 3
+    once = [(i, prose.format(i, "May" if i % 2 else "the old house of June"), "en") for i in range(200)] + [(1000, junk, "en")]
+    often = once + [(1001 + i, junk, "en") for i in range(150)]  # more than a third of the language
+    few = [(2000, junk, "fr"), (2001, "Le comité a entendu les témoins de la ville. Il est tard, et nous avons lu le rapport.", "fr")]
+    lone = [(3000, junk, "en")]
+    german = [(4000, "Der Ausschuss hörte gestern neun Zeugen. Niemand kannte den Bericht.", "de")]
+    for texts in (once, often, once + few, lone, german):
+        form = {r.doc_id: r.form for r in quality.text_quality(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()}
+        assert form == {i: "junk" if t == junk else "prose" for i, t, _ in texts}
