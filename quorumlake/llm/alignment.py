@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quorumlake.session import written
 
 #: Iterations; least probability kept while training and in the table used; a score below ACCEPT is no translation.
-ITERATIONS, PRUNE, KEEP, ACCEPT = 3, 0.003, 0.08, 0.42
+ITERATIONS, PRUNE, KEEP, ACCEPT = 5, 0.003, 0.05, 0.42
 #: A word that occurs in fewer training pairs is no part of the table: it can only match
 #: the very same word on the other side, as names and figures do.
 LEAST = 3
@@ -179,7 +179,7 @@ class Lexicon:
 #: Least score of a pair of two sentences left over, wherever they stand.
 CROSSING = 0.36
 #: A pair covered so far in both directions needs no comparison with others.
-SURE = 0.58
+SURE = 0.62
 #: Weight of a figure or a word without translations; words of less than STOP (in more than a fifth of all pairs) tell
 #: nothing apart and count for nothing.
 UNKNOWN, STOP = 5.0, 1.6

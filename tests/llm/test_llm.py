@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,15 @@ def test_alignment_with_omission_merge_and_order(spark):
     assert alignment.aligned(df.limit(0)).count() == 0
 
 
+def test_lexicon_keeps_rare_translations():
+    table = pd.DataFrame([("bank", "rive", 0.06, 0.0), ("bank", "caisse", 0.04, 0.0)], columns=["e", "f", "pf", "pe"])
+    weights = pd.DataFrame([("e", "bank", 5.0)], columns=["s", "w", "x"])
+    lex = alignment.Lexicon(table, weights)
+    assert lex.shown({"bank"}, {"rive"}, "e") == pytest.approx(0.2) and lex.shown({"bank"}, {"caisse"}, "e") == 0
+    assert not lex.sure({"u", "v", "w", "x", "y"}, {"u", "v", "w", "z", "t"})  # 0.6 in both directions is searched
+    assert alignment.ITERATIONS == 5
+
+
 # --- p3 ----------------------------------------------------------------------------------------------------------------
 
 
