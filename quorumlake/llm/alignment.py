@@ -26,8 +26,6 @@ ITERATIONS, PRUNE, KEEP, ACCEPT = 5, 0.003, 0.05, 0.42
 #: A word that occurs in fewer training pairs is no part of the table: it can only match
 #: the very same word on the other side, as names and figures do.
 LEAST = 3
-#: Bound of the table that every task holds: entries per word follow from KEEP, words from LEAST; beyond it LEAST rises.
-TABLE_ROWS = 4_000_000
 
 # The rule for sentences and words, as patterns for Spark: they are applied to whole texts in generated code. A figure is
 # written alike in both languages; tags and line breaks end a sentence, and so do . ? ! before white space; a number or
@@ -346,13 +344,8 @@ def train_lexicon(pairs: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     ).filter("o.w <> ''").groupBy("o.s", "o.w").agg(F.sum("n").alias("n"))
     occ = written(occ, "p2-words")
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # The words in the table. The bound of what every task holds is kept by asking for more frequent words, if need be.
-    least = LEAST
-    while True:
-        known = occ.filter(F.col("n") >= least)
-        if known.count() * max(1, int(1 / KEEP)) <= TABLE_ROWS or least > 1 << 30:
-            break
-        least *= 2
+    # The words in the table, the same however large the rest of the input is: every task holds at most 2 / KEEP entries of each.
+    known = occ.filter(F.col("n") >= LEAST)
     scale = F.log(F.lit(float(max(total, 2))) / F.col("n"))
     weights = known.select("s", "w", F.least(F.lit(UNKNOWN), F.greatest(F.lit(0.2), scale)).alias("x")).orderBy("s", "w").toPandas()
     # Words that count for nothing aren't trained either.

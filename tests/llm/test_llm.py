@@ -134,6 +134,14 @@ def test_lexicon_keeps_rare_translations():
     assert alignment.ITERATIONS == 5
 
 
+def test_lexicon_keeps_words_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "TABLE_ROWS", 100, raising=False)  # a bound that 120 words are far beyond
+    pairs = [(f"e{chr(97 + i % 26)}{i} same", f"f{chr(97 + i % 26)}{i} autre", 3) for i in range(60)]
+    table, weights = alignment.train_lexicon(spark.createDataFrame(pairs, "en string, fr string, n long"))
+    assert {(s, w) for s, w in zip(weights["s"], weights["w"])} >= {("e", p[0].split()[0]) for p in pairs} | {("f", p[1].split()[0]) for p in pairs}
+    assert set(zip(table["e"], table["f"])) == {(p[0].split()[0], p[1].split()[0]) for p in pairs}
+
+
 # --- p3 ----------------------------------------------------------------------------------------------------------------
 
 
