@@ -100,7 +100,7 @@ def home(s, d):
 
 @query("j4_bridge", BASE + ", br AS (SELECT DISTINCT politician_id, riding_id FROM em) SELECT st.id, br.riding_id FROM st JOIN br ON br.politician_id = st.politician_id WHERE br.riding_id % 10 = 3")
 def bridge(s, d):
-    br = members(s, d).filter("riding_id % 10 = 3").select("politician_id", "riding_id").distinct()
+    br = members(s, d).select("politician_id", "riding_id").distinct()
     return statements(s, d, "politician_id").join(br, "politician_id").select("id", "riding_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import dates, text
 from quorumlake.operators import debates, filters, joins, language, ranking, runs, search, votes
+from quorumlake.plans import more
 from quorumlake.streaming import jobs
 
 
@@ -136,3 +137,12 @@ def test_entry_without_llm():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert callable(e.entry)
+
+
+def test_bridge_joins_every_riding(spark, tmp_path):
+    held = [(1, 10, 3), (2, 10, 4), (3, 10, 4), (4, 20, 13), (4, 20, 13), (5, 30, 27), (6, None, 5)]
+    spark.createDataFrame(held, "id int, politician_id int, riding_id int").write.parquet(f"{tmp_path}/elected_member.parquet")
+    said = [(1, 1, 10), (2, 1, 20), (2, 1, 20), (3, 1, 30), (4, 1, 40), (5, 1, None)]
+    spark.createDataFrame(said, "id int, imported_at int, politician_id int").write.parquet(f"{tmp_path}/statement.parquet")
+    got = sorted((r.id, r.riding_id) for r in more.bridge(spark, str(tmp_path)).collect())
+    assert got == [(1, 3), (1, 4), (2, 13), (3, 27)]
