@@ -123,8 +123,10 @@ def same_witness(a: dict, b: dict) -> bool:
     if a["org"]:
         if not a["words"] or not b["words"]:
             return False
-        own = [[w for w in x["words"] if len(w) > 5 and w not in N.DIRECTIONS.values()] for x in (a, b)]
-        return _same_org(a["words"], a["kind"], b["words"], b["kind"]) > 0 and any(_cut(w, x, 5) or _alike(w, x) for w in own[0] for x in own[1])
+        own = [[w for w in x["words"] if w not in N.DIRECTIONS.values()] for x in (a, b)]
+        return _same_org(a["words"], a["kind"], b["words"], b["kind"]) > 0 and any(
+            w == x or len(w) > 5 and len(x) > 5 and (_cut(w, x, 5) or _alike(w, x)) for w in own[0] for x in own[1]
+        )
     ga, gb, fa, fb = a["given"], b["given"], a["family"], b["family"]
     if not fa or not fb:
         return False
@@ -224,7 +226,7 @@ _FA, _FB = "replace(family_a, ' ', '')", "replace(family_b, ' ', '')"
 #: What `same_witness` implies, in SQL.
 _MUST = f"""org_a = org_b and case when org_a then
   (kind_a = '' or kind_b = '' or kind_a = kind_b)
-  and exists(split(words_a, ' '), x -> length(x) > 5 and exists(split(words_b, ' '), y -> length(y) > 5 and {_begins_sql("x", "y")}))
+  and exists(split(words_a, ' '), x -> exists(split(words_b, ' '), y -> x = y or length(x) > 5 and length(y) > 5 and {_begins_sql("x", "y")}))
 else
   (given_a = '' or given_b = '' or least(length(given_a), length(given_b)) = 1 and left(given_a, 1) = left(given_b, 1) or {_near_sql("given_a", "given_b")})
   and ({_near_sql(_FA, _FB)} or {_begins_sql("family_a", "family_b")} or arrays_overlap(split(family_a, ' '), split(family_b, ' ')))

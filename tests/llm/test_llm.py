@@ -283,6 +283,12 @@ def test_variants(spark):
     assert variants.link_variants(df.limit(0), key="id", name="who", context="ctx").count() == 0
 
 
+def test_organisations_of_short_words(spark):
+    forms = [(1, "Dairy Board", ""), (2, "The DAIRY Board", ""), (3, "Steel Council", ""), (4, "Steel Coun.", ""), (5, "Steel Board", ""), (6, "Dairy Council", "")]
+    linked = variants.link_variants(spark.createDataFrame(forms, "id long, who string, ctx string"), key="id", name="who", context="ctx")
+    assert sorted((r.id_a, r.id_b) for r in variants.variant_pairs(linked).collect()) == [(1, 2), (3, 4)]
+
+
 # --- p7, p8 ------------------------------------------------------------------------------------------------------------
 
 
