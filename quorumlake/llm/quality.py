@@ -1,30 +1,28 @@
 """Text statistics per document, outlier scores and the form of a text (problem 9).
 
-`text_statistics` computes the statistics in one pass over whole texts, in Arrow batches. `tail_probabilities` gives each
-value its exact rank within the language: equal values are first counted, the distinct values are sorted by range
-partitioning, and the sums of the partitions before give each partition its offset. Distinct texts are ranked, so that a
-text isn't taken for usual because it is repeated. The outlier score of a document adds the logarithms of the tail
-probabilities in the direction in which unreadable text lies; the bar is lower in small languages, where no score can be
-high. The form comes from what the lines
-of the text are (items, rows of cells, sentences, unreadable), by characters; the score decides where the lines read like
-words but the text like none.
+`text_statistics` computes the statistics of whole texts as Column expressions, so no text leaves the JVM.
+`tail_probabilities` gives each value its exact rank within the language: equal values are first counted, the distinct
+values are sorted by range partitioning, and the sums of the partitions before give each partition its offset. Distinct
+texts are ranked, so that a text isn't taken for usual because it is repeated; a language of few texts is ranked within
+the whole corpus.
+
+Each form has the statistics whose tails it lies in (`SIGNS`). A list or a table must lie in all its tails, so its outlier
+score is three times the least -ln tail probability; unreadable text comes in kinds, so its score is the sum of the three
+largest. The scores choose: a text that none sets apart is prose. An exact check follows, since in a corpus without a form
+the most unusual prose has its ranks: a list or table must be what makes up most of the text (`MOST` of its characters),
+and junk mustn't read as sentences do (`READS`). What isn't rare in its language is no outlier: a form that a share f of
+the distinct texts of a language has scores 3 ln(1/f), so a list or table is found while f is below about 0.3, junk while
+each of its kinds is below about 0.13.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.session import written
 
-# The most common function words of English and French.
+# The most common function words of English and French; elided ones without the apostrophe.
 COMMON = {
     "en": """the of and to a in is that for on with as by at this it from be are was were has have had will would not or an we our
         i my you your they their his her he she its which who what when where how there but no all more than may shall can could
@@ -34,173 +32,119 @@ COMMON = {
         c cette ces son sa ses leur leurs il elle ils elles nous vous je j on mon ma mes notre nos votre vos avec sans plus ou où
         mais si comme dont y ont avait sera seront peut quand avant après entre même tout tous toute toutes lui""",
 }
-_SETS = {k: frozenset(v.split()) for k, v in COMMON.items()}
-
-#: Statistic -> on which side unreadable text lies (1: large values, -1: small ones).
-SIDES = {"symbol_ratio": 1, "common_share": -1, "clean_share": -1, "top_share": 1, "mean_word_len": 1, "end_punct_share": -1}
-#: Below this share of common words, and above this outlier score, words in a row are no language.
-COMMON_MIN, SCORE_MIN = 0.13, 7.0
-
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_CLEAN = re.compile(r"[\"'«»“”‘’(\[]*(?:[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿœ]+|[A-ZÀ-ÖØ-ÞŒ]+)(?:['’—–-](?:[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿœ]+|[A-ZÀ-ÖØ-ÞŒ]+))*[\"'«»“”‘’)\]]*[.,;:!?…%]*[\"'»”)]*")
-_NUMBER = re.compile(r"[($€£#]*[-+]?\d[\d.,:/ -]*[%)]*[.,;:!?)]*|[–—-]+|[.,;:!?«»]+")
-_MOJI = re.compile(r"[Ã¢Â€™©¨\x80-\x9f]{2,}")
-_SYMBOL = re.compile(r"[^\w\s.,;:!?'’\"“”«»()–—%$-]+")
-_BULLET = re.compile(r"(?:[-*•‣▪◦–+]\s+|\[[ xX✓]?\]\s*|[A-Z]-\d+\s+)(?=.*\w)")
-_MARK = re.compile(r"(?:\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][.)]\s+|\([ivx]+\)\s+|§\s*\d+\s+)")
-_LEADER = re.compile(r"(?:\.\s?){4,}\s*\d+\s*$")
-_CELL = re.compile(r"\s*\t\s*|\s*\|\s*|;|,(?=\S)|,(?=\s*$)|\s{2,}")
-_VALUE = re.compile(r"[-+]?[\d.,   ]+\s?%?|n/?a|[–—-]+|[YN]|", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&[a-z]+;|\{\{|\}\}")
-_END = re.compile(r"[.!?…][\"'»”)]*$")
-
-
-#: A line of so many words without the end of a sentence in it is no prose: words strung together.
-STRUNG = 25
-
-
-@lru_cache(maxsize=1 << 17)
-def _readable(word: str) -> bool:
-    """Whether the word is written as words or numbers are."""
-    return bool(_CLEAN.fullmatch(word) or _NUMBER.fullmatch(word))
-
-
-def language(lang: str | None, words: list[str]) -> str:
-    """Two letters of the tag, or of the language whose common words are most frequent; English where there are none."""
-    if lang and lang.strip():
-        return lang.strip().lower()[:2]
-    n = {k: sum(w in s for w in words) for k, s in _SETS.items()}
-    best = max(sorted(n), key=n.get)
-    return best if n[best] else "en"
-
-
-def line_kind(line: str) -> str:
-    """T row of cells, L item, J unreadable, S short line without an end, P sentence(s), W long line without an end."""
-    s = line.strip()
-    words = s.split()
-    tags = sum(len(x) for x in _TAG.findall(s))
-    if tags > 0.3 * len(s):
-        return "J"
-    if _BULLET.match(s) or _LEADER.search(s):
-        return "L"
-    body = s.strip("|").rstrip("; ")
-    cells = _CELL.split(body)
-    if len(cells) >= 2:
-        values = sum(bool(_VALUE.fullmatch(c.strip())) for c in cells)
-        long = max(len(c.split()) for c in cells)
-        if values >= 1 and values >= 0.4 * (len(cells) - 1) and long <= 8:
-            return "T"
-        if set(body) <= set("-=+|: "):
-            return "T"
-    mark = _MARK.match(s)
-    rest = s[mark.end() :] if mark else s
-    if mark and not (_END.search(rest) and len(rest.split()) >= 6):
-        return "L" if any(ch.isalnum() for ch in rest) else "J"
-    plain = sum(map(_readable, words))
-    if plain < 0.6 * len(words):
-        return "J"
-    if len(cells) >= 3 and len(set(body)) and re.search(r"\t|\s\|\s|;|,\S|\s{2,}", body) and max(len(c.split()) for c in cells) <= 4:
-        return "H"
-    parts = [p.strip() for p in s.rstrip(".").split(",")]
-    if len(parts) >= 5 and all(p and len(p.split()) <= 5 for p in parts):
-        return "L" if sum(p[0].isupper() or p[0].isdigit() or " " in p for p in parts) >= 0.6 * len(parts) else "J"
-    if _END.search(s):
-        return "P"
-    if len(words) >= STRUNG and not re.search(r"\w[.!?…]\s", s):
-        return "J"
-    return "S" if len(words) <= 7 else "W"
-
-
-def shares(text: str) -> dict[str, float]:
-    """Share of the characters of the text in prose, items, rows and unreadable lines."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    kinds = [line_kind(x) for x in lines]
-    out = dict.fromkeys("PLTJ", 0.0)
-    for i, (x, k) in enumerate(zip(lines, kinds)):
-        n = len(x.strip())
-        if k == "H":  # a row of words only: the head of a table where rows follow, else loose words
-            near = kinds[i + 1 : i + 3] + kinds[max(0, i - 2) : i]
-            k = "T" if "T" in near else "J"
-        if k == "W":
-            # A wrapped sentence goes on in the next line; a long line that doesn't, under a label, is an item.
-            ahead = lines[i + 1].strip()[:1] if i + 1 < len(lines) else "A"
-            k = "L" if re.match(r"\w+\s?: ", x.strip()) and not x.isupper() and not ahead.islower() else "P"
-        if k == "S":
-            # A short line that goes on a wrapped sentence is prose; by itself it is an item.
-            before = i and kinds[i - 1] in "WP" and not _END.search(lines[i - 1].strip())
-            after = x.strip()[-1] == ":" or i + 1 < len(lines) and lines[i + 1].strip()[:1].islower() and kinds[i + 1] in "PWS"
-            k = "P" if before or after and len(x.split()) > 3 else "L"
-        out[k] += n
-    total = sum(out.values()) or 1.0
-    return {k: v / total for k, v in out.items()}
-
-
-def statistics(text: str, lang: str | None) -> dict:
-    """All statistics of one text, rounded to four decimals."""
-    raw = text.split()
-    words = [w.lower() for w in _WORD.findall(text)]
-    known = language(lang, words)
-    common = _SETS.get(known) or _SETS["en"] | _SETS["fr"]
-    pieces: list[str] = []
-    for w in words:
-        if "'" in w or "’" in w:
-            pieces += [p for p in w.replace("’", "'").split("'") if p]
-        else:
-            pieces.append(w)
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    chars = sum(map(len, raw))
-    symbols = sum(map(len, _SYMBOL.findall(text))) + sum(map(len, _MOJI.findall(text)))
-    tops = Counter(words).most_common(3)
-    part = shares(text)
-    n = len(raw)
-    r = lambda x: round(float(x), 4)
-    return {
-        "words": n,
-        "mean_word_len": r(sum(map(len, raw)) / n if n else 0),
-        "symbol_ratio": r(symbols / chars if chars else 0),
-        "end_punct_share": r(sum(bool(_END.search(x) or x[-1] in ":;") for x in lines) / len(lines) if lines else 0),
-        "common_share": r(sum(p in common for p in pieces) / len(pieces) if pieces else 0),
-        "clean_share": r(sum(map(_readable, raw)) / n if n else 0),
-        "top_share": r(max(0, sum(c for _, c in tops[:1])) / len(words) if words else 0),
-        "lang_group": known,
-        **{f"share_{k.lower()}": r(v) for k, v in part.items()},
-    }
 
+#: Form -> its statistics and the side (1: large values, -1: small ones) on which it lies.
+SIGNS = {
+    "list": {"item_share": 1, "open_share": 1},
+    "table": {"row_share": 1, "cell_ratio": 1, "digit_ratio": 1},
+    "junk": {"clean_share": -1, "symbol_ratio": 1, "common_share": -1, "mean_word_len": 1, "sentence_words": 1, "vocabulary": -1, "tag_share": 1},
+}
+#: Least score of an outlier, by form: the sum of three tails.
+BARS = {"list": 3.6, "table": 3.6, "junk": 6.0}
+#: Share of the characters that a list or table must hold.
+MOST = 0.5
+#: Least share of clean words, least share of common words (where the language's are known) and most words a sentence of a text that reads.
+READS = (0.9, 0.3, 40)
+#: A language of fewer distinct texts is ranked within the whole corpus.
+GROUP_MIN = 200
+#: Parts into which each value of the ranks is dealt when they are joined back: a third of all texts may share one value.
+SALTS = 16
+
+_BULLET = r"^(?:[-*•‣▪◦–+]\s|\[[ xX✓]?\]|[A-Z]-\d+\s)"
+_MARK = r"^(?:\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|\([ivx]+\)\s|§\s*\d)"
+_LEADER = r"(?:\.\s?){4,}\s*\d+$"
+_CELL = r"\t|\||;(?=\S)|,(?=\S)|(?<=\S)\s{2,}(?=\S)"
+_END = r"[.!?…:][\"'»”)]*$"
+_STOP = r"[.!?…][\"'»”)]*(?=\s|$)"
+_TAG = r"<[a-zA-Z/][^<>]*>|&[a-z]+;|\{\{|\}\}"
+_ONE = r"(?:[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿœ]+|[A-ZÀ-ÖØ-ÞŒ]+)"
+_CLEAN = (
+    rf"^(?:[\"'«»“”‘’(\[]*{_ONE}(?:['’—–-]{_ONE})*[\"'«»“”‘’)\]]*[.,;:!?…%]*[\"'»”)]*"
+    r"|[($€£#]*[-+]?\d[\d.,:/-]*[%)]*[.,;:!?)]*|[–—-]+|[.,;:!?«»]+)$"
+)
 
-def bar(n: Column) -> Column:
-    """The score that stands out among n distinct texts: SCORE_MIN, or less where a text that is the first in two statistics
-    can't reach it (n of 33 and fewer)."""
-    return F.round(F.least(F.lit(SCORE_MIN), 2 * F.log(n)), 6)
+_STATS = [
+    "words", "mean_word_len", "symbol_ratio", "end_punct_share", "common_share", "clean_share", "vocabulary", "tag_share", "digit_ratio",
+    "sentence_words", "line_words", "open_share", "item_share", "row_share", "cell_ratio",
+]
 
 
-_STATS = (
-    "words long, mean_word_len double, symbol_ratio double, end_punct_share double, common_share double, clean_share double, "
-    "top_share double, lang_group string, share_p double, share_l double, share_t double, share_j double"
-)
+def bar(form: str, n: Column) -> Column:
+    """The score of `form` that stands out among n distinct texts: its bar, or less where a text that is the first in two
+    statistics can't reach it."""
+    return F.round(F.least(F.lit(BARS[form]), 2 * F.log(n)), 6)
 
 
 def text_statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """key, the statistics of each text and `_text`, which is equal for equal texts of one language; null counts as empty, and
-    an empty text has all statistics 0."""
-    kind = dict(df.dtypes)[key]
-
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            got = [statistics(t or "", la) for t, la in zip(pdf["_text"], pdf["_lang"])]
-            out = pd.DataFrame(got, columns=[c.split()[0] for c in _STATS.split(", ")])
-            out["_text"] = [f"{g['lang_group']}:{hashlib.md5((t or '').encode('utf-8', 'surrogatepass')).hexdigest()}" for g, t in zip(got, pdf["_text"])]
-            out.insert(0, key, pdf[key].to_numpy())
-            yield out
-
-    slim = df.select(key, F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    return slim.mapInPandas(run, f"{key} {kind}, {_STATS}, _text string")
+    """key, the statistics of each text, rounded to four decimals, lang_group and `_text`, which is equal for equal texts of
+    one language. Null counts as empty, and an empty text has all statistics 0. lang_group is the first two letters of the
+    tag, or where there is none the language whose common words are most frequent, English where none are."""
+    en, fr = (v.split() for v in COMMON.values())
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.lower(F.trim(F.coalesce(F.col(lang), F.lit("")))).alias("la"))
+    cut = rows.select(
+        "*",
+        F.filter(F.split("t", r"\s+"), lambda w: w != "").alias("raw"),
+        F.filter(F.split(F.lower("t"), r"[^\p{L}]+"), lambda w: w != "").alias("low"),
+        # A line that goes on in small letters is one with the line before it.
+        F.filter(F.transform(F.split(F.regexp_replace("t", r"(?<=[\p{L},]) ?\n(?=\p{Ll})", " "), "\n"), lambda x: F.btrim(x, F.lit(" \t\r "))), lambda x: x != "").alias("lines"),
+        F.length(F.regexp_replace("t", r"\s+", "")).alias("chars"),
+    )
+    hits = lambda words: F.size(F.filter("low", lambda w: w.isin(words)))
+    cut = cut.withColumn("en", hits(en)).withColumn("fr", hits(fr))
+    group = F.when(F.col("la") != "", F.substring("la", 1, 2)).when(F.col("fr") > F.col("en"), "fr").otherwise("en")
+    cut = cut.withColumn("lang_group", group)
+    size = lambda x: F.size(F.split(x, r"\s+"))
+    clean = lambda words: F.size(F.filter(words, lambda w: w.rlike(_CLEAN)))
+    ended = lambda x: x.rlike(_END)
+
+    def readable(x: Column) -> Column:
+        words = F.filter(F.split(x, r"[\s,;|]+"), lambda w: w != "")
+        return clean(words) >= 0.6 * F.size(words)
+
+    def row(x: Column) -> Column:
+        return (F.regexp_count(x, F.lit(_CELL)) >= 0.2 * size(x)) & readable(x)
+
+    def item(x: Column) -> Column:
+        short = size(x) <= 8
+        marked = x.rlike(_BULLET) | x.rlike(_LEADER) | x.rlike(_MARK) & (short | ~ended(x)) | short & ~ended(x)
+        parts = F.split(x, r",\s+")  # a run of names or phrases is a list, a run of loose words isn't
+        named = F.size(F.filter(parts, lambda y: y.rlike(r"^[\p{Lu}\d]|\s")))
+        run = ~short & (F.size(parts) > 0.2 * size(x)) & (named >= 0.6 * F.size(parts))
+        return (marked | run) & readable(F.regexp_replace(x, rf"{_BULLET}|(?:\.\s?){{4,}}", " "))
+
+    of = lambda lines: F.length(F.array_join(lines, ""))
+    cut = cut.withColumn("rows", F.filter("lines", row))
+    cut = cut.withColumn("items", F.filter("lines", lambda x: ~row(x) & item(x)))
+    n, nlow, lines, chars = F.size("raw"), F.size("low"), F.size("lines"), F.col("chars")
+    whole = of(F.col("lines"))
+    common = F.when(F.col("lang_group") == "en", F.col("en")).when(F.col("lang_group") == "fr", F.col("fr")).otherwise(F.col("en") + F.col("fr"))
+    part = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    stats = {
+        "words": n.cast("long"),
+        "mean_word_len": part(chars, n),
+        "symbol_ratio": part(F.length(F.regexp_replace("t", r"[\p{L}\p{N}\s.,;:!?'’\"“”()%«»–—$-]+", "")), chars),
+        "end_punct_share": part(F.size(F.filter("lines", ended)), lines),
+        "common_share": part(common, nlow),
+        "clean_share": part(clean(F.col("raw")), n),
+        "vocabulary": part(F.log1p(F.size(F.array_distinct("low"))), F.log1p(nlow)),  # falls little with the length of prose
+        "tag_share": part(chars - F.length(F.regexp_replace(F.regexp_replace("t", _TAG, ""), r"\s+", "")), chars),
+        "digit_ratio": part(chars - F.length(F.regexp_replace("t", r"[\d\s]+", "")), chars),
+        "sentence_words": part(n, F.greatest(F.lit(1), F.regexp_count("t", F.lit(_STOP)))),
+        "line_words": part(n, lines),
+        "open_share": part(of(F.filter("lines", lambda x: ~ended(x))), whole),
+        "item_share": part(of(F.col("items")), whole),
+        "row_share": part(of(F.col("rows")), whole),
+        "cell_ratio": part(F.regexp_count("t", F.lit(_CELL)), n),
+    }
+    mark = F.concat_ws(":", "lang_group", F.md5(F.col("t").cast("binary")))
+    return cut.select(F.col("_key").alias(key), *[stats[s].alias(s) for s in _STATS], "lang_group", mark.alias("_text"))
 
 
 def tail_probabilities(stats: DataFrame, key: str, group: str, names: list[str]) -> DataFrame:
     """key, stat, low, high: the shares of the group's documents with a value not above, and not below, the document's own.
 
     Exact ranks by sorted partitions. Equal values are one row in the sort, so a value that a third of all documents share
-    is no hot partition."""
+    is no hot partition; when ranks go back to the documents, each value is dealt into SALTS parts."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).cast("double").alias("value")) for n in names]))
     long = stats.select(key, F.col(group).alias("grp"), pairs.alias("p")).select(key, "grp", "p.stat", "p.value")
     counts = long.groupBy("grp", "stat", "value").agg(F.count("*").alias("n"))
@@ -218,35 +162,49 @@ def tail_probabilities(stats: DataFrame, key: str, group: str, names: list[str])
     ranked = ordered.withColumn("upto", F.sum("n").over(inside)).join(sums, ["grp", "stat", "pid"])
     at = F.col("offset") + F.col("upto")
     ranked = ranked.select("grp", "stat", "value", (at / F.col("total")).alias("low"), ((F.col("total") - at + F.col("n")) / F.col("total")).alias("high"))
-    return long.join(ranked, ["grp", "stat", "value"]).select(key, "stat", "low", "high")
+    ranked = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    long = long.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return long.join(ranked, ["grp", "stat", "value", "salt"]).select(key, "stat", "low", "high")
 
 
 def text_quality(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, the statistics, outlier_score and form (prose, list, table, junk) of every document.
+    """key, the statistics, lang_group, the scores score_list, score_table, score_junk and form (prose, list, table, junk)
+    of every document.
 
-    The score is the sum over the statistics of -ln of the tail probability on the side of SIDES. An empty or null text is
-    junk: there is nothing to read. Keys should be unique; rows with a key of their own are judged by themselves."""
+    An empty or null text, or one of white space, is junk: there is nothing to read. Keys should be unique; rows with a key
+    of their own are judged by themselves. Other columns of `df` are ignored, whatever their names."""
     stats = written(text_statistics(df, key, text, lang), "p9-stats")
+    used = list(dict.fromkeys(s for signs in SIGNS.values() for s in signs))
     # Equal texts of a language have equal statistics: they are ranked as one.
-    texts = stats.select("_text", "lang_group", *SIDES).distinct()
-    tails = tail_probabilities(texts, "_text", "lang_group", list(SIDES))
-    sided = F.when(F.col("stat").isin([s for s, d in SIDES.items() if d > 0]), F.col("high")).otherwise(F.col("low"))
-    scores = tails.groupBy("_text").agg(F.sum(-F.log(sided)).alias("outlier_score"))
-    scored = stats.join(scores, "_text", "left").withColumn("outlier_score", F.round(F.coalesce("outlier_score", F.lit(0.0)), 6))
-    bars = texts.groupBy("lang_group").agg(bar(F.count("*")).alias("_bar"))
-    scored = scored.join(F.broadcast(bars), "lang_group").select(key, *[c.split()[0] for c in _STATS.split(", ")], "outlier_score", "_bar")
-    top = F.greatest("share_p", "share_l", "share_t", "share_j")
-    outlying = F.col("outlier_score") >= F.col("_bar")
-    # Without a list of the language's common words a low share of them tells nothing by itself, so the full bar stays.
-    strange = F.when(F.col("lang_group").isin(list(COMMON)), outlying).otherwise(F.col("outlier_score") >= SCORE_MIN)
+    texts = stats.filter("words > 0").select("_text", "lang_group", *used).distinct()
+    sizes = texts.groupBy("lang_group").agg(F.count("*").alias("_n"))  # at most one row per pair of letters
+    whole = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
+    sizes = sizes.crossJoin(F.broadcast(whole)).select("lang_group", (F.col("_n") < GROUP_MIN).alias("_few"), F.when(F.col("_n") < GROUP_MIN, F.col("_all")).otherwise(F.col("_n")).alias("_of"))  # one row
+    placed = texts.join(F.broadcast(sizes), "lang_group")
+    # The whole corpus is ranked too, as the group '*', if a language has few texts.
+    also = placed.crossJoin(F.broadcast(sizes.agg(F.coalesce(F.bool_or("_few"), F.lit(False)).alias("_any")))).filter("_any")  # one row
+    ranks = placed.filter("not _few").withColumn("_grp", F.col("lang_group")).select("_text", "_grp", *used).unionByName(
+        also.select("_text", F.lit("*").alias("_grp"), *used)
+    )
+    own = placed.select("_text", F.when(F.col("_few"), "*").otherwise(F.col("lang_group")).alias("_own"), "_of")
+    tails = tail_probabilities(ranks.withColumn("_id", F.concat_ws("\n", "_grp", "_text")), "_id", "_grp", used)
+    side = {s: d for signs in SIGNS.values() for s, d in signs.items()}
+    sided = F.when(F.col("stat").isin([s for s, d in side.items() if d > 0]), F.col("high")).otherwise(F.col("low"))
+    wide = tails.select("_id", "stat", (-F.log(sided)).alias("x")).groupBy("_id").agg(*[F.max(F.when(F.col("stat") == s, F.col("x"))).alias(f"_{s}") for s in used])
+    told = {f: [F.col(f"_{s}") for s in signs] for f, signs in SIGNS.items()}
+    top = lambda tails: F.aggregate(F.slice(F.sort_array(F.array(*tails), asc=False), 1, 3), F.lit(0.0), lambda a, x: a + x)
+    by = {f: top(t) if len(t) > 3 else 3 * F.least(*t) for f, t in told.items()}
+    scores = wide.select("_id", *[F.round(x, 6).alias(f"score_{f}") for f, x in by.items()])
+    scores = own.withColumn("_id", F.concat_ws("\n", "_own", "_text")).join(scores, "_id").drop("_id", "_own")
+    scored = stats.join(scores, "_text", "left").na.fill(0.0, [f"score_{f}" for f in SIGNS])
+    over = lambda f: F.col(f"score_{f}") >= bar(f, F.col("_of"))
+    known = F.col("lang_group").isin(list(COMMON))
+    reads = (F.col("clean_share") >= READS[0]) & (~known | (F.col("common_share") >= READS[1])) & (F.col("sentence_words") <= READS[2])
     form = (
         F.when(F.col("words") == 0, "junk")
-        .when(F.col("share_j") == top, "junk")
-        .when((F.col("share_t") == top), "table")
-        .when((F.col("clean_share") < 0.5) & outlying, "junk")
-        .when((F.col("top_share") > 0.3) & (F.col("words") > 8) & outlying, "junk")
-        .when((F.col("share_p") == top) & (F.col("common_share") < COMMON_MIN) & strange, "junk")
-        .when(F.col("share_l") == top, "list")
+        .when(over("table") & (F.col("row_share") > MOST), "table")
+        .when(over("list") & (F.col("item_share") > MOST), "list")
+        .when(over("junk") & ~reads, "junk")
         .otherwise("prose")
     )
-    return scored.withColumn("form", form).drop("_bar")
+    return scored.select(key, *_STATS, "lang_group", *[f"score_{f}" for f in SIGNS], form.alias("form"))
