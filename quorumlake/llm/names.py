@@ -2,40 +2,63 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
+from functools import lru_cache
 
-# Forms of address, credentials, nicknames, kinds of organisation, directions and posts with their usual
-# abbreviations.
+# Common forms of address, credentials, English words for kinds of organisation, directions and posts, and
+# what stands in place of an organisation. Only whole words are listed; abbreviations are told from them by rule.
 ADDRESS = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "chief", "hon", "rt", "sir", "mme", "elder", "rev", "the"}
 CREDENTIALS = {"md", "phd", "p.eng", "peng", "qc", "q.c", "kc", "k.c", "m.d", "ph.d", "cpa", "ca", "llb", "mba", "ba", "ma", "msc", "bsc", "jd", "rn", "jr", "sr", "esq"}
-NICKNAMES = {
-    "al": "alexander", "alex": "alexander", "sandy": "alexander", "ben": "benjamin", "benny": "benjamin", "beth": "elizabeth",
-    "liz": "elizabeth", "betty": "elizabeth", "eliza": "elizabeth", "bill": "william", "billy": "william", "will": "william", "bob": "robert",
-    "bobby": "robert", "rob": "robert", "bert": "umberto", "deb": "deborah", "debbie": "deborah", "dick": "richard", "rick": "richard",
-    "rich": "richard", "gen": "genevieve", "jen": "genevieve", "jerry": "jerome", "jon": "jonathan", "johnny": "jonathan",
-    "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kay": "katherine", "larry": "lawrence", "maggie": "margaret", "peggy": "margaret",
-    "meg": "margaret", "mike": "michael", "mick": "michael", "nate": "nathaniel", "nat": "nathaniel", "ossie": "oswald", "oz": "oswald",
-    "pat": "patricia", "patty": "patricia", "trish": "patricia", "tricia": "patricia", "becky": "rebecca", "becca": "rebecca", "sue": "suzanne", "suzie": "suzanne",
-    "ted": "theodore", "theo": "theodore", "teddy": "theodore", "tom": "tomasz", "tomek": "tomasz", "vic": "victoria", "vicky": "victoria", "tori": "victoria",
-    "fred": "frederic", "steve": "etienne", "cathy": "katherine", "dan": "daniel", "jim": "james", "joe": "joseph", "tony": "anthony",
-    "umb": "umberto", "dima": "dmitri", "quin": "quentin", "xio": "xiomara", "yoli": "yolanda", "priy": "priya", "ingie": "ingrid",
-}
-KINDS = {
-    "federation": "federation", "fed": "federation", "council": "council", "coun": "council", "cncl": "council",
-    "association": "association", "assoc": "association", "assn": "association", "ass'n": "association", "coalition": "coalition",
-    "coal": "coalition", "foundation": "foundation", "fdn": "foundation", "found": "foundation", "fndn": "foundation", "institute": "institute",
-    "inst": "institute", "society": "society", "soc": "society", "union": "union", "network": "network", "alliance": "alliance",
-    "chamber": "chamber", "board": "board", "bureau": "bureau", "centre": "centre", "center": "centre",
-}
-DIRECTIONS = {"n": "northern", "s": "southern", "e": "eastern", "w": "western", "c": "central", "gr": "greater", "cent": "central",
-              "north": "northern", "no": "northern", "so": "southern", "ctr": "central", "cen": "central", "g": "greater"}
-POSTS = {
-    "president", "pres", "vice-president", "v.p", "vp", "vice president", "executive director", "exec. dir", "director of research", "dir. of research",
-    "chief economist", "ch. economist", "general counsel", "gen. counsel", "senior policy adviser", "sr. policy adv", "senior policy advisor",
-    "secretary-treasurer", "sec.-treas", "secretary", "treasurer", "chair", "chairman", "director", "dir", "counsel", "adviser", "advisor", "chief executive officer", "ceo",
-}
-NO_CONTEXT = {"", "as an individual", "intervener", "brief", "written submission", "witness", "individual"}
+KINDS = """academy agency alliance assembly association authority bank board bureau centre chamber club coalition college commission committee
+    company congress cooperative corporation council department federation forum foundation group guild hospital institute league ministry
+    museum network office organization partnership school secretariat service society syndicate trust union university""".split()
+DIRECTIONS = "northern southern eastern western central greater upper lower inner outer".split()
+HEADS = """president director chair chairman chairwoman chairperson secretary treasurer counsel economist adviser advisor officer manager
+    coordinator analyst administrator registrar superintendent scientist consultant spokesperson representative principal dean founder
+    vp ceo cfo coo""".split()
+POST_WORDS = frozenset(HEADS) | set("""of and the for vice chief executive deputy assistant associate senior junior general policy research acting interim past former
+    public affairs relations government external internal communications operations legal financial national international co""".split())
+NO_CONTEXT = {"", "as an individual", "individual", "intervener", "brief", "written submission", "witness"}
+
+
+def abbreviates(short: str, word: str) -> bool:
+    """Whether the letters of `short` are letters of `word` in order, from its first on."""
+    if not short or short[0] != word[0] or len(short) >= len(word):
+        return False
+    at = iter(word)
+    return all(ch in at for ch in short)
+
+
+@lru_cache(maxsize=1 << 16)
+def expand(token: str, words: tuple[str, ...]) -> str | None:
+    """The one of `words` that the token is or, ending with a stop or written with an apostrophe, abbreviates best (the
+    longest common beginning); '' where several fit equally, None for none."""
+    bare = token.strip(".'-").replace("'", "")
+    if bare in words:
+        return bare
+    if token.endswith("..") or not (token.endswith(".") or "'" in token.strip("'")):
+        return None
+    fit = [(len(os.path.commonprefix([bare, w])), w) for w in words if abbreviates(bare, w)]
+    if not fit:
+        return None
+    most = max(n for n, _ in fit)
+    best = [w for n, w in fit if n == most]
+    return best[0] if len(best) == 1 else ""
+
+
+_KINDS, _DIRECTIONS, _POSTS = tuple(KINDS), tuple(DIRECTIONS), tuple(sorted(POST_WORDS))
+
+
+@lru_cache(maxsize=1 << 16)
+def is_post(part: str) -> bool:
+    """Whether all words of the (folded) part are those of a post, one of them its head; words may be abbreviated."""
+    words = [w for w in re.split(r"[\s-]+", part) if w]
+    known = [expand(w, _POSTS) for w in words]
+    if not words or any(k is None for k in known):
+        return not part.strip(".") or bool(re.fullmatch(r"(?:[a-z]\.){2,3}[a-z]?\.?", part))
+    return any(k in HEADS or k == "" or k != w.strip(".") for k, w in zip(known, words))
 
 
 def fold(s: str) -> str:
@@ -48,21 +71,36 @@ def _words(s: str) -> list[str]:
     return [w for w in re.split(r"[\s,;/()\[\]—–]+", s) if w.strip(".'-")]
 
 
+def _direction(word: str, first: bool) -> str | None:
+    """The direction a word of an organisation names: a whole one, its beginning (north), or in front an abbreviation."""
+    bare = word.strip(".'-")
+    if bare in DIRECTIONS:
+        return bare
+    if len(bare) >= 4 and f"{bare}ern" in DIRECTIONS or bare == "center":
+        return f"{bare}ern" if bare != "center" else "central"
+    return (expand(word, _DIRECTIONS) or None) if first else None
+
+
 def organisation(text: str) -> tuple[list[str], str]:
     """(words of an organisation's name in full form, its kind or ''): posts, legal endings and small words are left out."""
-    parts = [p.strip(" .") for p in re.split(r",|;", fold(text))]
-    kept = [p for p in parts if p and p not in POSTS and p not in NO_CONTEXT and not p.endswith(" office")]
+    parts = [p.strip(" ") for p in re.split(r",|;", fold(text))]
+    kept = [p for p in parts if p and p.strip(".") not in NO_CONTEXT and not is_post(p) and not p.endswith(" office")]
     words, kind = [], ""
-    for w in _words(" ".join(kept)):
-        b = w.strip(".'-")
-        if b in KINDS and not kind:
-            kind = KINDS[b]
-        elif b in ("inc", "ltd", "llc", "corp", "the", "of", "and", "for"):
-            continue
-        elif b in DIRECTIONS and (w.endswith(".") or len(b) > 2):
-            words.append(DIRECTIONS[b])
-        else:
-            words.append(b)
+    for p in kept:
+        first = True
+        for w in _words(p):
+            b = w.strip(".'-")
+            if b in ("inc", "ltd", "llc", "corp", "limited", "incorporated", "the", "of", "and", "for"):
+                continue
+            k = None if kind else expand("centre" if b == "center" else w, _KINDS)
+            d = _direction(w, first)
+            first = False
+            if d:
+                words.append(d)
+            elif k is not None:
+                kind = k
+            else:
+                words.append(b)
     return words, kind
 
 
@@ -76,9 +114,12 @@ def is_acronym(who: str) -> bool:
 def is_organisation(who: str) -> bool:
     """A kind of organisation in the name, a direction in front, or an acronym."""
     words = [w for w in _words(fold(who)) if w != "the"]
-    if any(w.strip(".'") in KINDS and len(w.strip(".'")) > 2 for w in words) or is_acronym(who):
+    named = (w for w in words if len(w.strip(".'")) > 2 and w.strip(".'") not in ADDRESS | CREDENTIALS)
+    if is_acronym(who) or any(expand(w, _KINDS) is not None for w in named):
         return True
-    return bool(words) and ("," not in who) and (words[0] in DIRECTIONS.values() or len(words) > 2 and words[0].endswith(".") and words[0].strip(".") in DIRECTIONS and words[0].strip(".") in ("gr", "cent"))
+    if not words or "," in who:
+        return False
+    return words[0] in DIRECTIONS or len(words) > 2 and len(words[0]) > 2 and _direction(words[0], True) is not None
 
 
 def person(who: str) -> tuple[str, str, str]:
@@ -102,7 +143,7 @@ def person(who: str) -> tuple[str, str, str]:
         family = " ".join(tail)
     given = rest[0] if rest else ""
     middle = "".join(w[0] for w in rest[1:])
-    return NICKNAMES.get(given, given), middle, family.replace("-", " ")
+    return given, middle, family.replace("-", " ")
 
 
 def initials(words: list[str], kind: str) -> str:

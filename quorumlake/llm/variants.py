@@ -86,44 +86,54 @@ def _same_org(a: list[str], ka: str, b: list[str], kb: str) -> float:
     if ka and kb and ka != kb:
         return 0.0
     for x, k in ((a, kb), (b, ka)):
-        if len(x) == 1 and k and _cut(x[0], k, 2) and x[0] not in N.DIRECTIONS.values():
+        if len(x) == 1 and k and _cut(x[0], k, 2) and x[0] not in N.DIRECTIONS:
             return 0.5  # only the beginning of the kind is left
     rest, left, hit, cut = list(b), [], 0, False
     for w in a:
         m = next((x for x in rest if x == w), None)
-        if m is None and w not in N.DIRECTIONS.values():
-            m = next((x for x in rest if x not in N.DIRECTIONS.values() and _alike(w, x)), None)
+        if m is None and w not in N.DIRECTIONS:
+            m = next((x for x in rest if x not in N.DIRECTIONS and _alike(w, x)), None)
         if m is None:
             left.append(w)
         else:
             rest.remove(m)
             hit += 1
     for w in list(left):
-        known = N.DIRECTIONS.values()
+        known = N.DIRECTIONS
         m = next((x for x in rest if _cut(w, x, 2) and not (w in known and x in known)), None)
         if m is not None:
             left.remove(w)
             rest.remove(m)
             cut = True
     if left and rest:
-        known = set(N.DIRECTIONS.values())
+        known = set(N.DIRECTIONS)
         # A cut off kind ("Associ") stands beside words of the fuller form.
         loose = [w for w in left + rest if not any(_cut(w, k, 2) for k in (ka, kb) if k)]
         if any(w in known for w in loose) or any(w in left for w in loose) and any(w in rest for w in loose):
             return 0.0
-    if hit >= 2 and (not left or not rest):
+    if hit >= 2 and (not left or not rest) or hit and ka and ka == kb and not left and not rest:
         return 1.0
     return 0.5 if cut or hit else 0.0
 
 
-def same_witness(a: dict, b: dict) -> bool:
-    """Whether two forms can stand for one witness."""
+def short_form(a: str, b: str) -> bool:
+    """Whether one given name may be the short form of the other: shorter, and all but two of its letters, three at least,
+    in a row of the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    n = max(3, len(a) - 2)
+    return 3 <= len(a) < len(b) and any(a[i : i + n] in b for i in range(len(a) - n + 1))
+
+
+def same_witness(a: dict, b: dict, nick: bool = False) -> bool:
+    """Whether two forms can stand for one witness; `nick`: their given names are known to be used for one person. A name
+    may also be the other's short form where family and organisation are the same."""
     if a["org"] != b["org"]:
         return False
     if a["org"]:
         if not a["words"] or not b["words"]:
             return False
-        own = [[w for w in x["words"] if w not in N.DIRECTIONS.values()] for x in (a, b)]
+        own = [[w for w in x["words"] if w not in N.DIRECTIONS] for x in (a, b)]
         return _same_org(a["words"], a["kind"], b["words"], b["kind"]) > 0 and any(
             w == x or len(w) > 5 and len(x) > 5 and (_cut(w, x, 5) or _alike(w, x)) for w in own[0] for x in own[1]
         )
@@ -135,7 +145,8 @@ def same_witness(a: dict, b: dict) -> bool:
         return False
     if a["middle"] and b["middle"] and a["middle"] != b["middle"]:
         return False
-    given = ga == gb or _alike(ga, gb) or 1 in (len(ga), len(gb)) and ga[:1] == gb[:1] or not ga or not gb
+    given = nick or ga == gb or _alike(ga, gb) or 1 in (len(ga), len(gb)) and ga[:1] == gb[:1] or not ga or not gb
+    given = given or org == 1.0 and short_form(ga, gb) and _alike(fa.replace(" ", ""), fb.replace(" ", ""))
     if not given:
         return False
     family = fa == fb or _alike(fa.replace(" ", ""), fb.replace(" ", ""))
@@ -222,13 +233,40 @@ def _begins_sql(x: str, y: str) -> str:
     return f"levenshtein(left({x}, {m}), left({y}, {m}), 4) >= 0"
 
 
+#: Two given names are taken for one name if they stand in at least so many pairs of family and organisation, and that is at
+#: least such a part of the pairs in which the rarer of them stands beside another name.
+NICK_MIN, NICK_SHARE = 2, 0.5
+
+
+def nicknames(told: DataFrame) -> DataFrame:
+    """x < y: given names that are used for one person, learned from the parts of the forms (`_PARTS`).
+
+    In each pair of family and organisation every given name is set against the most frequent one, so the work follows the
+    number of names, not of their pairs. Misspellings of a name aren't learned: they are told by their letters."""
+    said = told.filter("not org and length(given) > 1 and family <> '' and size(words) > 0")
+    said = said.groupBy("family", F.array_sort("words").alias("words"), "kind", "given").agg(F.count("*").alias("n"))
+    key = ["family", "words", "kind"]
+    top = said.groupBy(*key).agg(F.max(F.struct("n", "given"))["given"].alias("top"), F.count("*").alias("names")).filter("names > 1")
+    beside = said.join(top, key).filter("given <> top and levenshtein(given, top) > 2")
+    beside = beside.select(F.least("given", "top").alias("x"), F.greatest("given", "top").alias("y"))
+    pairs = beside.groupBy("x", "y").agg(F.count("*").alias("c"))
+    alone = pairs.select(F.explode(F.array("x", "y")).alias("g"), "c").groupBy("g").agg(F.sum("c").alias("all"))
+    of = lambda s: alone.select(F.col("g").alias(s), F.col("all").alias(f"all_{s}"))
+    got = pairs.filter(F.col("c") >= NICK_MIN).join(of("x"), "x").join(of("y"), "y")
+    return got.filter(F.col("c") >= NICK_SHARE * F.least("all_x", "all_y")).select("x", "y")
+
+
 _FA, _FB = "replace(family_a, ' ', '')", "replace(family_b, ' ', '')"
+_LONG, _SHORT = "if(length(given_a) > length(given_b), given_a, given_b)", "if(length(given_a) > length(given_b), given_b, given_a)"
+#: What `short_form` says.
+_PART = f"length(given_a) <> length(given_b) and length({_SHORT}) > 2 and exists(sequence(1, 3), i -> i <= greatest(3, length({_SHORT})) - greatest(3, length({_SHORT}) - 2) + 1 and contains({_LONG}, substr({_SHORT}, i, greatest(3, length({_SHORT}) - 2))))"
 #: What `same_witness` implies, in SQL.
 _MUST = f"""org_a = org_b and case when org_a then
   (kind_a = '' or kind_b = '' or kind_a = kind_b)
   and exists(split(words_a, ' '), x -> exists(split(words_b, ' '), y -> x = y or length(x) > 5 and length(y) > 5 and {_begins_sql("x", "y")}))
 else
-  (given_a = '' or given_b = '' or least(length(given_a), length(given_b)) = 1 and left(given_a, 1) = left(given_b, 1) or {_near_sql("given_a", "given_b")})
+  (nick or given_a = '' or given_b = '' or least(length(given_a), length(given_b)) = 1 and left(given_a, 1) = left(given_b, 1) or {_near_sql("given_a", "given_b")}
+    or {_PART})
   and ({_near_sql(_FA, _FB)} or {_begins_sql("family_a", "family_b")} or arrays_overlap(split(family_a, ' '), split(family_b, ' ')))
 end"""
 
@@ -283,7 +321,12 @@ def _similar(forms: DataFrame) -> DataFrame:
     # asked in SQL, the rest of the check in Python. Only then do the vectors travel.
     flat = told.select("fid", "org", "given", "middle", "family", F.array_join("words", " ").alias("words"), "kind")
     side = lambda s: flat.select(F.col("fid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in flat.columns if c != "fid"])
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.expr(_MUST))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # Few pairs of names are used for one person; names that differ are looked up among them.
+    known = written(nicknames(told), "p5-nicknames").withColumn("nick", F.lit(True))
+    differ = F.col("given_a") != F.col("given_b")
+    both = both.withColumn("x", F.when(differ, F.least("given_a", "given_b"))).withColumn("y", F.when(differ, F.greatest("given_a", "given_b")))
+    near = both.join(known, ["x", "y"], "left").withColumn("nick", F.coalesce("nick", F.lit(False))).filter(F.expr(_MUST))
 
     def plausible(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def form(pdf: pd.DataFrame, s: str) -> list[dict]:
@@ -294,7 +337,7 @@ def _similar(forms: DataFrame) -> DataFrame:
             ]
 
         for pdf in rows:
-            keep = [same_witness(x, y) for x, y in zip(form(pdf, "a"), form(pdf, "b"))]
+            keep = [same_witness(x, y, k) for x, y, k in zip(form(pdf, "a"), form(pdf, "b"), pdf["nick"])]
             yield pdf.loc[keep, ["a", "b"]]
 
     close = near.mapInPandas(plausible, "a long, b long")

@@ -207,10 +207,13 @@ def test_turns(spark):
 def test_name_parts():
     assert names.person("Dr. Zoé Vasondtho, PhD") == ("zoe", "", "vasondtho")
     assert names.person("VASONDTHO, Dr. Z.") == ("z", "", "vasondtho")
-    assert names.person("Bill K. Stone-Reed") == ("william", "k", "stone reed")
+    assert names.person("Bill K. Stone-Reed") == ("bill", "k", "stone reed")
     assert names.person("") == ("", "", "")
     assert names.organisation("V.P., Inst. of Broadband, N. Zorvold") == (["broadband", "northern", "zorvold"], "institute")
     assert names.is_organisation("EIVF") and names.is_organisation("The Greater Zor Dairy Coun.") and not names.is_organisation("Stone, Eva")
+    assert not names.is_organisation("Dr. Eva Stone") and names.organisation("Exec. Dir., S. Water Assn.") == (["southern", "water"], "association")
+    assert names.expand("fdn.", tuple(names.KINDS)) == "" and names.expand("hosi...", tuple(names.KINDS)) is None and names.is_post("sec.-treas.")
+    assert not names.is_post("policy research") and names.is_post("ch. economist") and names.is_post("v.p.")
 
 
 def test_average_linkage_brute():
@@ -283,6 +286,23 @@ def test_variants(spark):
     assert variants.link_variants(df.limit(0), key="id", name="who", context="ctx").count() == 0
 
 
+def test_nicknames_are_learned(spark):
+    """Names that no list and no table has: short forms are told by their letters and the organisation, others learned."""
+    fams = ["Zorven", "Holtin", "Maskel", "Perrow", "Quilda"]
+    rows = []
+    for k, f in enumerate(fams[:4]):
+        one, two = f"{f}ton Dairy Council", f"Central {f}ford Grain Union"
+        rows += [(10 * k, f"Thomas {f}", f"President, {one}"), (10 * k + 1, f"Tomo {f}", one), (10 * k + 2, f"Margaret {f}", two), (10 * k + 3, f"Peggy {f}", f"{two}, President")]
+        rows += [(10 * k + 4, f"{['Ada', 'Ben', 'Cora', 'Dora'][k]} {f}", f"{f}wick Steel Board"), (10 * k + 5, f"Hugo {f}", f"{f}wick Steel Board")]
+    rows += [(100, "Peggy Quilda", ""), (101, "Margaret Quilda", "Northern Steel Board"), (102, "Jennifer Quilda", "Ferry Board"), (103, "Jen Quilda", "The Ferry Board"), (104, "Tomo Zane", "")]
+    rows += [(105, "Theodore Zane", "Steel Union"), (106, "Katherine Zane", "Steel Union")]
+    df = spark.createDataFrame(rows, "id long, who string, ctx string")
+    ent = {r.fid: r.entity for r in variants.link_variants(df, key="id", name="who", context="ctx").collect()}
+    assert all(ent[10 * k + 2] == ent[10 * k + 3] == 10 * k + 2 and ent[10 * k] == ent[10 * k + 1] == 10 * k for k in range(4))
+    assert all(ent[10 * k + 4] == 10 * k + 4 and ent[10 * k + 5] == 10 * k + 5 for k in range(4))
+    assert ent[100] == ent[101] == 100 and ent[102] == ent[103] == 102 and ent[105] == 105 and ent[106] == 106
+
+
 def test_organisations_of_short_words(spark):
     forms = [(1, "Dairy Board", ""), (2, "The DAIRY Board", ""), (3, "Steel Council", ""), (4, "Steel Coun.", ""), (5, "Steel Board", ""), (6, "Dairy Council", "")]
     linked = variants.link_variants(spark.createDataFrame(forms, "id long, who string, ctx string"), key="id", name="who", context="ctx")
