@@ -25,6 +25,9 @@ from quorumlake.session import written
 #: Least cosine of a candidate pair; weight of each field's unit vector; least average similarity within a group.
 THRESHOLD, FIELD_WEIGHT, LINKAGE = 0.45, {"f": 0.8, "g": 0.3, "o": 0.52, "x": 1.0}, 0.25
 
+#: Forms per part of a gram in the join.
+SPLIT = 1000
+
 
 def _grams(words: list[str], field: str) -> list[str]:
     return [f"{field}{w[i : i + 3]}" for x in words for w in (f"^{x}$",) for i in range(max(1, len(w) - 2))]
@@ -303,16 +306,18 @@ def _similar(forms: DataFrame) -> DataFrame:
                 w = np.array([w / math.sqrt(norm[g[0]]) * weight[g[0]] / total for _, g, w in cells])
                 rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])
                 keep = int((rest >= limit - 1e-9).sum())
-                out.append((fid, [g for _, g, _ in cells], w.tolist(), rest[:keep].tolist()))
-            yield pd.DataFrame(out, columns=["fid", "g", "w", "rest"])
+                out.append((fid, [g for _, g, _ in cells], w.tolist(), rest[:keep].tolist(), [1 + d // SPLIT for d, _, _ in cells[:keep]]))
+            yield pd.DataFrame(out, columns=["fid", "g", "w", "rest", "parts"])
 
-    sparse = written(vectors.mapInPandas(prefix, "fid long, g array<string>, w array<double>, rest array<double>"), "p5-vectors")
+    sparse = written(vectors.mapInPandas(prefix, "fid long, g array<string>, w array<double>, rest array<double>, parts array<int>"), "p5-vectors")
     # From the rarest shared gram on, the cosine is at most the product of the norms that are left there.
-    index = sparse.select("fid", F.explode(F.arrays_zip(F.slice("g", F.lit(1), F.size("rest")).alias("g"), "rest")).alias("i"))
-    index = index.select("fid", "i.g", "i.rest")
+    index = sparse.select("fid", F.explode(F.arrays_zip(F.slice("g", F.lit(1), F.size("rest")).alias("g"), "rest", "parts")).alias("i"))
+    index = index.select("fid", "i.g", "i.rest", "i.parts")
+    # A gram of many forms is no single key: one side is dealt into parts, the other goes to all of them.
+    dealt = F.pmod(F.xxhash64("fid"), F.col("parts")).cast("int")
     pairs = (
-        index.select(F.col("fid").alias("a"), "g", F.col("rest").alias("ra"))
-        .join(index.select(F.col("fid").alias("b"), "g", F.col("rest").alias("rb")), "g")
+        index.select(F.col("fid").alias("a"), "g", dealt.alias("part"), F.col("rest").alias("ra"))
+        .join(index.select(F.col("fid").alias("b"), "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rest").alias("rb")), ["g", "part"])
         .filter((F.col("a") < F.col("b")) & (F.col("ra") * F.col("rb") >= limit - 1e-9))
         .select("a", "b")
         .distinct()

@@ -242,7 +242,9 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20, 21: 20, **{100 + i: 100 for i in range(41)}}
 
 
-def test_similarity_join_is_exact(spark):
+@pytest.mark.parametrize("split", [1000, 5])
+def test_similarity_join_is_exact(spark, monkeypatch, split):
+    monkeypatch.setattr(variants, "SPLIT", split)
     rng = random.Random(6)
     fams = ["zorven", "holtin", "maskel", "perrow", "quilda"]
     forms = [(i, f"Eva {rng.choice(fams)}{rng.choice(fams)[: rng.randint(2, 6)]}", rng.choice(["", "President, Northern Zor Dairy Council"])) for i in range(60)]
