@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.catalog import table
 from quorumlake.llm.alignment import aligned
-from quorumlake.llm.mixing import mix
+from quorumlake.llm.mixing import EXACT, mix
 from quorumlake.llm.packing import fill_containers, unused
 from quorumlake.llm.sizes import token_sizes
 from quorumlake.llm.quality import text_quality
@@ -80,21 +80,31 @@ def p7_unused(spark: SparkSession, folder: str) -> DataFrame:
     return unused(_packed(spark, folder))
 
 
-def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, folder: str, total: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     sizes = token_sizes(table(spark, folder, "documents").filter("source is not null"), "doc_id", "text", "source")
-    return mix(sizes, table(spark, folder, "source_weight"))
+    return mix(sizes, table(spark, folder, "source_weight"), total=total)
 
 
 def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
-    """The selection: text, source, number of uses."""
+    """The selection of as many tokens as the sources hold: text, source, number of uses."""
     return _mixed(spark, folder)[0]
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Target and reached shares per source."""
+    """Target and reached shares per source of p8_mixed."""
     return _mixed(spark, folder)[1]
 
 
+def p8_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest selection in which every source that has texts holds its share."""
+    return _mixed(spark, folder, EXACT)[0]
+
+
+def p8_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached shares per source of p8_exact."""
+    return _mixed(spark, folder, EXACT)[1]
+
+
 def _variants(spark: SparkSession, folder: str) -> DataFrame:
     witnesses = table(spark, folder, "statement").filter("statement_type = 'witness'")
     return link_variants(witnesses, key="id", name="who_en", context="who_context_en")
@@ -118,5 +128,5 @@ def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return text_quality(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p5_found": p5_found, "p5_forms": p5_forms, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_quality": p9_quality}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p5_found": p5_found, "p5_forms": p5_forms, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_exact": p8_exact, "p8_exact_shares": p8_exact_shares, "p9_found": p9_found, "p9_quality": p9_quality}
 ORACLE: dict[str, str] = {}

@@ -383,7 +383,7 @@ def test_mix(spark):
     docs = [(i, ["a", "b", "c", "zz", None][i % 5], rng.randint(0, 90)) for i in range(3000)]
     df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     w = spark.createDataFrame([("a", 0.6, 3), ("b", 0.3, 2), ("c", 0.05, 1), ("none", 0.05, 2), ("a", 0.6, 3)], "source string, target_share double, max_repeats int")
-    sel, rep = mixing.mix(df, w)
+    sel, rep = mixing.mix(df, w, total=mixing.EXACT)
     got = sel.toPandas()
     limit = {"a": 3, "b": 2, "c": 1}
     assert set(got.source) == set(limit) and all(got.copies <= got.source.map(limit)) and got.doc_id.is_unique
@@ -391,11 +391,23 @@ def test_mix(spark):
     for s, t in (("a", 0.6), ("b", 0.3), ("c", 0.05)):
         assert r[s].reached_share == pytest.approx(t / 0.95, rel=0.003)
     assert r["none"].taken_tokens == 0
-    again = mixing.mix(df.repartition(7), w)[0].toPandas()
+    again = mixing.mix(df.repartition(7).union(df.limit(100)), w, total=mixing.EXACT)[0].toPandas()  # repeated rows count once
     assert set(map(tuple, again.values)) == set(map(tuple, got.values))
     assert mixing.mix(df.limit(0), w)[0].count() == 0 and mixing.mix(df, w.limit(0))[0].count() == 0
 
 
+def test_mix_clamps_in_turn(spark):
+    """All tokens once: `a` is clamped at its two repeats; what it can't give puts `b` over its one, and `c` gets the rest."""
+    docs = [(i, s, 10) for s, n in (("a", 10), ("b", 36), ("c", 54)) for i in range({"a": 0, "b": 1000, "c": 2000}[s], {"a": 0, "b": 1000, "c": 2000}[s] + n)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    w = spark.createDataFrame([("a", 0.5, 2), ("b", 0.25, 1), ("c", 0.25, 9)], "source string, target_share double, max_repeats int")
+    sel, rep = mixing.mix(df, w)
+    r = {x.source: (x.goal_tokens, x.taken_tokens, x.reached_share) for x in rep.collect()}
+    assert r == {"a": (200.0, 200, 0.2), "b": (360.0, 360, 0.36), "c": (440.0, 440, 0.44)}
+    got = sel.toPandas()
+    assert set(got[got.source == "a"].copies) == {2} and set(got[got.source == "b"].copies) == {1} and got[got.source == "c"].copies.sum() == 44
+
+
 def test_mix_passes_over_large_texts(spark):
     """One text of each source is larger than its goal; the others reach it, wherever the large one stands in the order."""
     docs = [(100 * s + i, f"s{s}", 1000 if i == 0 else 10) for s in range(8) for i in range(100)]
