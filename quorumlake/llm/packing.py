@@ -5,8 +5,9 @@ the sum of N[h]^2 grows least: into a container at some level h <= capacity - s,
 exactly closes its container. Texts longer than the capacity are cut into full containers and one rest, which is packed as
 any other piece; no other text is split.
 
-The rule is sequential, so texts are dealt into shards by a hash of their id, and each shard is packed by itself. The waste
-of a shard is its containers left open, a fixed number for a given capacity, so its share falls with the size of the shard.
+The rule is sequential, so texts are dealt into shards by a hash of their id, and each shard is packed by itself. What is
+wasted are the containers left open, a fixed number for a given capacity and shard. They are then packed again, each as one
+piece of its contents, in shards of their own, until one shard holds them all, so the waste doesn't grow with the shards.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.session import written
+
 #: Texts per shard; a shard's ids and sizes (not the texts) are packed by one task, some MB.
 SHARD = 100_000
 
@@ -97,7 +100,46 @@ def fill_containers(sizes: DataFrame, specs: DataFrame, *, key: str = "doc_id",
         return out[["spec_id", "capacity", key, "piece_no", "first_token", "n_tokens", "container"]]
 
     shape = f"spec_id int, capacity int, {key} {kind}, piece_no int, first_token long, n_tokens int, container string"
-    return each.groupBy("spec_id", "shard").applyInPandas(one, shape)
+    packed = each.groupBy("spec_id", "shard").applyInPandas(one, shape)
+    return packed if shards == 1 else merge_open(written(packed, "p7-packed"), shard)
+
+
+def merge_open(packed: DataFrame, shard: int = SHARD) -> DataFrame:
+    """`packed` with the containers that aren't full put together: each is packed as one piece of its contents. Where more
+    are open than a shard holds they are dealt into shards and what is left open then is packed again, while that saves at
+    least a tenth of them."""
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("container")
+        first = pdf["container"].to_numpy()
+        got = pack(pdf["filled"].to_numpy(), int(pdf["capacity"].iloc[0]))
+        # A new container has the name of the first that went into it.
+        name = pd.Series(first).groupby(got).transform("first").to_numpy()
+        return pdf[["spec_id", "container"]].assign(target=name)
+
+    opened = packed.groupBy("spec_id", "capacity", "container").agg(F.sum("n_tokens").cast("int").alias("filled"))
+    opened = written(opened.filter("filled < capacity"), "p7-open")
+    moved = None
+    n = opened.groupBy("spec_id").count().agg(F.max("count")).first()[0] or 0
+    while n:
+        shards = -(-n // shard)
+        dealt = opened.withColumn("shard", F.pmod(F.xxhash64("container", F.lit(shards)), F.lit(shards)))
+        step = dealt.groupBy("spec_id", "shard").applyInPandas(again, "spec_id int, container string, target string")
+        step = written(step, "p7-moved")
+        if moved is None:
+            moved = step
+        else:
+            on = step.select("spec_id", F.col("container").alias("target"), F.col("target").alias("_next"))
+            moved = written(moved.join(on, ["spec_id", "target"]).select("spec_id", "container", F.col("_next").alias("target")), "p7-moved")
+        opened = opened.join(step, ["spec_id", "container"]).groupBy("spec_id", "capacity", F.col("target").alias("container")).agg(F.sum("filled").cast("int").alias("filled"))
+        opened = written(opened, "p7-open")  # full ones stay: a piece of the whole capacity is a container by itself
+        last, n = n, opened.groupBy("spec_id").count().agg(F.max("count")).first()[0]
+        if shards == 1 or n > 0.9 * last:
+            break
+    if moved is None:
+        return packed
+    got = packed.join(moved, ["spec_id", "container"], "left").withColumn("container", F.coalesce("target", "container"))
+    return got.select(*packed.columns)
 
 
 def unused(packed: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,19 +27,24 @@ def encoder(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: A text is encoded in pieces of about so many characters, cut between words: a run without any space of unbounded
-#: length would cost quadratic time. The sum over the pieces is the size.
-PIECE = 100_000
+#: White space of such a length is a piece by itself: the pattern of the tokenizer can't pass over runs of any length.
+_RUN = re.compile(r"(?<=\S)(?=\s{1000})")
+_FRONT = re.compile(r"\s{1000,}")
 
 
-def _pieces(text: str) -> Iterator[str]:
-    at = 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + PIECE // 2, at + PIECE)
-        cut = at + PIECE if cut < 0 else cut
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+def n_tokens(enc, text: str) -> int:
+    """Number of tokens of the whole text, whatever its length.
+
+    The pattern never takes what stands before white space together with it, so a text may be cut there; of a run of white
+    space it takes all but the last character before a word, which belongs to what follows."""
+    total = 0
+    for part in _RUN.split(text) if len(text) > 1000 else [text]:
+        if run := _FRONT.match(part):
+            end = run.end() - (run.end() < len(part))
+            total += len(enc._encode_single_piece(part[:end]))
+            part = part[end:]
+        total += len(enc.encode_ordinary(part))
+    return total
 
 
 def token_sizes(df: DataFrame, key: str, text: str, *keep: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -48,6 +54,6 @@ def token_sizes(df: DataFrame, key: str, text: str, *keep: str, vocabulary: str
     def size(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(vocabulary)
         for s in texts:
-            yield pd.Series([0 if t is None else sum(len(enc.encode_ordinary(p)) for p in _pieces(t)) for t in s], dtype="int64")
+            yield pd.Series([0 if t is None else n_tokens(enc, t) for t in s], dtype="int64")
 
     return df.select(F.col(key), *[F.col(k) for k in keep], size(F.col(text)).alias("n_tokens"))
