@@ -28,10 +28,10 @@ from quorumlake.session import written
 STATES = "SFTALE"  # speech, filler, timestamp, annotation, speaker label, label end
 #: Which states may show a symbol, with the prior probability of the symbol in the state.
 EMIT = {
-    "w": {"S": 0.7}, ".": {"S": 0.1}, "c": {"S": 0.12, "L": 0.35}, "d": {"S": 0.04, "L": 0.001}, "u": {"S": 0.002, "L": 0.1},
+    "w": {"S": 0.7, "L": 0.01}, ".": {"S": 0.1, "L": 0.001}, "c": {"S": 0.12, "L": 0.35}, "d": {"S": 0.04, "L": 0.001}, "u": {"S": 0.002, "L": 0.1},
     "n": {"S": 0.01, "L": 0.06}, "i": {"S": 0.001, "L": 0.08}, "h": {"S": 0.002, "L": 0.2}, "m": {"S": 0.002, "L": 0.15},
-    "a": {"A": 1.0, "L": 0.03}, "t": {"T": 1.0}, "f": {"F": 0.5}, "k": {"F": 0.4}, "q": {"F": 0.1, "S": 0.0002},
-    "Q": {"F": 0.001, "S": 0.002}, "e": {"E": 0.99, "S": 0.0002}, "l": {"E": 0.001, "S": 0.005},
+    "a": {"A": 0.98, "L": 0.03, "T": 0.01, "S": 0.0002}, "t": {"T": 0.98, "A": 0.02, "S": 0.0002}, "f": {"F": 0.5, "S": 0.0002}, "k": {"F": 0.4, "S": 0.0002},
+    "q": {"F": 0.1, "S": 0.0002}, "Q": {"F": 0.001, "S": 0.002}, "e": {"E": 0.99, "S": 0.0002}, "l": {"E": 0.001, "S": 0.005},
 }
 MOVE = {
     "^": {"S": 0.75, "F": 0.08, "T": 0.08, "A": 0.05, "L": 0.02, "E": 0.02},
@@ -42,39 +42,77 @@ MOVE = {
     "L": {"L": 0.5, "E": 0.5},
     "E": {"S": 0.85, "F": 0.08, "T": 0.03, "A": 0.03, "L": 0.005, "E": 0.005},
 }
-#: The prior counts as so many observations in the re-estimation.
-PRIOR_WEIGHT = 500.0
+#: The prior counts as so many observations of each state in the re-estimation, which ends when no path changes any more.
+PRIOR_WEIGHT, ROUNDS = 20.0, 10
 
 _TIME = r"[\[(<{]?\s*\d{1,2}(?::\d{2}(?::\d{2})?|h\d{2}(?:m\d{2}s?)?)\s*[\])>}]?(?!\w)"
-_GROUP = r"\[[^\]\n]{0,200}\]|\([^)\n]{0,200}\)|\{[^}\n]{0,200}\}|<[^>\n]{0,200}>|\*[^*\n]{1,60}\*|♪[^♪\n]{0,200}♪|♪"
+_OTHER = r"(?P<w>\S+?(?=>>|—(?=\s)|\s|[\[<{{]|$))|\S"
 _TOKEN = re.compile(
-    rf"(?P<t>{_TIME})|(?P<a>(?:{_GROUP}))(?P<ac>:)?|(?P<k>\b(?:you\s+know|i\s+mean)\b(?P<kp>[,.…]*))|(?P<m>>>|—|–|(?<=\s)--?(?=\s))|(?P<w>\S+?(?=>>|—(?=\s)|\s|[\[<{{]|$))|\S",
+    rf"(?P<t>{_TIME})|(?P<b>[\[({{<*♪])|(?P<k>\b(?:you\s+know|i\s+mean)\b(?P<kp>[,.…]*))|(?P<m>>>|—|–|(?<=\s)--?(?=\s))|{_OTHER}",
     re.I,
 )
+_PLAIN = re.compile(_OTHER)
+_CLOSE = {"[": "]", "(": ")", "{": "}", "<": ">", "*": "*", "♪": "♪"}
 _FILLER = re.compile(r"(?:u+h+m*|u+m+|e+r+m*|a+h+|e+u+h+|h+m+|m+h*m+|oh)[,.…;!?-]*", re.I)
 _HONORIFIC = re.compile(r"(?:mr|mrs|ms|miss|hon|dr|prof|chief|m|mme|rt)\.?", re.I)
+_ASKED = re.compile(r"\s*(?:how|what|where|why|who|which|whether|if)\b", re.I)
 _INITIAL = re.compile(r"[^\W\d_]\.(?:-?[^\W\d_]\.)*")
 
 
+class _Closers:
+    """Where a bracket of a text ends: at the next mark of its kind in its line. The next mark is looked for once, so a text
+    of opening brackets costs no more than its length."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.next = text, {}
+
+    def find(self, mark: str, at: int) -> int:
+        """The first `mark` from `at` on, the length of the text where there is none; `at` never falls for a mark."""
+        got = self.next.get(mark, -1)
+        if got < at:
+            got = self.text.find(mark, at)
+            self.next[mark] = got = len(self.text) if got < 0 else got
+        return got
+
+    def end(self, at: int) -> int:
+        """The end of the annotation that begins at `at`, or `at` for none."""
+        opener = self.text[at]
+        to = self.find(_CLOSE[opener], at + 1 + (opener == "*"))
+        if to < min(len(self.text), self.find("\n", at)):
+            return to + 1
+        return at + 1 if opener == "♪" else at
+
+
 def tokens(text: str) -> tuple[list[str], str]:
     """Tokens of a fragment and the string of their symbols (see EMIT), one each."""
     toks: list[str] = []
     syms: list[str] = []
-    last = ""
-    for x in _TOKEN.finditer(text):
-        s = x[0]
-        if x["t"]:
+    last, pos, closers = "", 0, _Closers(text)
+    while x := _TOKEN.search(text, pos):
+        at, pos = x.span()
+        noted = 0
+        if x["b"]:
+            noted = closers.end(at)
+            if noted > at:
+                pos = noted
+            else:
+                x, noted = _PLAIN.match(text, at), 0
+                pos = x.end()
+        s = text[at:pos]
+        if noted:
+            if text.startswith(":", pos):
+                s, sym, pos = s + ":", "e", pos + 1
+            else:
+                sym = "t" if re.fullmatch(_TIME, s.strip("[](){}<>*♪ ")) else "a"
+        elif x.re is _TOKEN and x["t"]:
             sym = "t"
-        elif x["a"]:
-            inner = x["a"].strip("[](){}<>*♪ ")
-            sym = "e" if x["ac"] else "t" if re.fullmatch(_TIME, inner) else "a"
-        elif x["k"]:
+        elif x.re is _TOKEN and x["k"]:
             if x["kp"]:
                 sym = "k"
             else:
-                asked = last.lower().strip(",.") == "do" or re.match(r"\s*(?:how|what|where|why|who|which|whether|if)\b", text[x.end() :], re.I)
+                asked = last.lower().strip(",.") == "do" or _ASKED.match(text, pos)
                 sym = "Q" if asked and s.lower().startswith("you") else "q"
-        elif x["m"]:
+        elif x.re is _TOKEN and x["m"]:
             sym = "m"
         elif _FILLER.fullmatch(s):
             sym = "f"
@@ -148,14 +186,36 @@ class Model:
         return Model(emit, move)
 
 
-def _learn(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    model, total = Model(), Counter()
-    for pdf in rows:
-        for syms in pdf["syms"]:
-            path = model.decode(syms)
-            total.update(("e", a, s) for a, s in zip(path, syms))
-            total.update(("m", a, b) for a, b in zip("^" + path, path))
-    yield pd.DataFrame([(*k, float(v)) for k, v in total.items()], columns=["kind", "a", "b", "n"])
+def _learn(model: Model, before: Model | None):
+    """A pass over distinct symbol strings and their numbers: counts under `model`, and how many tokens it tags otherwise
+    than `before` did, as ('c', '', '')."""
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for pdf in rows:
+            for syms, n in zip(pdf["syms"], pdf["n"]):
+                path = model.decode(syms)
+                total["c", "", ""] += n * (sum(a != b for a, b in zip(path, before.decode(syms))) if before else 1)
+                for a, s in zip(path, syms):
+                    total["e", a, s] += n
+                for a, b in zip("^" + path, path):
+                    total["m", a, b] += n
+        yield pd.DataFrame([(*k, float(v)) for k, v in total.items()], columns=["kind", "a", "b", "n"])
+
+    return run
+
+
+def train(syms: DataFrame) -> Model:
+    """The tagger for symbol strings `syms` (syms, n): Viterbi training until no token changes its tag. Each round is a pass
+    over the distinct strings and an aggregate of at most some hundred (state, symbol) and (state, state) pairs."""
+    model, before = Model(), None
+    for _ in range(ROUNDS):
+        got = syms.mapInPandas(_learn(model, before), "kind string, a string, b string, n double").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+        counts = {(r.kind, r.a, r.b): r.n for r in got.collect()}
+        if not counts.pop(("c", "", ""), 0.0):
+            break
+        model, before = Model.train(counts), model
+    return model
 
 
 def segments(toks: list[str], path: str) -> list[tuple[str | None, str]]:
@@ -318,9 +378,7 @@ def speaker_turns(df: DataFrame) -> DataFrame:
     base = dict(kept.dtypes)
     cols = f"document_id {base['document_id']}, time {base['time']}, id {base['id']}, who string"
     tagged = written(kept.mapInPandas(cut, f"{cols}, toks array<string>, syms string"), "p3-tokens")
-    # At most some hundred (state, symbol) and (state, state) pairs, whatever the input.
-    counts = tagged.select("syms").mapInPandas(_learn, "kind string, a string, b string, n double").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    model = Model.train({(r.kind, r.a, r.b): r.n for r in counts.collect()})
+    model = train(written(tagged.groupBy("syms").agg(F.count("*").alias("n")), "p3-symbols"))
 
     def split(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -342,19 +400,20 @@ def speaker_turns(df: DataFrame) -> DataFrame:
     speakers = labels.groupBy("document_id").applyInPandas(
         who_is, f"document_id {base['document_id']}, label string, speaker string"
     )
+    # The scans read their input several times, so it is written before each.
     named = parts.join(speakers, ["document_id", "label"], "left").withColumn("chunk", F.date_trunc("hour", "time"))
     order = ["time", "id", "part"]
     # Someone of several of one name: whoever of that name spoke last in the document, else one of their own.
     unsure = F.col("speaker").startswith("?")
     fam = F.when(unsure, F.expr("substring(speaker, 2)")).otherwise(F.split("speaker", r"\|").getItem(0))
     named = named.withColumn("_fam", F.coalesce(fam, F.lit(""))).withColumn("_sure", F.when(~unsure, F.col("speaker")))
-    named = fill_forward(named, ["document_id", "_fam"], order, "_sure", "_last", "chunk")
+    named = fill_forward(written(named, "p3-named"), ["document_id", "_fam"], order, "_sure", "_last", "chunk")
     named = named.withColumn("speaker", F.when(unsure, F.coalesce("_last", "speaker")).otherwise(F.col("speaker"))).drop("_fam", "_sure", "_last")
     # A part without words names the next speaker only where it is a label inside a fragment.
-    spoke = named.filter((F.col("words") != "") | F.col("inside"))
+    spoke = written(named.filter((F.col("words") != "") | F.col("inside")), "p3-spoke")
     filled = fill_forward(spoke, ["document_id"], order, "speaker", "who", "chunk").filter("words <> ''")
     filled = filled.withColumn("who", F.coalesce("who", F.lit("")))
-    turns = run_numbers(filled, ["document_id"], order, "who", "turn_no", "chunk")
+    turns = run_numbers(written(filled, "p3-filled"), ["document_id"], order, "who", "turn_no", "chunk")
     return turns.select(
         "document_id", F.col("turn_no").cast("int").alias("turn_no"), "time", "id", F.col("part").alias("part_no"),
         F.col("who").alias("speaker"), "words",

@@ -153,6 +153,19 @@ def test_tagger():
     assert run("as agreed. — MR. STONE: Thank you. (laughter)") == [(None, "as agreed."), ("— MR. STONE:", "Thank you.")]
     assert run("It is done. Ms. Ann Lee (North Bay): No.")[1] == ("Ms. Ann Lee (North Bay):", "No.")
     assert run("(inaudible 00:29:06) {coughs} ♪ ♪") == [] and run("") == [] and run("I mean...") == []
+    # Annotations of any length; a bracket that isn't closed in its line is none, and many of them cost no more than one.
+    assert run("Yes [" + "noise " * 500 + "] no.") == [(None, "Yes no.")] and run("It (is\nso) far.") == [(None, "It (is so) far.")]
+    assert run("[" * 200_000 + " end")[0][1].endswith("end") and run("* * *bell rings* go") == [(None, "go")]
+
+
+def test_training_settles_on_the_data(spark):
+    """The probabilities are those of the corpus, and an empty one leaves the prior."""
+    syms = spark.createDataFrame([("wwww.", 500), ("wwqww.", 40), ("wQw.", 30), ("fww.", 50), ("hcewww.", 20)], "syms string, n long")
+    m = turns.train(syms)
+    again = turns.Model.train({})
+    assert m.decode("hcewww.") == "LLESSSS" and m.decode("fww.") == "FSSS" and again.decode("fww.") == "FSSS"
+    assert m.move["S"]["S"] != again.move["S"]["S"] and abs(sum(math.exp(x) for x in m.move["S"].values()) - 1) < 1e-9
+    assert turns.train(syms.limit(0)).decode("fww.") == "FSSS"
 
 
 def test_decode_is_the_best_path():
