@@ -37,7 +37,7 @@ def cascade(s, d):
     return two.join(one, "riding_id", "left").select("riding_id", F.coalesce("p1", "p2").alias("party_id"))
 
 
-@query("p7_key_path", BASE + "SELECT id, date FROM vq WHERE session_id = '42-1' AND number = 7")
+@query("flt_p7_key_path", BASE + "SELECT id, date FROM vq WHERE session_id = '42-1' AND number = 7")
 def key_path(s, d):
     """A path of a natural key: /votes/42-1/7/."""
     def by_path(df, raw):
@@ -47,7 +47,7 @@ def key_path(s, d):
     return fl.Resource(questions(s, d), {"vote": fl.ByFunction(by_path)}, (F.col("id"),)).query({"vote": "/votes/42-1/7/"}).select("id", "date")
 
 
-@query("p14_in_subquery", BASE + "SELECT id FROM mv WHERE votequestion_id IN (SELECT id FROM vq WHERE result = 'N') AND vote IN ('Y', 'P')")
+@query("flt_p14_in_subquery", BASE + "SELECT id FROM mv WHERE votequestion_id IN (SELECT id FROM vq WHERE result = 'N') AND vote IN ('Y', 'P')")
 def in_subquery(s, d):
     lost = questions(s, d).filter("result = 'N'").select(F.col("id").alias("votequestion_id"))
     return ballots(s, d).filter(F.col("vote").isin("Y", "P")).join(lost, "votequestion_id", "left_semi").select("id")
@@ -56,43 +56,43 @@ def in_subquery(s, d):
 _PROV = {"0": "NL", "1": "NS", "2": "QC", "3": "ON", "4": "MB"}
 
 
-@query("p20_province", BASE + "SELECT DISTINCT riding_id, CASE substr(lpad(CAST(riding_id AS VARCHAR), 3, '0'), 1, 1) WHEN '0' THEN 'NL' WHEN '1' THEN 'NS' WHEN '2' THEN 'QC' WHEN '3' THEN 'ON' WHEN '4' THEN 'MB' END AS province FROM em WHERE riding_id IS NOT NULL")
+@query("flt_p20_province", BASE + "SELECT DISTINCT riding_id, CASE substr(lpad(CAST(riding_id AS VARCHAR), 3, '0'), 1, 1) WHEN '0' THEN 'NL' WHEN '1' THEN 'NS' WHEN '2' THEN 'QC' WHEN '3' THEN 'ON' WHEN '4' THEN 'MB' END AS province FROM em WHERE riding_id IS NOT NULL")
 def province(s, d):
     m = F.create_map(*[F.lit(x) for kv in _PROV.items() for x in kv])
     return members(s, d).filter("riding_id is not null").select("riding_id").distinct().withColumn("province", F.try_element_at(m, F.substring(F.lpad(F.col("riding_id").cast("string"), 3, "0"), 1, 1)))
 
 
-@query("p22_line_rules", "SELECT doc_id FROM documents WHERE regexp_matches(text, '^[A-ZÀ-Þ]') AND NOT regexp_matches(text, '[0-9()—]') AND NOT regexp_matches(text, '(Mr|Ms|St)[.]$')")
+@query("flt_p22_line_rules", "SELECT doc_id FROM documents WHERE regexp_matches(text, '^[A-ZÀ-Þ]') AND NOT regexp_matches(text, '[0-9()—]') AND NOT regexp_matches(text, '(Mr|Ms|St)[.]$')")
 def line_rules(s, d):
     t = F.col("text")
     return table(s, d, "documents").filter(t.rlike("^[A-ZÀ-Þ]") & ~t.rlike("[0-9()—]") & ~t.rlike("(Mr|Ms|St)[.]$")).select("doc_id")
 
 
-@query("p23_search_doc", BASE + "SELECT 'statement.' || CAST(id AS VARCHAR) AS id, NULLIF(h1_en, '') AS topic, NULLIF(who_context_en, '') AS context, strftime(time, '%Y-%m-%dT%H:%M:%SZ') AS at FROM st")
+@query("flt_p23_search_doc", BASE + "SELECT 'statement.' || CAST(id AS VARCHAR) AS id, NULLIF(h1_en, '') AS topic, NULLIF(who_context_en, '') AS context, strftime(time, '%Y-%m-%dT%H:%M:%SZ') AS at FROM st")
 def search_doc(s, d):
     st = statements(s, d, "h1_en", "who_context_en", "time")
     none = lambda c: F.nullif(F.col(c), F.lit(""))
     return st.select(F.concat(F.lit("statement."), F.col("id").cast("string")).alias("id"), none("h1_en").alias("topic"), none("who_context_en").alias("context"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
 
 
-@query("p25_admin_search", BASE + "SELECT id FROM pol WHERE lower(name) LIKE '%bar%' OR lower(slug) LIKE '%bar%'")
+@query("flt_p25_admin_search", BASE + "SELECT id FROM pol WHERE lower(name) LIKE '%bar%' OR lower(slug) LIKE '%bar%'")
 def admin_search(s, d):
     return people(s, d).filter(F.lower("name").contains("bar") | F.lower("slug").contains("bar")).select("id")
 
 
-@query("p26_analysed", BASE + "SELECT id FROM st WHERE NOT procedural AND politician_id IN (SELECT politician_id FROM em WHERE end_date IS NULL) AND time >= TIMESTAMP '2017-06-30 00:00:00' - INTERVAL 700 DAY")
+@query("flt_p26_analysed", BASE + "SELECT id FROM st WHERE NOT procedural AND politician_id IN (SELECT politician_id FROM em WHERE end_date IS NULL) AND time >= TIMESTAMP '2017-06-30 00:00:00' - INTERVAL 700 DAY")
 def analysed(s, d):
     now = members(s, d).filter("end_date is null").select("politician_id")
     since = F.lit("2017-06-30").cast("timestamp_ntz") - F.expr("interval 700 days")
     return statements(s, d, "politician_id", "procedural", "time").filter(~F.col("procedural") & (F.col("time") >= since)).join(now, "politician_id", "left_semi").select("id")
 
 
-@query("p27_corpora", BASE + "SELECT CAST(year(time) AS INTEGER) AS y, count(*) AS n, CAST(sum(wordcount) AS BIGINT) AS words FROM st WHERE NOT procedural GROUP BY year(time)")
+@query("flt_p27_corpora", BASE + "SELECT CAST(year(time) AS INTEGER) AS y, count(*) AS n, CAST(sum(wordcount) AS BIGINT) AS words FROM st WHERE NOT procedural GROUP BY year(time)")
 def corpora(s, d):
     return statements(s, d, "procedural", "time", "wordcount").filter("not procedural").groupBy(F.year("time").alias("y")).agg(F.count("*").alias("n"), F.sum("wordcount").alias("words"))
 
 
-@query("p28_home", BASE + "SELECT * FROM (SELECT 'vote' AS kind, id FROM vq ORDER BY date DESC, id DESC LIMIT 6) a UNION ALL SELECT * FROM (SELECT 'document' AS kind, doc_id AS id FROM documents WHERE published_on IS NOT NULL ORDER BY published_on DESC, doc_id DESC LIMIT 1) b")
+@query("flt_p28_home", BASE + "SELECT * FROM (SELECT 'vote' AS kind, id FROM vq ORDER BY date DESC, id DESC LIMIT 6) a UNION ALL SELECT * FROM (SELECT 'document' AS kind, doc_id AS id FROM documents WHERE published_on IS NOT NULL ORDER BY published_on DESC, doc_id DESC LIMIT 1) b")
 def home(s, d):
     v = questions(s, d).orderBy(F.desc("date"), F.desc("id")).limit(6).select(F.lit("vote").alias("kind"), "id")
     doc = table(s, d, "documents").filter("published_on is not null").orderBy(F.desc("published_on"), F.desc("doc_id")).limit(1)

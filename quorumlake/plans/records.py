@@ -138,7 +138,7 @@ def totals(s, d):
 
 
 @query(
-    "p11_ballots_by_filter",
+    "flt_p11_ballots",
     BASE + "SELECT id, votequestion_id, politician_id, vote FROM mv WHERE vote = 'N' AND dissent AND votequestion_id BETWEEN 10 AND 60",
 )
 def ballot_list(s, d):
@@ -150,7 +150,7 @@ def ballot_list(s, d):
 
 
 @query(
-    "p2_p5_votes_by_filter",
+    "flt_p2_p5_votes",
     BASE + "SELECT id, session_id, number, date, result FROM vq WHERE bill_id IS NULL AND date >= DATE '2016-06-01' AND nay_total < 40 AND session_id = '42-1'",
 )
 def vote_list(s, d):
@@ -165,7 +165,7 @@ def vote_list(s, d):
 
 
 @query(
-    "p6_p8_people_by_filter",
+    "flt_p6_p8_people",
     BASE + "SELECT id, name FROM pol WHERE lower(name) LIKE '%an%' AND name_family LIKE 'B%' AND gender = 'F'",
 )
 def people_list(s, d):
@@ -174,7 +174,7 @@ def people_list(s, d):
 
 
 @query(
-    "p8_p12_speeches_of_person",
+    "flt_p8_speeches",
     BASE + "SELECT id, document_id, sequence FROM st WHERE politician_id IN (SELECT id FROM pol WHERE slug = (SELECT min(slug) FROM pol WHERE id > 5)) AND NOT procedural",
 )
 def speeches(s, d):
@@ -190,18 +190,18 @@ def page(s, d):
     return r.page({"limit": "0", "offset": "5"})[0]
 
 
-@query("p13_not_or", BASE + "SELECT id FROM em WHERE (end_date IS NULL OR end_date >= DATE '2018-01-01') AND NOT (party_id = 1 AND riding_id > 100)")
+@query("flt_p13_not_or", BASE + "SELECT id FROM em WHERE (end_date IS NULL OR end_date >= DATE '2018-01-01') AND NOT (party_id = 1 AND riding_id > 100)")
 def not_or(s, d):
     return members(s, d).filter((F.col("end_date").isNull() | (F.col("end_date") >= "2018-01-01")) & ~((F.col("party_id") == 1) & (F.col("riding_id") > 100))).select("id")
 
 
-@query("p15_p16_dates", BASE + "SELECT id, date FROM vq WHERE year(date) = 2017 AND date >= DATE '2017-12-31' - INTERVAL 200 DAY")
+@query("flt_p15_p16_dates", BASE + "SELECT id, date FROM vq WHERE year(date) = 2017 AND date >= DATE '2017-12-31' - INTERVAL 200 DAY")
 def dates(s, d):
     return questions(s, d).filter((F.year("date") == 2017) & (F.col("date") >= F.date_sub(F.lit("2017-12-31").cast("date"), 200))).select("id", "date")
 
 
 @query(
-    "p18_p19_derived",
+    "flt_p18_p19_derived",
     BASE
     + """SELECT id, CAST(regexp_replace(session_id, '[^0-9]', '', 'g') AS INTEGER) AS session_no, number >= 200 AS high,
     CASE result WHEN 'Y' THEN 'Agreed to' WHEN 'N' THEN 'Negatived' WHEN 'T' THEN 'Tie' END AS result_label,
@@ -216,7 +216,7 @@ def derived(s, d):
 
 
 @query(
-    "p21_procedural_rule",
+    "flt_p21_procedural_rule",
     BASE
     + """SELECT id, (wordcount <= 300 AND ((politician_id IS NULL AND regexp_matches(who_en, '(Speaker|Chair|président)')) OR who_en = ''
     OR content_en NOT LIKE '%<p%' OR NOT regexp_matches(regexp_replace(content_en, '<p[^>]*procedural[^>]*>', '', 'g'), '<p[ >]'))) AS rule
