@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,66 +81,73 @@ def activity(st: DataFrame, least: int = 0) -> DataFrame:
 
 # --- sections ------------------------------------------------------------------------------------------------------------
 
-_OPEN_ENDED = "Petitions"
-
-
-def _sections(rows: list[dict]) -> list[dict]:
-    """Sections of one document in order of appearance (A19): consecutive statements of one (h1, h2, h3, bill) belong
-    together; so do statements without a bill whose h2 lies within the word of `_OPEN_ENDED`, an empty h2 too, under one
-    h1. Statements under a heading that begins 'questions ' are passed over, except as the first. Runs of one heading
-    (lower case) or one (bill, stage) that lie apart are put together."""
-    runs: list[list[dict]] = []
-    for r in rows:
-        if not runs:
-            runs.append([r])
-            continue
-        if (r["h1"] or "").lower().startswith("questions "):
-            continue
-        head = runs[-1][0]
-        key = lambda x: (x["h1"], x["h2"], x["h3"], x["bill"])
-        loose = not r["bill"] and r["h1"] == head["h1"] and (r["h2"] or "") in _OPEN_ENDED and (head["h2"] or "") in _OPEN_ENDED
-        if key(r) == key(head) or loose:
-            runs[-1].append(r)
-        else:
-            runs.append([r])
-    out: dict[tuple, dict] = {}
-    for run in runs:
-        spoken = sum(r["wordcount"] or 0 for r in run if not r["procedural"])
-        if not spoken:
-            continue
-        head = run[0]
-        key = ("bill", head["bill"], head["stage"]) if head["bill"] else ("head", *[(head[h] or "").lower() for h in ("h1", "h2", "h3")])
-        secs = (run[-1]["time"] - run[0]["time"]).seconds if run[0]["time"] is not None and run[-1]["time"] is not None else 0
-        long = max((r["wordcount"] or 0) for r in run)
-        if key in out:
-            s = out[key]
-            if run[0]["sequence"] - s["last_seq"] > 5 and run[0]["time"] != s["last_time"]:
-                s["segments"] += 1
-            s["words"] += spoken
-            s["minutes"] += secs // 60
-            s["statements"] += len(run)
-            s["longest"] = max(s["longest"], long)
-        else:
-            s = out[key] = {"h1": head["h1"], "h2": head["h2"], "h3": head["h3"], "bill": head["bill"], "stage": head["stage"], "first_seq": head["sequence"],
-                            "words": spoken, "minutes": secs // 60, "statements": len(run), "longest": long, "segments": 1}
-        s["last_seq"], s["last_time"] = run[-1]["sequence"], run[-1]["time"]
-    return [s for s in out.values() if s["stage"] == "1" or s["words"] >= 500 or s["longest"] >= 300]
-
-
-_SECTION = "h1 string, h2 string, h3 string, bill string, stage string, first_seq int, words long, minutes int, statements int, longest int, segments int"
-
-
-def sections(st: DataFrame) -> DataFrame:
-    """Sections of every document of `st` (document_id, sequence, time, h1, h2, h3, bill, stage, wordcount, procedural). The
-    fold compares with the first statement of the open run, which no window can; it is done per sitting, whose statements
-    are some thousands and carry no texts here."""
-    cols = [c.split()[0] for c in _SECTION.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).sort_values("sequence").to_dict("records")
-        got = pd.DataFrame(_sections(rows), columns=[*cols, "last_seq", "last_time"])[cols]
-        got.insert(0, "document_id", pdf["document_id"].iloc[0])
-        return got
-
-    slim = st.select("document_id", "sequence", "time", "h1", "h2", "h3", "bill", "stage", "wordcount", "procedural")
-    return slim.filter("document_id is not null").groupBy("document_id").applyInPandas(run, f"document_id {dict(st.dtypes)['document_id']}, {_SECTION}")
+# Business that is one section whatever the headings below it, and how it is shown.
+SHOWN = {"oral questions": "Question Period", "oral question period": "Question Period", "adjournment proceedings": "Adjournment Debates",
+         "statements by members": "Statements by Members"}
+PETITIONS = "Petitions"
+
+
+def sections(st: DataFrame, per_chunk: int = 1000) -> DataFrame:
+    """Sections of every document of `st` (document_id, sequence, time, slug, h1, h2, h3, bill, stage, wordcount, procedural),
+    one row each (A19), in order of appearance by first_seq.
+
+    Statements under an h2 that begins 'questions ' are passed over, except as the first. Of the others consecutive ones
+    belong together if they have one h1 of `SHOWN`; or one h1 and one h2 that lies within the word of `PETITIONS`, an empty h2
+    too; or one (h1, h2, h3, bill). Each rule asks both statements the same, so a run is a run of one key, and runs are
+    numbered in two levels. Runs without words that aren't procedural are dropped; those of one (bill, stage), or without a
+    bill of one heading (lower case), are put together, with a new segment where more than five in sequence and some time lie
+    between. Sections of stage 1, of 500 words or with a statement of 300 are kept. Null headings count as empty, null counts
+    as 0; statements without document or sequence are left out. Minutes wrap at a day."""
+    heads = ["h1", "h2", "h3"]
+    said = st.filter("document_id is not null and sequence is not null").select(
+        "document_id", "sequence", "time", "slug", *[F.coalesce(h, F.lit("")).alias(h) for h in heads], "bill", "stage",
+        F.coalesce("wordcount", F.lit(0)).alias("wordcount"), F.coalesce("procedural", F.lit(False)).alias("procedural"),
+    )
+    first = said.groupBy("document_id").agg(F.min("sequence").alias("_first"))
+    kept = said.join(first, "document_id").filter((F.col("sequence") == F.col("_first")) | ~F.lower("h2").startswith("questions "))
+    special = F.lower("h1").isin(list(SHOWN))
+    key = F.when(special, F.array("h1")).when(F.lit(PETITIONS).contains(F.col("h2")), F.array("h1", "h2")).otherwise(
+        F.array("h1", "h2", "h3", F.coalesce("bill", F.lit("")))
+    )
+    kept = kept.withColumn("_key", F.to_json(key)).withColumn("_chunk", F.floor(F.col("sequence") / per_chunk))
+    runs = run_numbers(kept, ["document_id"], ["sequence"], "_key", "_run", "_chunk")
+    head, tail = F.struct("sequence", "time", "slug", *heads, "bill", "stage"), F.struct("sequence", "time")
+    spoken = F.sum(F.when(F.col("procedural"), 0).otherwise(F.col("wordcount")))
+    one = [F.when((F.min(F.lower(h)) == F.max(F.lower(h))) & (F.min(h) != ""), F.min_by(h, "sequence")).alias(f"_one_{h}") for h in heads]
+    run = runs.groupBy("document_id", "_run").agg(
+        F.min(head).alias("a"), F.max(tail).alias("z"), spoken.alias("words"), F.count("*").alias("statements"), F.max("wordcount").alias("longest"), *one
+    )
+    run = run.filter("words <> 0")
+    secs = F.pmod(F.unix_timestamp(F.col("z.time").cast("timestamp")) - F.unix_timestamp(F.col("a.time").cast("timestamp")), F.lit(86400))
+    run = run.withColumn("minutes", F.coalesce(F.floor(secs / 60), F.lit(0)))
+    billed = F.coalesce(F.col("a.bill"), F.lit("")) != ""
+    same = F.when(billed, F.array("a.bill", F.coalesce("a.stage", F.lit("")))).otherwise(F.array(*[F.lower(f"a.{h}") for h in heads]))
+    run = run.withColumn("_same", F.to_json(F.struct(billed.alias("b"), same.alias("k"))))
+    # One row per run: a sitting has some hundreds.
+    along = Window.partitionBy("document_id", "_same").orderBy("_run")
+    before = F.lag("z").over(along)
+    apart = (F.col("a.sequence") - before["sequence"] > 5) & ~F.col("a.time").eqNullSafe(before["time"])
+    run = run.withColumn("_apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    got = run.groupBy("document_id", "_same").agg(
+        F.min(F.struct("_run", "a", *[f"_one_{h}" for h in heads]))["a"].alias("a"), F.sum("words").alias("words"), F.sum("minutes").cast("int").alias("minutes"),
+        F.sum("statements").alias("statements"), F.max("longest").alias("longest"), (1 + F.sum("_apart")).cast("int").alias("segments"),
+        *[F.when((F.min(F.lower(f"_one_{h}")) == F.max(F.lower(f"_one_{h}"))) & (F.count(f"_one_{h}") == F.count("*")), F.min_by(f"_one_{h}", "_run")).alias(f"_one_{h}") for h in heads],
+    )
+    shown = F.create_map(*[F.lit(x) for kv in SHOWN.items() for x in kv])
+    heading = F.coalesce(
+        F.try_element_at(shown, F.lower("a.h1")), F.when(F.coalesce(F.col("a.bill"), F.lit("")) != "", F.col("a.h2")), "_one_h3", "_one_h2", "_one_h1"
+    )
+    return got.filter((F.col("a.stage") == "1") | (F.col("words") >= 500) | (F.col("longest") >= 300)).select(
+        "document_id", F.col("a.sequence").alias("first_seq"), F.col("a.slug").alias("slug"), *[F.col(f"a.{h}").alias(h) for h in heads],
+        F.col("a.bill").alias("bill"), F.col("a.stage").alias("stage"), heading.alias("display_heading"), "words", "minutes", "statements", "longest", "segments",
+    )
+
+
+def subheads(st: DataFrame, found: DataFrame) -> DataFrame:
+    """document_id, first_seq (of the section), heading, slug of the first statement under each heading of the sections
+    `found` (as of `sections`) that list them (R3): h2 under the business of `SHOWN`, h3 under petitions."""
+    inside = st.select("document_id", "sequence", "slug", "h1", "h2", "h3", "bill")
+    f = found.filter(F.lower("h1").isin(list(SHOWN)) | (F.col("h2") == PETITIONS)).select("document_id", "first_seq", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    got = inside.join(f, (inside["document_id"] == f["document_id"]) & (F.lower("h1") == F.lower("_h1")) & (F.lower("_h1").isin(list(SHOWN)) | (F.lower("h2") == F.lower("_h2")))).drop(f["document_id"])
+    heading = F.when(F.lower("h1").isin(list(SHOWN)), F.col("h2")).otherwise(F.col("h3"))
+    return got.withColumn("heading", heading).filter("heading <> ''").groupBy("document_id", "first_seq", "heading").agg(F.min_by("slug", "sequence").alias("slug"))

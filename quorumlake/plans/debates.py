@@ -96,10 +96,39 @@ def heading_runs(s, d):
     return db.heading_runs(_said(s, d, "h1_en", "h2_en", "wordcount", "procedural"), ["h1_en", "h2_en"], 200)
 
 
-@query("a19_sections")
+_SPECIAL = "('oral questions', 'oral question period', 'adjournment proceedings', 'statements by members')"
+
+
+@query(
+    "a19_sections",
+    SAID + f""", a AS (SELECT *, COALESCE(h1_en, '') AS h1, COALESCE(h2_en, '') AS h2, min(sequence) OVER (PARTITION BY document_id) AS f FROM sd),
+    k AS (SELECT *, CASE WHEN lower(h1) IN {_SPECIAL} THEN '1|' || h1 WHEN contains('Petitions', h2) THEN '2|' || h1 || '|' || h2 ELSE '3|' || h1 || '|' || h2 END AS key
+      FROM a WHERE sequence = f OR NOT starts_with(lower(h2), 'questions ')),
+    l AS (SELECT *, CASE WHEN lag(key) OVER (PARTITION BY document_id ORDER BY sequence) = key THEN 0 ELSE 1 END AS new FROM k),
+    n AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY sequence) AS run FROM l),
+    r AS (SELECT document_id, run, min(sequence) AS s0, max(sequence) AS s1, arg_min(time, sequence) AS t0, arg_max(time, sequence) AS t1, arg_min(slug, sequence) AS slug,
+      arg_min(h1, sequence) AS h1, arg_min(h2, sequence) AS h2, sum(CASE WHEN procedural THEN 0 ELSE wordcount END) AS words, count(*) AS statements, max(wordcount) AS longest,
+      CASE WHEN min(lower(h1)) = max(lower(h1)) AND min(h1) <> '' THEN arg_min(h1, sequence) END AS o1, CASE WHEN min(lower(h2)) = max(lower(h2)) AND min(h2) <> '' THEN arg_min(h2, sequence) END AS o2
+      FROM n GROUP BY document_id, run),
+    q AS (SELECT *, lower(h1) || '|' || lower(h2) AS same, floor((date_diff('second', t0, t1) % 86400) / 60.0) AS minutes FROM r WHERE words <> 0),
+    g AS (SELECT *, CASE WHEN s0 - lag(s1) OVER w > 5 AND t0 <> lag(t1) OVER w THEN 1 ELSE 0 END AS apart FROM q WINDOW w AS (PARTITION BY document_id, same ORDER BY run))
+    SELECT document_id, min(s0) AS first_seq, arg_min(slug, run) AS slug, arg_min(h1, run) AS h1, arg_min(h2, run) AS h2,
+      COALESCE(CASE lower(arg_min(h1, run)) WHEN 'oral questions' THEN 'Question Period' WHEN 'oral question period' THEN 'Question Period' WHEN 'adjournment proceedings' THEN 'Adjournment Debates' WHEN 'statements by members' THEN 'Statements by Members' END,
+        CASE WHEN min(lower(o2)) = max(lower(o2)) AND count(o2) = count(*) THEN arg_min(o2, run) END, CASE WHEN min(lower(o1)) = max(lower(o1)) AND count(o1) = count(*) THEN arg_min(o1, run) END) AS display_heading,
+      CAST(sum(words) AS BIGINT) AS words, CAST(sum(minutes) AS INTEGER) AS minutes, CAST(sum(statements) AS BIGINT) AS statements, max(longest) AS longest, CAST(1 + sum(apart) AS INTEGER) AS segments
+    FROM g GROUP BY document_id, same HAVING sum(words) >= 500 OR max(longest) >= 300""",
+)
 def a19_sections(s, d):
-    st = _said(s, d, "time", "h1_en", "h2_en", "wordcount", "procedural")
-    return db.sections(st.select("document_id", "sequence", "time", F.col("h1_en").alias("h1"), F.col("h2_en").alias("h2"), F.lit("").alias("h3"), F.lit(None).cast("string").alias("bill"), F.lit("").alias("stage"), "wordcount", "procedural"))
+    """The tables have neither third headings nor bills."""
+    st = _said(s, d, "time", "slug", "h1_en", "h2_en", "wordcount", "procedural")
+    return db.sections(_sectioned(st)).drop("h3", "bill", "stage")
+
+
+def _sectioned(st: DataFrame) -> DataFrame:
+    return st.select(
+        "document_id", "sequence", "time", "slug", F.col("h1_en").alias("h1"), F.col("h2_en").alias("h2"), F.lit("").alias("h3"), F.lit(None).cast("string").alias("bill"),
+        F.lit("").alias("stage"), "wordcount", "procedural",
+    )
 
 
 @query(
@@ -154,12 +183,13 @@ def timed(s, d):
 
 # --- language models -------------------------------------------------------------------------------------------------------
 
-_TOK = r"""tk AS (SELECT doc_id, source, regexp_split_to_array(regexp_replace(lower(text), '[^\s\p{L}\p{N}_''’—-]', '', 'g'), '[\s—]+') AS w FROM documents WHERE lang = 'en')"""
+_TOK = r"""tk AS (SELECT doc_id, source, regexp_split_to_array(regexp_replace(lower(text), '[^\s\p{L}\p{N}_''’—-]', '', 'g'), '[\s—]+') AS w FROM documents WHERE lower(substr(trim(lang), 1, 2)) = 'en')"""
 _UNI = "WITH " + _TOK + ", g AS (SELECT doc_id, source, unnest(w) AS gram FROM tk), "
 
 
 def _english(s, d):
-    return table(s, d, "documents").filter("lang = 'en'").select("doc_id", "source", "text")
+    """Documents whose language tag is English, however it is written; those without a tag are of no language."""
+    return table(s, d, "documents").filter("lower(substr(trim(lang), 1, 2)) = 'en'").select("doc_id", "source", "text")
 
 
 @query("a12_unigrams", _UNI + """c AS (SELECT gram, count(*) AS cnt FROM g WHERE length(gram) > 2 AND gram NOT LIKE '%/%' GROUP BY gram), t AS (SELECT sum(cnt) AS n FROM c)
@@ -175,19 +205,19 @@ def bigrams(s, d):
     return language.frequencies(_english(s, d), [], "text", 2, min_count=5)
 
 
-STOP = ["the", "and", "that", "for", "not", "this", "has", "with"]
+STOP = language.STOP_WORDS
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP)
 _KEY = _UNI + """c AS (SELECT source, gram, count(*) AS cnt FROM g WHERE length(gram) > 2 AND gram NOT LIKE '%/%' AND source IS NOT NULL GROUP BY source, gram),
 t AS (SELECT source, sum(cnt) AS n FROM c GROUP BY source), fg AS (SELECT c.source, gram, cnt, CAST(cnt AS DOUBLE) / n AS p FROM c JOIN t ON t.source = c.source),
 bc AS (SELECT gram, count(*) AS cnt FROM g WHERE length(gram) > 2 AND gram NOT LIKE '%/%' GROUP BY gram), bt AS (SELECT sum(cnt) AS n FROM bc),
 bg AS (SELECT gram, CAST(cnt AS DOUBLE) / (SELECT n FROM bt) AS p FROM bc WHERE cnt >= 5),
 k AS (SELECT fg.source, fg.gram, fg.p - COALESCE(bg.p, 0) AS score FROM fg LEFT JOIN bg ON bg.gram = fg.gram
-  WHERE fg.gram NOT IN ('the','and','that','for','not','this','has','with') AND (bg.p IS NULL OR fg.p / bg.p >= 2)) """
+  WHERE fg.gram NOT IN (""" + _STOPS + """) AND (bg.p IS NULL OR fg.p / bg.p >= 2)) """
 
 
 def _key(s, d):
-    docs = _english(s, d)
-    model = language.frequencies(docs.filter("source is not null"), ["source"], "text", 1)
-    return language.keyness(model, language.frequencies(docs, [], "text", 1, min_count=5), STOP)
+    counts = language.counts(_english(s, d), ["source"], "text", 1)
+    return language.keyness(language.shares(counts.filter("source is not null"), ["source"]), language.shares(counts, [], 5), STOP)
 
 
 @query("a14_a15_keyness", _KEY + "SELECT source, gram, round(score, 9) AS score FROM k")
@@ -200,19 +230,44 @@ def top_words(s, d):
     return ranking.top_n(_key(s, d).withColumn("score", F.round("score", 9)), ["source"], 3, F.desc("score"), F.asc("gram")).select("source", "gram")
 
 
-@query("a17_keywords")
+def _top_sql(n: int, least: int) -> str:
+    grams = "g1" if n == 1 else f"i{n}"
+    make = "SELECT doc_id, source, unnest(w) AS gram FROM tk" if n == 1 else (
+        f"SELECT source, {' || chr(32) || '.join(f'w[i + {k}]' if k else 'w[i]' for k in range(n))} AS gram FROM (SELECT source, w, unnest(range(1, len(w) - {n - 2})) AS i FROM tk)"
+    )
+    return f"""{grams} AS (SELECT source, gram FROM ({make}) WHERE length(gram) > 2 AND gram NOT LIKE '%/%'),
+    c{n} AS (SELECT source, gram, count(*) AS cnt FROM {grams} WHERE source IN (SELECT source FROM ok) GROUP BY source, gram),
+    t{n} AS (SELECT source, sum(cnt) AS n FROM c{n} GROUP BY source), bc{n} AS (SELECT gram, count(*) AS cnt FROM {grams} GROUP BY gram), bt{n} AS (SELECT sum(cnt) AS n FROM bc{n}),
+    k{n} AS (SELECT c.source, c.gram, round(CAST(c.cnt AS DOUBLE) / t.n - COALESCE(CAST(b.cnt AS DOUBLE) / bt.n, 0), 12) AS score, CAST(c.cnt AS DOUBLE) / t.n AS p, CAST(b.cnt AS DOUBLE) / bt.n AS bg
+      FROM c{n} c JOIN t{n} t ON t.source = c.source CROSS JOIN bt{n} bt LEFT JOIN bc{n} b ON b.gram = c.gram AND b.cnt >= {least}),
+    top{n} AS (SELECT source, gram, {n} AS n, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, gram) AS rn FROM k{n}
+      WHERE gram NOT IN ({_STOPS}) AND (bg IS NULL OR p / bg >= 2)) WHERE rn <= 50)"""
+
+
+@query(
+    "a17_keywords",
+    "WITH RECURSIVE " + _TOK + r""", ok AS (SELECT source FROM documents WHERE lower(substr(trim(lang), 1, 2)) = 'en' AND source IS NOT NULL GROUP BY source
+      HAVING sum(CASE WHEN trim(regexp_replace(text, '[\s ]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[\s ]+', ' ', 'g')), ' ')) END) >= 1000), """
+    + ", ".join(_top_sql(n, 5 if n < 3 else 3) for n in (3, 2, 1))
+    + f""", al AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, score DESC, gram) AS i FROM (SELECT * FROM top3 UNION ALL SELECT * FROM top2 UNION ALL SELECT * FROM top1)),
+    f AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS i, [{_STOPS}] AS seen, false AS ok FROM al UNION ALL
+      SELECT f.source, f.i + 1, CASE WHEN NOT list_contains(f.seen, string_split(al.gram, ' ')[1]) AND NOT list_contains(f.seen, string_split(al.gram, ' ')[-1]) THEN list_concat(f.seen, string_split(al.gram, ' ')) ELSE f.seen END,
+        NOT list_contains(f.seen, string_split(al.gram, ' ')[1]) AND NOT list_contains(f.seen, string_split(al.gram, ' ')[-1]) FROM f JOIN al ON al.source = f.source AND al.i = f.i + 1)
+    SELECT al.source, al.gram, CAST(al.n AS INTEGER) AS n, al.score * 1000 AS score FROM f JOIN al ON al.source = f.source AND al.i = f.i WHERE f.ok""",
+)
 def a17_keywords(s, d):
     """Top fifty n-grams of each length per source, then the greedy choice; sources with too few words have none."""
-    docs = _english(s, d).filter("source is not null")
-    enough = docs.groupBy("source").agg(F.sum(tx.word_count(F.col("text"))).alias("n")).filter("n >= 1000").select("source")
-    docs = docs.join(enough, "source", "left_semi")
+    docs = _english(s, d)
+    enough = docs.filter("source is not null").groupBy("source").agg(F.sum(tx.word_count(F.col("text"))).alias("n")).filter("n >= 1000").select("source")
     top = None
     for n in (3, 2, 1):
-        model = language.frequencies(docs, ["source"], "text", n)
-        scored = language.keyness(model, language.frequencies(docs, [], "text", n, 5 if n < 3 else 3), STOP)
+        # The texts are cut once per length: the background comes from the counts per source.
+        counts = language.counts(docs, ["source"], "text", n)
+        model = language.shares(counts.join(F.broadcast(enough), "source"), ["source"])  # one row per source
+        scored = language.keyness(model, language.shares(counts, [], 5 if n < 3 else 3), STOP).withColumn("score", F.round("score", 12))
         best = ranking.top_n(scored, ["source"], 50, F.desc("score"), F.asc("gram")).select("source", "gram", F.lit(n).alias("n"), "score")
         top = best if top is None else top.unionByName(best)
-    return language.choose_keywords(top, ["source"]).withColumn("score", F.col("score") * 1000)
+    return language.choose_keywords(top, ["source"], STOP).withColumn("score", F.col("score") * 1000)
 
 
 @query("a16_word_source", _UNI + "c AS (SELECT gram, source, count(*) AS n FROM g WHERE length(gram) > 4 AND source IS NOT NULL GROUP BY gram, source) SELECT gram, source FROM (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY n DESC, source) AS rn FROM c) WHERE rn = 1")

@@ -9,8 +9,8 @@ from quorumlake.catalog import once, table
 from quorumlake.functions import dates as dt
 from quorumlake.functions import text as tx
 from quorumlake.operators import filters as fl
-from quorumlake.operators import ranking
-from quorumlake.plans.debates import SAID, _said
+from quorumlake.operators import language, ranking
+from quorumlake.plans.debates import _UNI, SAID, _english, _said
 from quorumlake.plans.records import BASE, ballots, members, people, questions, statements
 from quorumlake.plans.registry import Registry
 from quorumlake.streaming import jobs
@@ -150,9 +150,14 @@ def exists(s, d):
     return questions(s, d).groupBy("session_id").agg((F.count("*") > 0).alias("has_votes"), (F.count_if(F.col("bill_id").isNull()) > 0).alias("has_motions"))
 
 
-@query("a13_item_counts", "SELECT user_id, round(count(*) * 1.0 / 7, 0) AS weeks, round(avg(value), 4) AS mean FROM events GROUP BY user_id")
+@query(
+    "a13_item_counts",
+    _UNI + """c AS (SELECT gram, count(*) AS cnt FROM g WHERE length(gram) > 2 AND gram NOT LIKE '%/%' GROUP BY gram), t AS (SELECT sum(cnt) AS n FROM c)
+    SELECT gram, CAST(round_even(CAST(cnt AS DOUBLE) / (SELECT n FROM t) * 100000, 0) AS BIGINT) AS items FROM c WHERE cnt >= 5""",
+)
 def item_counts(s, d):
-    return table(s, d, "events").groupBy("user_id").agg(F.round(F.count("*") / 7, 0).alias("weeks"), F.round(F.avg("value"), 4).alias("mean"))
+    """How often each word would stand in a hundred thousand."""
+    return language.item_counts(language.frequencies(_english(s, d), [], "text", 1, min_count=5), 100_000).select("gram", "items")
 
 
 @query("a21_r1_by_party", BASE + "SELECT em.party_id, mv.votequestion_id, string_agg(CAST(mv.politician_id AS VARCHAR), ',' ORDER BY CAST(mv.politician_id AS VARCHAR)) AS who FROM mv JOIN em ON em.id = mv.member_id WHERE mv.vote = 'P' GROUP BY em.party_id, mv.votequestion_id")
@@ -243,9 +248,9 @@ def time_since(s, d):
     return questions(s, d).select("id", F.when(n < 14, part(1, " days")).when(n < 60, part(7, " weeks")).when(n < 730, part(30, " months")).otherwise(part(365, " years")).alias("since"))
 
 
-@query("f19_q9_highlight", r"SELECT doc_id, regexp_replace(text, '(?i)\b(petition\w*)', '<em>\1</em>', 'g') AS marked FROM documents WHERE lower(text) LIKE '%petition%' AND lang = 'en'")
+@query("f19_q9_highlight", r"SELECT doc_id, regexp_replace(text, '(?i)\b(petition\w*)', '<em>\1</em>', 'g') AS marked FROM documents WHERE lower(text) LIKE '%petition%' AND lower(substr(trim(lang), 1, 2)) = 'en'")
 def highlight(s, d):
-    docs = table(s, d, "documents").filter(F.lower("text").contains("petition") & (F.col("lang") == "en"))
+    docs = _english(s, d).filter(F.lower("text").contains("petition"))
     return docs.select("doc_id", tx.highlight(F.col("text"), "petition").alias("marked"))
 
 
