@@ -13,9 +13,60 @@ def clock(day: Column, hour: Column, minute: Column) -> Column:
 
 
 def hour24(hour: Column, half: Column) -> Column:
-    """12-hour clock with a.m., p.m., noon and midnight."""
-    h = F.when(hour == 12, 0).otherwise(hour)
-    return F.when(F.lower(half).isin("p.m.", "pm", "noon"), h + 12).when(F.lower(half) == "midnight", F.lit(24)).otherwise(h)
+    """Hours of the 12-hour clock; any half with a p in it is the second, twelve is noon or midnight (D3)."""
+    h = hour + F.when(F.lower(half).contains("p") | (F.lower(half) == "noon"), 12).otherwise(0)
+    return F.when(h % 12 == 0, h - 12).otherwise(h)
+
+
+def house_met(text: Column, day: Column) -> Column:
+    """When a sitting began, from 'The House met at 2:30 p.m.' or the French words; without a half it is the 24-hour clock."""
+    pat = r"(?i)^\s*(?:The\s+House\s+met\s+at|La\s+séance\s+est\s+ouverte\s+à)\s+(\d+)(?:[:.](\d+))?[:.]*\s*([ap]\.m\.)?"
+    h, m, half = (F.regexp_extract(text, pat, k) for k in (1, 2, 3))
+    hour = h.try_cast("int")
+    hour = F.when(half == "", hour).when(F.lower(half).startswith("p"), hour % 12 + 12).otherwise(hour % 12)
+    return F.when(text.rlike(pat), clock(day, hour, F.coalesce(m.try_cast("int"), F.lit(0))))
+
+
+def named_day(text: Column) -> Column:
+    """'March 11, 2011' as a date, null for anything else."""
+    return F.try_to_timestamp(text, F.lit("MMMM d, yyyy")).cast("date")
+
+
+def leading_day(text: Column) -> Column:
+    """The date in front of a longer stamp."""
+    return F.left(text, F.lit(10)).try_cast("date")
+
+
+def meets_at(day: Column, hour: Column, minute: Column) -> Column:
+    """Day and time of day put together; null where the time is unknown."""
+    return F.when(hour.isNotNull(), clock(day, hour, F.coalesce(minute, F.lit(0))))
+
+
+def is_future(at: Column, as_of: Column) -> Column:
+    return F.coalesce(at > as_of, F.lit(False))
+
+
+#: Days after which a document is fetched again.
+INTERVALS = (1, 2, 3, 7, 14, 21, 30, 50, 100, 150, 200, 300, 400, 550, 700, 1000)
+
+
+def is_due(first: Column, day: Column, as_of: Column) -> Column:
+    """Whether a document is due again: by the day it was first imported, by its own where that is unknown."""
+    return F.coalesce(F.datediff(as_of, F.coalesce(first, day)).isin(*INTERVALS), F.lit(False))
+
+
+# Days from which on a past date is called so.
+SINCE = ((1, "Yesterday"), (2, "Two days ago"), (3, "Three days ago"), (4, "This week"), (7, "A week ago"), (14, "Two weeks ago"), (21, "Three weeks ago"),
+         (28, "A month ago"), (45, "Two months ago"), (75, "Three months ago"), (105, "More than three months ago"))
+
+
+def time_since(day: Column, as_of: Column) -> Column:
+    """How long ago a day was, in words; today and later is 'Today' (F16)."""
+    n = F.datediff(as_of, day)
+    out = None
+    for least, words in reversed(SINCE):
+        out = F.when(n >= least, words) if out is None else out.when(n >= least, words)
+    return out.when(n < 1, "Today")
 
 
 def month_range(text: Column) -> Column:

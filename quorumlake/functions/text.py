@@ -95,11 +95,12 @@ def word_count(c: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
 
 
-def english_list(items: Column) -> Column:
-    """'a', 'a and b', 'a, b and c'."""
+def english_list(items: Column, by: str = ", ") -> Column:
+    """'', 'a', 'a and b'; of three and more all but the last are followed by `by`, which stands before ' and ' too."""
     n = F.size(items)
-    head = F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(0))), ", ")
-    return F.when(n == 0, "").when(n == 1, items[0]).otherwise(F.concat(head, F.lit(" and "), F.element_at(items, -1)))
+    head = F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(0))), by)
+    last = F.try_element_at(items, F.lit(-1))
+    return F.when(n == 0, "").when(n == 1, last).when(n == 2, F.concat(head, F.lit(" and "), last)).otherwise(F.concat(head, F.lit(by + " and "), last))
 
 
 def shorten(c: Column, most: int, keep: int) -> Column:
@@ -212,3 +213,197 @@ def unescape(s: pd.Series) -> pd.Series:
 def highlight(c: Column, term: str) -> Column:
     """Whole words that begin with the term, marked."""
     return F.regexp_replace(c, rf"(?i)\b({re.escape(term)}\w*)", "<em>$1</em>")
+
+
+# --- names, lists and phrases as pages show them -------------------------------------------------------------------------
+
+
+def title_case(c: Column) -> Column:
+    """Every run of letters with a capital in front and small letters after it, so also after apostrophes and hyphens."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, 2, 1 << 30)))), "")
+
+
+def title_if_necessary(c: Column) -> Column:
+    """Title case where there is no small letter of the plain alphabet; anything else stays."""
+    return F.when(c.rlike("[a-z]"), c).otherwise(title_case(c))
+
+
+def smart_title(c: Column) -> Column:
+    """Title case where all letters are capitals or all are small."""
+    return F.when((F.upper(c) != F.lower(c)) & ((F.upper(c) == c) | (F.lower(c) == c)), title_case(c)).otherwise(c)
+
+
+def without_parens(c: Column) -> Column:
+    return F.regexp_replace(c, r"\s*\(.+\)\s*", "")
+
+
+# How a label of someone without a name begins, in both languages.
+OFFICES = r"^(?:The\s(?:Speaker|Chair|Deputy|Acting)|Le\sprésident|An\s[hH]on\.?\s|Une\svoix|Des\svoix|Some\s[hH]on\.\s|Acting\s|Assistant\s)"
+
+
+def is_office(c: Column) -> Column:
+    """Whether a speaker's label names an office or a crowd and no person."""
+    return c.rlike(OFFICES)
+
+
+def list_prefix(items: Column, prefix: str) -> Column:
+    return F.transform(items, lambda x: F.concat(F.lit(prefix), x))
+
+
+def list_filter(items: Column, value: Column) -> Column:
+    return F.filter(items, lambda x: x != value)
+
+
+def strip_act(c: Column) -> Column:
+    """A bill's name without 'An Act (to)' in front, the next letter a capital, and without ' Act' at the end."""
+    pat = r"(?s)^(.*?)An Act (?:to )?([a-z])(.*)$"
+    part = lambda k: F.regexp_extract(c, pat, k)
+    return F.regexp_replace(F.when(c.rlike(pat), F.concat(part(1), F.upper(part(2)), part(3))).otherwise(c), " Act$", "")
+
+
+def friendly_minutes(minutes: Column) -> Column:
+    """'45 minutes', beyond that whole hours, half hours to the even one."""
+    hours = F.bround(minutes / 60).cast("int")
+    return F.when(minutes <= 45, F.concat(minutes.cast("string"), F.lit(" minutes"))).when(hours == 1, "1 hour").otherwise(F.concat(hours.cast("string"), F.lit(" hours")))
+
+
+def month_name(month: Column) -> Column:
+    return F.date_format(F.make_date(F.lit(2010), month, F.lit(1)), "MMMM")
+
+
+# The words for a person by gender; the rest is for any other value.
+PRONOUNS = {"subject": ("She", "He", "He/she"), "possessive": ("Her", "His", "Their"), "object": ("Her", "Him", "Them"), "title": ("Ms.", "Mr.", "Mr./Ms.")}
+# The first two digits of an electoral district's number, and the provinces' names.
+DISTRICTS = {"10": "NL", "11": "PE", "12": "NS", "13": "NB", "24": "QC", "35": "ON", "46": "MB", "47": "SK", "48": "AB", "59": "BC", "60": "YT", "61": "NT", "62": "NU"}
+PROVINCES = {"AB": "Alberta", "BC": "British Columbia", "SK": "Saskatchewan", "MB": "Manitoba", "ON": "Ontario", "QC": "Québec", "NB": "New Brunswick", "NS": "Nova Scotia",
+             "PE": "Prince Edward Island", "NL": "Newfoundland & Labrador", "YT": "Yukon", "NT": "Northwest Territories", "NU": "Nunavut"}
+
+
+def _looked_up(values: dict[str, str], c: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c)
+
+
+def pronoun(kind: str, gender: Column) -> Column:
+    f, m, other = PRONOUNS[kind]
+    return F.when(gender == "F", f).when(gender == "M", m).otherwise(other)
+
+
+def district_province(edid: Column) -> Column:
+    """The province of an electoral district by its number; null for none."""
+    return _looked_up(DISTRICTS, F.left(edid.cast("string"), F.lit(2)))
+
+
+def province_name(code: Column) -> Column:
+    return _looked_up(PROVINCES, code)
+
+
+# --- values as other systems write them --------------------------------------------------------------------------------
+
+
+def munge_date(c: Column) -> Column:
+    """Null for an empty date and for one with 0000 in it."""
+    return F.when((c == "") | (c == "&nbsp;") | c.contains("0000"), F.lit(None)).otherwise(c)
+
+
+def munge_decimal(c: Column) -> Column:
+    """A number with commas; 0 for anything else."""
+    return F.coalesce(F.replace(c, F.lit(","), F.lit("")).try_cast("decimal(20,4)"), F.lit(0).cast("decimal(20,4)"))
+
+
+def munge_int(c: Column) -> Column:
+    return F.regexp_replace(c, r"\D", "").try_cast("bigint")
+
+
+def munge_time(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, r"(\d\d:\d\d:\d\d)", 1), F.lit(""))
+
+
+def munge_postcode(c: Column) -> Column:
+    """A postal code in capitals with its blank; null for none."""
+    x = F.upper(c)
+    x = F.when(F.length(x) == 6, F.concat(F.left(x, F.lit(3)), F.lit(" "), F.right(x, F.lit(3)))).otherwise(x)
+    return F.when(x.rlike(r"^[ABCEGHJKLMNPRSTVXYZ]\d[A-Z] \d[A-Z]\d$"), x)
+
+
+def escaped(c: Column, quotes: bool = False) -> Column:
+    """&, < and > as entities, and quotation marks where they stand in an attribute."""
+    x = c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")) + ((('"', "&quot;"),) if quotes else ()):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def tag(name: str, attributes: Column) -> Column:
+    """An opening tag with the entries of a map as attributes, sorted by name; entries without a value are left out."""
+    known = F.filter(F.sort_array(F.map_entries(attributes)), lambda e: e["value"].isNotNull())
+    each = F.transform(known, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), escaped(e["value"], True), F.lit('"')))
+    return F.concat(F.lit(f"<{name}"), F.array_join(each, ""), F.lit(">"))
+
+
+def floor_text(en: Column, fr: Column) -> Column:
+    """Line by line the language spoken (F13): the French line where the English one is marked French. English where there is
+    no French or the numbers of lines differ. A mark at the very start of a line doesn't count, and a line without any mark is
+    asked at the place where one would end."""
+    mark = 'data-originallang="'
+    e, f = F.split(en, "\n"), F.split(fr, "\n")
+
+    def pick(x: Column, y: Column) -> Column:
+        at = F.instr(x, mark)
+        return F.when((at != 1) & (F.substr(x, at + 19, F.lit(2)) == "fr"), y).otherwise(x)
+
+    return F.when((F.coalesce(fr, F.lit("")) == "") | (F.size(e) != F.size(f)), en).otherwise(F.array_join(F.zip_with(e, f, pick), "\n"))
+
+
+def shared_text(description: Column, url: Column, plug: str) -> Column:
+    """A message of at most 140 characters: description, the plug where there is room, and the link."""
+    n = F.length(description) + F.length(url)
+    text = F.when(n > 139, F.concat(F.substr(description, F.lit(1), F.lit(136) - F.length(url)), F.lit("..."))).when(
+        n + len(plug) < 140, F.concat(description, F.lit(plug))
+    )
+    return F.concat(F.coalesce(text, description), F.lit(" "), url)
+
+
+def bill_title(name: Column, short: Column) -> Column:
+    """The name, or where it has 150 characters and more the short title, else its beginning."""
+    return F.when(F.length(name) >= 150, F.coalesce(F.nullif(short, F.lit("")), F.concat(F.left(name, F.lit(140)), F.lit("…")))).otherwise(name)
+
+
+def mc_names(c: Column) -> Column:
+    """'Mcdonald' as 'McDonald' (F36)."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\bMc\p{Ll}\p{L}*|(?s).)"), 1)
+    big = lambda x: F.concat(F.lit("Mc"), F.upper(F.substring(x, 3, 1)), F.substring(x, 4, 1 << 30))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^Mc\p{Ll}"), big(x)).otherwise(x)), "")
+
+
+# --- addresses ------------------------------------------------------------------------------------------------------------
+
+
+def debate_url(day: Column) -> Column:
+    return F.concat_ws("/", F.lit("/debates"), F.year(day).cast("string"), F.month(day).cast("string"), F.dayofmonth(day).cast("string"), F.lit(""))
+
+
+def meeting_url(committee: Column, session: Column, number: Column) -> Column:
+    return F.concat_ws("/", F.lit("/committees"), committee, session, number.cast("string"), F.lit(""))
+
+
+def bill_url(session: Column, number: Column) -> Column:
+    return F.concat_ws("/", F.lit("/bills"), session, number.cast("string"), F.lit(""))
+
+
+def vote_url(session: Column, number: Column) -> Column:
+    return F.concat_ws("/", F.lit("/votes"), session, number.cast("string"), F.lit(""))
+
+
+def person_url(slug: Column, number: Column) -> Column:
+    return F.concat_ws("/", F.lit("/politicians"), F.coalesce(F.nullif(slug, F.lit("")), number.cast("string")), F.lit(""))
+
+
+def role_url(member: Column) -> Column:
+    """Null for no membership."""
+    return F.when(member.isNotNull(), F.concat_ws("/", F.lit("/politicians/roles"), member.cast("string"), F.lit("")))
+
+
+def above(url: Column) -> Column:
+    """An address without its last part: a statement's document."""
+    return F.regexp_replace(url, "[^/]+/$", "")

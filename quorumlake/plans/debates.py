@@ -371,22 +371,6 @@ def person_parts(s, d):
     return _who(s, d).select("id", tx.person_parts(F.col("who_en")).alias("x")).select("id", "x.display", "x.post")
 
 
-@query("f15_english_list", BASE + ", p AS (SELECT pv.votequestion_id, party.slug FROM pv JOIN party ON party.id = pv.party_id WHERE pv.vote = 'Y'), g AS (SELECT votequestion_id, string_agg(slug, ', ' ORDER BY slug) AS j FROM (SELECT DISTINCT votequestion_id, slug FROM p) u GROUP BY votequestion_id) SELECT votequestion_id, regexp_replace(j, ', ([^,]+)$', ' and \\1') AS parties FROM g")
-def english_lists(s, d):
-    pv = once(table(s, d, "party_vote"), "id").filter("vote = 'Y'").join(F.broadcast(table(s, d, "party").select(F.col("id").alias("party_id"), "slug")), "party_id")
-    return pv.groupBy("votequestion_id").agg(tx.english_list(F.sort_array(F.collect_set("slug"))).alias("parties"))
-
-
-@query("f31_f40_shortened", BASE + "SELECT id, CASE WHEN length(description_en) >= 60 THEN substr(description_en, 1, 50) || '…' ELSE description_en END AS title, CASE WHEN len(string_split(description_en, ' ')) > 5 THEN array_to_string(string_split(description_en, ' ')[1:5], ' ') || '…' ELSE description_en END AS excerpt FROM vq")
-def shortened(s, d):
-    return questions(s, d).select("id", tx.shorten(F.col("description_en"), 60, 50).alias("title"), tx.first_words(F.col("description_en"), 5).alias("excerpt"))
-
-
-@query("f37_urls", BASE + "SELECT id, '/votes/' || session_id || '/' || CAST(number AS VARCHAR) || '/' AS url, 'bills.votequestion.' || CAST(id AS VARCHAR) AS index_id FROM vq")
-def urls(s, d):
-    return questions(s, d).select("id", F.concat(F.lit("/votes/"), "session_id", F.lit("/"), F.col("number").cast("string"), F.lit("/")).alias("url"), F.concat(F.lit("bills.votequestion."), F.col("id").cast("string")).alias("index_id"))
-
-
 @query("f28_guids", BASE + "SELECT id, CASE WHEN length(description_en) > 50 THEN sha1(description_en) ELSE description_en END AS guid FROM vq")
 def guids(s, d):
     return questions(s, d).select("id", tx.guid(F.col("description_en")).alias("guid"))

@@ -53,21 +53,6 @@ def in_subquery(s, d):
     return ballots(s, d).filter(F.col("vote").isin("Y", "P")).join(lost, "votequestion_id", "left_semi").select("id")
 
 
-_PROV = {"0": "NL", "1": "NS", "2": "QC", "3": "ON", "4": "MB"}
-
-
-@query("flt_p20_province", BASE + "SELECT DISTINCT riding_id, CASE substr(lpad(CAST(riding_id AS VARCHAR), 3, '0'), 1, 1) WHEN '0' THEN 'NL' WHEN '1' THEN 'NS' WHEN '2' THEN 'QC' WHEN '3' THEN 'ON' WHEN '4' THEN 'MB' END AS province FROM em WHERE riding_id IS NOT NULL")
-def province(s, d):
-    m = F.create_map(*[F.lit(x) for kv in _PROV.items() for x in kv])
-    return members(s, d).filter("riding_id is not null").select("riding_id").distinct().withColumn("province", F.try_element_at(m, F.substring(F.lpad(F.col("riding_id").cast("string"), 3, "0"), 1, 1)))
-
-
-@query("flt_p22_line_rules", "SELECT doc_id FROM documents WHERE regexp_matches(text, '^[A-ZÀ-Þ]') AND NOT regexp_matches(text, '[0-9()—]') AND NOT regexp_matches(text, '(Mr|Ms|St)[.]$')")
-def line_rules(s, d):
-    t = F.col("text")
-    return table(s, d, "documents").filter(t.rlike("^[A-ZÀ-Þ]") & ~t.rlike("[0-9()—]") & ~t.rlike("(Mr|Ms|St)[.]$")).select("doc_id")
-
-
 @query("flt_p23_search_doc", BASE + "SELECT 'statement.' || CAST(id AS VARCHAR) AS id, NULLIF(h1_en, '') AS topic, NULLIF(who_context_en, '') AS context, strftime(time, '%Y-%m-%dT%H:%M:%SZ') AS at FROM st")
 def search_doc(s, d):
     st = statements(s, d, "h1_en", "who_context_en", "time")
@@ -228,38 +213,12 @@ def disjoint(s, d):
     return people(s, d).select("slug").join(table(s, d, "party").select("slug"), "slug", "left_semi").agg((F.count("*") == 0).alias("disjoint"))
 
 
-@query("f4_titles", BASE + "SELECT id, CASE WHEN regexp_matches(who_en, '[a-z]') THEN who_en ELSE lower(who_en) END AS who FROM st WHERE who_en <> ''")
-def titles(s, d):
-    return statements(s, d, "who_en").filter("who_en <> ''").select("id", F.when(F.col("who_en").rlike("[a-z]"), F.col("who_en")).otherwise(F.lower("who_en")).alias("who"))
-
-
-@query("f13_floor_text", BASE + """SELECT id, CASE WHEN content_fr <> '' AND content_en LIKE '%data-originallang="fr"%' AND content_en NOT LIKE '%data-originallang="en"%' THEN content_fr ELSE content_en END AS floor FROM st WHERE feed <> 'live_captions'""")
-def floor_text(s, d):
-    """The text in the language it was spoken in, for statements in one language."""
-    st = statements(s, d, "content_en", "content_fr", "feed").filter("feed <> 'live_captions'")
-    fr = F.col("content_en").contains('data-originallang="fr"') & ~F.col("content_en").contains('data-originallang="en"')
-    return st.select("id", F.when((F.col("content_fr") != "") & fr, F.col("content_fr")).otherwise(F.col("content_en")).alias("floor"))
-
-
-@query("f16_time_since", BASE + "SELECT id, CASE WHEN n < 14 THEN CAST(n AS VARCHAR) || ' days' WHEN n < 60 THEN CAST(n // 7 AS VARCHAR) || ' weeks' WHEN n < 730 THEN CAST(n // 30 AS VARCHAR) || ' months' ELSE CAST(n // 365 AS VARCHAR) || ' years' END AS since FROM (SELECT id, date_diff('day', date, DATE '2019-12-31') AS n FROM vq)")
-def time_since(s, d):
-    n = F.datediff(F.lit("2019-12-31").cast("date"), "date")
-    part = lambda k, unit: F.concat(F.floor(n / k).cast("string"), F.lit(unit))
-    return questions(s, d).select("id", F.when(n < 14, part(1, " days")).when(n < 60, part(7, " weeks")).when(n < 730, part(30, " months")).otherwise(part(365, " years")).alias("since"))
-
-
 @query("f19_q9_highlight", r"SELECT doc_id, regexp_replace(text, '(?i)\b(petition\w*)', '<em>\1</em>', 'g') AS marked FROM documents WHERE lower(text) LIKE '%petition%' AND lower(substr(trim(lang), 1, 2)) = 'en'")
 def highlight(s, d):
     docs = _english(s, d).filter(F.lower("text").contains("petition"))
     return docs.select("doc_id", tx.highlight(F.col("text"), "petition").alias("marked"))
 
 
-@query("f21_munged", BASE + "SELECT id, NULLIF(trim(who_context_en), '') AS context, TRY_CAST(NULLIF(source_id, '') AS BIGINT) AS number FROM st")
-def munged(s, d):
-    st = statements(s, d, "who_context_en", "source_id")
-    return st.select("id", F.nullif(F.trim("who_context_en"), F.lit("")).alias("context"), F.expr("try_cast(nullif(source_id, '') as bigint)").alias("number"))
-
-
 @query("f30_letters_only", BASE + "SELECT id, regexp_replace(lower(who_en), '[^a-z]', '', 'g') AS letters FROM st")
 def letters(s, d):
     return statements(s, d, "who_en").select("id", F.regexp_replace(F.lower("who_en"), "[^a-z]", "").alias("letters"))
@@ -271,16 +230,6 @@ def equal(s, d):
     return statements(s, d, "content_en", "content_fr").select("id", bare("content_en").eqNullSafe(bare("content_fr")).alias("same"))
 
 
-@query("d1_d3_clock", BASE + "SELECT id, CAST(date AS TIMESTAMP) + to_minutes(CAST(23 * 60 + number * 7 AS BIGINT)) AS at FROM vq")
-def clock(s, d):
-    return questions(s, d).select("id", dt.clock(F.col("date"), F.lit(23), F.col("number") * 7).alias("at"))
-
-
-@query("d7_offsets", BASE + "SELECT id FROM vq WHERE date_diff('day', date, DATE '2018-01-31') IN (1, 2, 3, 7, 14, 30, 60, 90, 365)")
-def offsets(s, d):
-    return questions(s, d).filter(F.datediff(F.lit("2018-01-31").cast("date"), "date").isin(1, 2, 3, 7, 14, 30, 60, 90, 365)).select("id")
-
-
 @query("d9_earliest", BASE + "SELECT id, least(start_date, end_date) AS first FROM em")
 def earliest(s, d):
     return members(s, d).select("id", F.least("start_date", "end_date").alias("first"))

