@@ -68,13 +68,64 @@ def test_long_speeches(spark):
     assert debates.long_speeches(df, flush=True).count() == 4
 
 
+def _fold(rows):
+    """Sections of one document, row by row against the first statement of the open section."""
+    special = {"oral questions", "oral question period", "statements by members", "adjournment proceedings"}
+    runs = []
+    for r in rows:
+        if runs and r["h2"].lower().startswith("questions "):
+            continue
+        f = runs[-1][0] if runs else None
+        if f and (all(r[k] == f[k] for k in ("h1", "h2", "h3", "bill")) or r["h1"] == f["h1"] and r["h1"].lower() in special or r["h1"] == f["h1"] and r["h2"] == f["h2"] and r["h2"] in "Petitions"):
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    words = lambda run: sum(r["wordcount"] for r in run if not r["procedural"])
+    out = {}
+    for run in runs:
+        if not words(run):
+            continue
+        f = run[0]
+        key = (f["bill"], f["stage"]) if f["bill"] else (f["h1"].lower(), f["h2"].lower(), f["h3"].lower())
+        minutes = (run[-1]["time"] - f["time"]).seconds // 60
+        if key in out:
+            o = out[key]
+            o["segments"] += f["sequence"] - o["all"][-1]["sequence"] > 5 and f["time"] != o["all"][-1]["time"]
+            o["minutes"] += minutes
+            o["all"] += run
+        else:
+            out[key] = {"all": list(run), "minutes": minutes, "segments": 1}
+    kept = [o for o in out.values() if o["all"][0]["stage"] == "1" or words(o["all"]) >= 500 or max(r["wordcount"] for r in o["all"]) >= 300]
+    return {(o["all"][0]["sequence"], words(o["all"]), len(o["all"]), o["minutes"], o["segments"]) for o in kept}
+
+
 def test_sections(spark):
-    t = lambda m: dt.datetime(2020, 1, 1, 10, m)
-    base = [("Questions oral", "Fish", 600), ("Questions oral", "x", 600), ("Routine", "Petitions", 200), ("Routine", "", 200), ("Routine", "Pet", 200), ("Orders", "Ships", 100), ("Orders", "SHIPS", 450), ("Orders", "Nets", 20)]
-    rows = [(1, i, t(i), h1, h2, "", None, "", w, False) for i, (h1, h2, w) in enumerate(base)]
-    df = spark.createDataFrame(rows, "document_id int, sequence int, time timestamp_ntz, h1 string, h2 string, h3 string, bill string, stage string, wordcount int, procedural boolean")
-    got = {(r.h1, r.h2): (r.words, r.statements) for r in debates.sections(df).collect()}
-    assert got == {("Questions oral", "Fish"): (600, 1), ("Routine", "Petitions"): (600, 3), ("Orders", "Ships"): (550, 2)}
+    rng = random.Random(4)
+    t = lambda m: dt.datetime(2020, 1, 1, 10, 0) + dt.timedelta(minutes=m)
+    cols = "document_id int, sequence int, time timestamp_ntz, slug string, h1 string, h2 string, h3 string, bill string, stage string, wordcount int, procedural boolean"
+    heads = [("Oral Questions", "Fish", ""), ("Oral Questions", "Ships", ""), ("Routine Proceedings", "Petitions", "Fish"), ("Routine Proceedings", "Petitions", "Ships"), ("Routine Proceedings", "", ""),
+             ("Orders", "Questions on the Order Paper", ""), ("Orders", "Ships Act", ""), ("ORDERS", "Ships Act", ""), ("Statements by Members", "", "")]
+    docs = []
+    for doc in range(40):
+        clock = 0
+        for k in range(rng.randint(1, 30)):
+            h = rng.choice(heads)
+            bill = ("C-1", rng.choice("12")) if h[1] == "Ships Act" and rng.random() < 0.5 else (None, "")
+            clock += rng.choice([0, 0, 3, 700])
+            for j in range(rng.randint(1, 3)):
+                docs.append((doc, len(docs), t(clock + j), f"s{len(docs)}", *h, *bill, rng.choice([0, 20, 90, 250, 310]), rng.random() < 0.2))
+    df = spark.createDataFrame(docs, cols)
+    names = [c.split()[0] for c in cols.split(", ")]
+    by = {}
+    for r in docs:
+        by.setdefault(r[0], []).append(dict(zip(names, r)))
+    want = {(d, *x) for d, rows in by.items() for x in _fold(rows)}
+    for chunk in (1000, 4):
+        got = debates.sections(df.repartition(5), chunk)
+        assert {(r.document_id, r.first_seq, r.words, r.statements, r.minutes, r.segments) for r in got.collect()} == want and len(want) > 40
+    shown = {r.display_heading for r in got.collect()}
+    assert {"Question Period", "Statements by Members", "Ships Act"} <= shown
+    assert {r.heading for r in debates.subheads(df, got).collect()} <= {"Fish", "Ships"}
     assert debates.sections(df.limit(0)).count() == 0
 
 
