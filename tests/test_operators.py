@@ -1,6 +1,7 @@
 """Operators on small cases that pin what the tables don't show."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
