@@ -111,11 +111,15 @@ class Resource:
     default_limit: int = 20
     most: int = 500
     hidden: tuple[str, ...] = field(default=())
+    #: Filters that hold where the request doesn't name them.
+    always: dict[str, str] = field(default_factory=dict)
 
     def query(self, params: list[tuple[str, str]] | dict[str, str]) -> DataFrame:
         """The filtered rows. The last of repeated names counts, empty values and unknown names are passed over."""
         df = self.base
-        for name, raw in dict(params).items():
+        asked = dict(params)
+        named = {n.partition("__")[0] for n, raw in asked.items() if raw != ""}
+        for name, raw in [*asked.items(), *((k, v) for k, v in self.always.items() if k not in named)]:
             key, _, op = name.partition("__")
             if raw == "" or key not in self.filters:
                 continue

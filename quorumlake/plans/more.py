@@ -37,16 +37,6 @@ def cascade(s, d):
     return two.join(one, "riding_id", "left").select("riding_id", F.coalesce("p1", "p2").alias("party_id"))
 
 
-@query("flt_p7_key_path", BASE + "SELECT id, date FROM vq WHERE session_id = '42-1' AND number = 7")
-def key_path(s, d):
-    """A path of a natural key: /votes/42-1/7/."""
-    def by_path(df, raw):
-        sess, number = [p for p in raw.split("/") if p][-2:]
-        return df.filter((F.col("session_id") == sess) & (F.col("number") == int(number)))
-
-    return fl.Resource(questions(s, d), {"vote": fl.ByFunction(by_path)}, (F.col("id"),)).query({"vote": "/votes/42-1/7/"}).select("id", "date")
-
-
 @query("flt_p14_in_subquery", BASE + "SELECT id FROM mv WHERE votequestion_id IN (SELECT id FROM vq WHERE result = 'N') AND vote IN ('Y', 'P')")
 def in_subquery(s, d):
     lost = questions(s, d).filter("result = 'N'").select(F.col("id").alias("votequestion_id"))
@@ -271,11 +261,6 @@ def replace_document(s, d):
     return st.join(F.broadcast(one), "document_id", "left_anti").unionByName(fresh).select("id", "document_id", "sequence")
 
 
-@query("k7_k8_json", BASE + """SELECT id, '{"session":"' || session_id || '","number":' || CAST(number AS VARCHAR) || ',"result":"' || result || '"}' AS json FROM vq""")
-def as_json(s, d):
-    return questions(s, d).select("id", F.to_json(F.struct(F.col("session_id").alias("session"), "number", "result")).alias("json"))
-
-
 @query("k9_feed", BASE + "SELECT politician_id, id FROM (SELECT *, row_number() OVER (PARTITION BY politician_id ORDER BY time DESC, id DESC) AS rn FROM st WHERE politician_id IS NOT NULL AND NOT procedural) WHERE rn <= 12")
 def feed(s, d):
     st = statements(s, d, "politician_id", "procedural", "time").filter("politician_id is not null and not procedural")

@@ -137,25 +137,13 @@ def totals(s, d):
     return votes.totals_check(q, ballots(s, d).select(F.col("votequestion_id").alias("vote_id"), F.col("vote").alias("ballot")))
 
 
-@query(
-    "flt_p11_ballots",
-    BASE + "SELECT id, votequestion_id, politician_id, vote FROM mv WHERE vote = 'N' AND dissent AND votequestion_id BETWEEN 10 AND 60",
-)
-def ballot_list(s, d):
-    r = fl.Resource(
-        ballots(s, d), {"ballot": fl.ByChoice("vote", {"Y": "Yes", "N": "No", "P": "Paired", "A": "Absent"}), "dissent": fl.ByColumn("dissent"),
-                        "vote": fl.ByColumn("votequestion_id", fl.NUMBERS)}, (F.col("id"),), hidden=("member_id", "dissent"),
-    )
-    return r.query({"ballot": "No", "dissent": "True", "vote__range": "10,60", "unknown": "x"})
-
-
 @query(
     "flt_p2_p5_votes",
-    BASE + "SELECT id, session_id, number, date, result FROM vq WHERE bill_id IS NULL AND date >= DATE '2016-06-01' AND nay_total < 40 AND session_id = '42-1'",
+    BASE + "SELECT id, session_id, number, date, result FROM vq WHERE bill_id IS NULL AND date >= DATE '2016-06-01' AND nay_total < 40 AND session_id = '41-1'",
 )
 def vote_list(s, d):
     q = questions(s, d)
-    sess = "42-1"
+    sess = "41-1"
     r = fl.Resource(
         q, {"bill": fl.ByColumn("bill_id", ("exact", "isnull")), "date": fl.ByColumn("date", fl.NUMBERS), "nay_total": fl.ByColumn("nay_total", fl.NUMBERS),
             "session": fl.ByColumn("session_id")}, (F.desc("date"), F.desc("number")),
@@ -200,21 +188,6 @@ def dates(s, d):
     return questions(s, d).filter((F.year("date") == 2017) & (F.col("date") >= F.date_sub(F.lit("2017-12-31").cast("date"), 200))).select("id", "date")
 
 
-@query(
-    "flt_p18_p19_derived",
-    BASE
-    + """SELECT id, CAST(regexp_replace(session_id, '[^0-9]', '', 'g') AS INTEGER) AS session_no, number >= 200 AS high,
-    CASE result WHEN 'Y' THEN 'Agreed to' WHEN 'N' THEN 'Negatived' WHEN 'T' THEN 'Tie' END AS result_label,
-    date_diff('day', date, DATE '2019-06-30') > 150 AS dormant FROM vq""",
-)
-def derived(s, d):
-    label = F.when(F.col("result") == "Y", "Agreed to").when(F.col("result") == "N", "Negatived").when(F.col("result") == "T", "Tie")
-    return questions(s, d).select(
-        "id", F.regexp_replace("session_id", r"\D", "").cast("int").alias("session_no"), (F.col("number") >= 200).alias("high"), label.alias("result_label"),
-        (F.datediff(F.lit("2019-06-30").cast("date"), "date") > 150).alias("dormant"),
-    )
-
-
 @query(
     "flt_p21_procedural_rule",
     BASE
