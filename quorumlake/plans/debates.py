@@ -141,16 +141,6 @@ def activity(s, d):
     return db.activity(_said(s, d, "politician_id", "h2_en", "wordcount", "procedural").withColumnRenamed("h2_en", "topic"), 80)
 
 
-@query(
-    "a25_words_by_size",
-    SAID + """SELECT document_id, politician_id, CAST(sum(wordcount) AS BIGINT) AS words, CASE WHEN sum(wordcount) > 1500 THEN 'long' WHEN sum(wordcount) > 200 THEN 'middle' ELSE 'short' END AS size
-    FROM sd WHERE politician_id IS NOT NULL GROUP BY document_id, politician_id""",
-)
-def words_by_size(s, d):
-    got = _said(s, d, "politician_id", "wordcount").filter("politician_id is not null").groupBy("document_id", "politician_id").agg(F.sum("wordcount").alias("words"))
-    return got.withColumn("size", F.when(F.col("words") > 1500, "long").when(F.col("words") > 200, "middle").otherwise("short"))
-
-
 @query("w10_run_minutes", SAID + "SELECT document_id, h1_en, CAST(floor(date_diff('second', min(time), max(time)) / 60.0) AS BIGINT) AS minutes FROM sd GROUP BY document_id, h1_en")
 def run_minutes(s, d):
     secs = F.unix_timestamp(F.max("time").cast("timestamp")) - F.unix_timestamp(F.min("time").cast("timestamp"))
@@ -294,7 +284,7 @@ sc AS (SELECT h.doc_id, sum(ln(1 + ((SELECT n FROM nn) - df.df + 0.5) / (df.df +
 
 def _hits(s, d, every=False):
     docs = table(s, d, "documents").select("doc_id", "text")
-    return search.ranked(search.postings(docs, "doc_id", "text"), docs.count(), ["carbon", "storage", "petition"], "doc_id", all_terms=every)
+    return search.ranked(search.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n")), ["carbon", "storage", "petition"], "doc_id", all_terms=every)
 
 
 @query("q4_q7_ranked", _BM + "SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY round(score, 6) DESC, doc_id LIMIT 15 OFFSET 15")

@@ -292,25 +292,6 @@ def votes_of_bill(s, d):
     return a.join(b, "bill_id").filter("id < other_id").select("id", "other_id")
 
 
-@query(
-    "j16_resolve_names",
-    BASE + """, asked AS (SELECT DISTINCT id, trim(regexp_replace(regexp_replace(who_en, ' ?[(\\[—].*$', ''), '^(Hon|Mr|Ms|Mrs|Dr)[.]? ', '')) AS name FROM st
-      WHERE feed = 'house_xml' AND politician_id IS NOT NULL),
-    parts AS (SELECT id, name, regexp_extract(name, '([^ ]+)$', 1) AS name_family FROM asked),
-    s0 AS (SELECT a.id, 0 AS stage, count(DISTINCT p.id) AS n, min(p.id) AS pid FROM parts a JOIN pol p ON p.name = a.name GROUP BY a.id),
-    s1 AS (SELECT a.id, 1 AS stage, count(DISTINCT p.id) AS n, min(p.id) AS pid FROM parts a JOIN pol p ON p.name_family = a.name_family GROUP BY a.id),
-    al AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stage) AS rn FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1) u)
-    SELECT parts.id, al.stage, al.n AS candidates, CASE WHEN al.n = 1 THEN al.pid END AS politician_id FROM parts LEFT JOIN al ON al.id = parts.id AND al.rn = 1""",
-)
-def resolve_names(s, d):
-    """Full name, then family name alone; several candidates are an error given as data."""
-    st = statements(s, d, "who_en", "feed", "politician_id").filter("feed = 'house_xml' and politician_id is not null")
-    name = F.trim(F.regexp_replace(F.regexp_replace("who_en", r" ?[(\[—].*$", ""), r"^(Hon|Mr|Ms|Mrs|Dr)[.]? ", ""))
-    asked = st.select("id", name.alias("name")).withColumn("name_family", F.regexp_extract("name", r"([^ ]+)$", 1))
-    p = people(s, d).select("name", "name_family", F.col("id").alias("politician_id"))
-    return joins.first_match(asked, "id", [(p, ["name"]), (p, ["name_family"])], "politician_id").select("id", "stage", "candidates", "politician_id")
-
-
 @query(
     "j22_changed_holders",
     BASE + """, onday AS (SELECT riding_id, politician_id, DATE '2016-06-01' AS day FROM em WHERE start_date <= DATE '2016-06-01' AND (end_date IS NULL OR end_date >= DATE '2016-06-01')
@@ -369,11 +350,6 @@ def elected_counts(s, d):
     return members(s, d).groupBy("politician_id").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-@query("s4_questions_without_ballots", BASE + "SELECT id FROM pol WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.politician_id = pol.id)")
-def without(s, d):
-    return people(s, d).join(table(s, d, "statement").select(F.col("politician_id").alias("id")), "id", "left_anti").select("id")
-
-
 @query("a31_same_names", BASE + "SELECT name_family, count(*) AS n FROM pol GROUP BY name_family HAVING count(*) > 1")
 def same_names(s, d):
     return people(s, d).groupBy("name_family").agg(F.count("*").alias("n")).filter("n > 1")
