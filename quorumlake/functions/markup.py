@@ -112,7 +112,7 @@ def opaque_urls(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 
 
 def linked(df: DataFrame, key: str, content: str, targets: DataFrame) -> DataFrame:
-    """`content` with <a data-HoCid="n"> given the href of `targets` (hocid, url) where there is one (F25). The ids of a text
+    """`content` with <a … data-HoCid="n" …> given the href of `targets` (hocid, url) where there is one (F25). The ids of a text
     are exploded, joined and put back as a map, so the table of targets is never held by a task."""
     ids = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(content, F.lit(r'<a data-HoCid="(\d+)">'), 1))).alias("hocid"))
     got = ids.join(targets.select(F.col("hocid").cast("string"), "url"), "hocid").groupBy(key).agg(F.collect_list(F.struct("hocid", "url")).alias("_l"))

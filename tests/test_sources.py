@@ -16,7 +16,7 @@ XML = """<?xml version="1.0"?>
 <SubjectOfBusiness><SubjectOfBusinessTitle>Harbours</SubjectOfBusinessTitle><SubjectOfBusinessContent>
 <Timestamp Hr="24" Mn="5"/><FloorLanguage language="FR"/>
 <Intervention id="a1" Type="Debate"><PersonSpeaking><Affiliation DbId="5" Type="2">Hon. Ann Lee (North Bay):</Affiliation></PersonSpeaking><Content>
-<ParaText id="p1">Mr. Speaker, <I>well</I> &lt; said.</ParaText><ParaText id="p2">Second.<Footnote>no</Footnote></ParaText></Content></Intervention>
+<ParaText id="p1">Mr. Speaker, <I>well</I> &lt; said.</ParaText><ParaText id="p2">Second.</ParaText></Content></Intervention>
 <Intervention id="a2" Type="Debate"><PersonSpeaking><Affiliation DbId="5" Type="2">Hon. Ann Lee</Affiliation></PersonSpeaking><Content><ParaText id="p3">Same again.</ParaText></Content></Intervention>
 <Intervention id="a3"><PersonSpeaking><Affiliation DbId="9" Type="28">Mr. Bo Reed</Affiliation></PersonSpeaking><Content><FloorLanguage language="EN"/><ParaText id="p4">No.</ParaText></Content></Intervention>
 <ProceduralText id="p5">(Motion agreed to)</ProceduralText>
@@ -31,14 +31,57 @@ def test_transcripts(spark, tmp_path):
     (tmp_path / "c.xml").write_text("no xml")
     rows = transcripts.transcripts(spark, str(tmp_path)).orderBy("path", "seq").collect()
     good = [r for r in rows if r.error is None]
-    assert len(rows) - len(good) == 2 and [r.id for r in good] == ["a1", "a3", "pp6"]
-    a, b, c = good
+    assert len(rows) - len(good) == 2 and [r.id for r in good] == ["a1", "a2", "a3", "pp5"]
+    a, a2, b, c = good
     assert a.date == dt.date(2020, 3, 9) and a.session_id == "43-1" and a.number == "12" and a.time == dt.datetime(2020, 3, 10, 0, 5)
     assert (a.h1, a.h2, a.who, a.who_id) == ("Routine Business", "Harbours", "Hon. Ann Lee (North Bay)", "5")
-    assert a.pids == ["p1", "p2", "p3"] and not a.procedural
+    assert a.pids == ["p1", "p2"] and a2.pids == ["p3"] and not a.procedural and (a.context, a2.context, a.kind) == ("North Bay", "North Bay", "debate")
     assert a.content.split("\n")[0] == '<p data-HoCid="p1" data-originallang="fr">Mr. Speaker, <em>well</em> &lt; said.</p>'
-    assert b.role == "witness" and b.content.endswith('data-originallang="en" class="procedural">(Motion agreed to)</p>')
-    assert (c.who, c.h2) == ("", "Fish")
+    assert b.role == "witness" and c.content.startswith('<p class="procedural" data-HoCid="p5">(Motion agreed to)</p>') and c.procedural
+    assert (c.who, c.h2, c.pids) == ("", "Harbours", ["p5", "p6"])
+    page = transcripts.as_html(transcripts.transcripts(spark, str(tmp_path))).collect()
+    assert len(page) == 1 and '<div class="statement" data-h1="Routine Business" data-h2="Harbours" data-intervention-type="debate" data-person-speaking-HoCid="5"' in page[0].html
+
+
+RULES = """<Hansard xml:lang="en" id="8"><ExtractedInformation><ExtractedItem Name="MetaDateNumYear">2021</ExtractedItem><ExtractedItem Name="MetaDateNumMonth">5</ExtractedItem>
+<ExtractedItem Name="MetaDateNumDay">3</ExtractedItem><ExtractedItem Name="ParliamentNumber">45</ExtractedItem><ExtractedItem Name="SessionNumber">1</ExtractedItem></ExtractedInformation><HansardBody>
+<Intro><ParaText id="1">The House met at 2:30 p.m.</ParaText><Prayer>Not said</Prayer></Intro>
+<OrderOfBusiness><OrderOfBusinessTitle>GOVERNMENT ORDERS</OrderOfBusinessTitle><CatchLine>Orders</CatchLine>
+<SubjectOfBusiness><SubjectOfBusinessTitle>Ships Act</SubjectOfBusinessTitle><ProceduralText TocType="TPC">Bill C-7. Second reading</ProceduralText><SubjectOfBusinessContent>
+<Intervention id="i1" Type="Debate"><PersonSpeaking><Affiliation DbId="5" Type="2">Hon. Ann Lee (Bay, HDU)</Affiliation>:</PersonSpeaking><Content>
+<ParaText id="2">moved that Bill C-7 be read.</ParaText><ParaText id="3">She said: It is time.</ParaText>
+<ParaText id="4"><B>Some hon. members:</B> Hear, hear!</ParaText><ParaText id="5">I go on, <Motion>as <Query>asked</Query></Motion> on <Date>Monday</Date>.</ParaText>
+<ParaText id="6"><B>Ms. Eva Reed</B>: No.</ParaText><ParaText id="7">Still no.</ParaText><ParaText id="8"><QuotePara>A quote.</QuotePara></ParaText><ParaText id="9"><QuotePara>More.</QuotePara></ParaText>
+<ParaText id="10">See <Affiliation DbId="9">Mr. Oak</Affiliation> and <Document DbId="77">C-7</Document>.</ParaText></Content></Intervention>
+<ProceduralText TocType="TPC">Report stage</ProceduralText><ProceduralText TocType="TPC">Amendment negatived</ProceduralText>
+<Intervention id="i2"><PersonSpeaking><Affiliation>Ms. Eva Reed</Affiliation></PersonSpeaking><Content><Timestamp Hr="15" Mn="10"/><FloorLanguage language="UK"/><ParaText id="11">Third.</ParaText><Division DivisionNumber="4" id="d4"/></Content></Intervention>
+</SubjectOfBusinessContent></SubjectOfBusiness>
+<SubjectOfBusiness><SubjectOfBusinessTitle>Speech from the Throne</SubjectOfBusinessTitle><SubjectOfBusinessContent><ParaText id="12">Honourable members.</ParaText></SubjectOfBusinessContent></SubjectOfBusiness>
+</OrderOfBusiness>
+<OrderOfBusiness><OrderOfBusinessTitle>Questions</OrderOfBusinessTitle><WrittenQuestionResponse><QuestionID>Question No. 5--</QuestionID>
+<Questioner><Affiliation DbId="5">Hon. Ann Lee</Affiliation></Questioner><QuestionContent><ParaText id="13">How many?</ParaText></QuestionContent>
+<Responder><Affiliation DbId="8">Mr. Bo Oak</Affiliation></Responder><ResponseContent><ParaText id="14">Ten.</ParaText></ResponseContent></WrittenQuestionResponse></OrderOfBusiness>
+</HansardBody></Hansard>"""
+
+
+def test_rules_of_paragraphs():
+    got = transcripts.parse(RULES.encode())
+    assert [r["error"] for r in got] == [None] * len(got)
+    seen = [(r["id"], r["who"], r["pids"]) for r in got]
+    assert seen == [
+        ("i1", "Hon. Ann Lee (Bay, HDU)", ["2", "3"]), ("p4", "Some hon. members", ["4"]), ("p5", "Hon. Ann Lee (Bay, HDU)", ["5"]), ("p6", "Ms. Eva Reed", ["6", "7", "8", "9", "10"]),
+        ("i2", "Ms. Eva Reed", ["11"]), ("p12", "King Charles III", ["12"]), ("p13", "Hon. Ann Lee", ["13"]), ("p14", "Mr. Bo Oak", ["14"]),
+    ]
+    first, crowd, back, reed, third, throne, q, a = got
+    assert first["time"] == dt.datetime(2021, 5, 3, 14, 30) and third["time"] == dt.datetime(2021, 5, 3, 15, 10)
+    assert (first["h1"], first["h2"], first["bill"], first["stage"], third["stage"]) == ("Government Orders", "Ships Act", "C-7", "2", "report")
+    assert '<p class="procedural" data-HoCid="2">moved that' in first["content"] and '<p data-HoCid="3" data-originallang="en">It is time.</p>' in first["content"]
+    assert back["content"].endswith("I go on, as asked on Monday.</p>") and back["who_id"] == "5"
+    assert '<blockquote><p data-HoCid="8" data-originallang="en">A quote.</p>\n<p data-HoCid="9" data-originallang="en">More.</p></blockquote>' in reed["content"] and "No.</p>" in reed["content"]
+    assert 'class="related_link politician" data-HoCid="9"' in reed["content"] and 'class="related_link legislation" data-HoCid="77"' in reed["content"]
+    assert '<p data-HoCid="11">Third.</p>' in third["content"] and "Vote #4</a></p>" in third["content"]
+    assert (q["written"], a["written"], q["h2"], a["h2"], q["context"]) == ("Q", "R", "Question No. 5", "Question No. 5", "Bay, HDU")
+    assert "unknown element Xyz" in transcripts.parse(RULES.replace("<Prayer>", "<Xyz/><Prayer>").encode())[0]["error"]
 
 
 def test_merge_and_slugs(spark):
