@@ -22,15 +22,20 @@ def bill_parts(data: bytes) -> tuple[str | None, str | None, str | None]:
     return flat(root.find(".//Body")), flat(root.find(".//Summary")), None
 
 
-def bill_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, body, summary, error per file."""
+def bill_parts_of(files: DataFrame) -> DataFrame:
+    """path, body, summary, error of every bill in `files` (path, content); a null content is an error."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            got = [bill_parts(bytes(c)) for c in pdf["content"]]
+            got = [bill_parts(b"" if c is None else bytes(c)) for c in pdf["content"]]
             yield pd.DataFrame({"path": pdf["path"], "body": [g[0] for g in got], "summary": [g[1] for g in got], "error": [g[2] for g in got]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, body string, summary string, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, body string, summary string, error string")
+
+
+def bill_texts(spark: SparkSession, path: str) -> DataFrame:
+    """The parts of the bills in all files below a path."""
+    return bill_parts_of(spark.read.format("binaryFile").load(path))
 
 
 class _Tiles(HTMLParser):
@@ -86,7 +91,6 @@ def tiles(pages: DataFrame, page: str, tile: str, fields: dict[str, str]) -> Dat
     return pages.select(page).mapInPandas(run, ", ".join(f"{n} string" for n in names))
 
 
-def next_sitting(documents: DataFrame, number: str) -> int:
-    """The sitting to ask for next: one after the highest whole number; numbers with letters don't count."""
-    top = documents.agg(F.max(F.expr(f"try_cast({number} as int)"))).first()[0]
-    return (top or 0) + 1
+def next_sitting(documents: DataFrame, number: str, *keys: str) -> DataFrame:
+    """keys, `next`: the sitting to ask for next, one after the highest whole number; numbers with letters don't count."""
+    return documents.groupBy(*keys).agg((F.coalesce(F.max(F.col(number).try_cast("int")), F.lit(0)) + 1).alias("next"))
