@@ -11,13 +11,15 @@ TIE = ["Y", "N", "P", "A"]
 FREE = 0.15
 
 
-def party_lines(ballots: DataFrame, independent: int | None = None) -> DataFrame:
+def party_lines(ballots: DataFrame, independent: int | DataFrame | None = None) -> DataFrame:
     """vote_id, party_id, vote, disagreement of `ballots` (vote_id, party_id, ballot).
 
-    All ballots count in the mode, absences too; disagreement looks at yeas and nays and is 0 without any. One aggregate on
+    `independent`: the party whose members have no line, or a frame of one row with it. All ballots count in the mode, absences too; disagreement looks at yeas and nays and is 0 without any. One aggregate on
     (vote, party), with map-side partial counts: a vote of any size costs one row per task."""
     rows = ballots.filter("vote_id is not null and party_id is not null")
-    if independent is not None:
+    if isinstance(independent, DataFrame):
+        rows = rows.join(F.broadcast(independent.select("party_id")), "party_id", "left_anti")  # one row
+    elif independent is not None:
         rows = rows.filter(F.col("party_id") != independent)
     n = {b: F.count_if(F.col("ballot") == b) for b in TIE}
     # Greatest count first, then the order of TIE.

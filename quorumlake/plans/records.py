@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlake.catalog import once, table
+from quorumlake.catalog import current_rows, once, table
 from quorumlake.operators import filters as fl
 from quorumlake.operators import joins, ranking, votes
 from quorumlake.plans.registry import Registry
@@ -39,7 +39,9 @@ def ballots(s: SparkSession, d: str) -> DataFrame:
 
 
 def statements(s: SparkSession, d: str, *cols: str) -> DataFrame:
-    """Statements once by id; only `cols` are read and shuffled."""
+    """Statements once by id; only `cols` are read. Where texts are among them they aren't shuffled."""
+    if any(c.startswith("content_") for c in cols):
+        return current_rows(table(s, d, "statement"), "id", "imported_at", *cols)
     return once(table(s, d, "statement").select("id", "imported_at", *cols), "id", F.col("imported_at")).drop("imported_at")
 
 
@@ -51,9 +53,9 @@ def _ballots_with_party(s: SparkSession, d: str) -> DataFrame:
 INDEPENDENT = 7
 
 
-def _independent(s: SparkSession, d: str) -> int:
-    r = table(s, d, "party").filter("short_name_en = 'Independent'").select(F.min("id")).first()[0]
-    return INDEPENDENT if r is None else r
+def _independent(s: SparkSession, d: str) -> DataFrame:
+    """party_id of the independents, one row."""
+    return table(s, d, "party").filter("short_name_en = 'Independent'").agg(F.coalesce(F.min("id"), F.lit(INDEPENDENT).cast("long")).alias("party_id"))
 
 
 _LINES = (
@@ -161,15 +163,13 @@ def people_list(s, d):
     return r.query({"name__icontains": "AN", "family__startswith": "B", "gender": "F"}).select("id", "name")
 
 
-@query(
-    "flt_p8_speeches",
-    BASE + "SELECT id, document_id, sequence FROM st WHERE politician_id IN (SELECT id FROM pol WHERE slug = (SELECT min(slug) FROM pol WHERE id > 5)) AND NOT procedural",
-)
+@query("flt_p8_speeches", BASE + "SELECT id, document_id, sequence FROM st WHERE politician_id = 21 AND NOT procedural UNION ALL SELECT id, document_id, sequence FROM st WHERE politician_id IN (SELECT id FROM pol WHERE slug = 'jerome-kellkorerby-11') AND procedural")
 def speeches(s, d):
-    p = people(s, d)
-    slug = p.filter("id > 5").agg(F.min("slug")).first()[0]
-    r = fl.Resource(statements(s, d, "document_id", "sequence", "politician_id", "procedural"), {"politician": fl.ByPerson("politician_id", p), "procedural": fl.ByColumn("procedural")}, (F.col("document_id"), F.col("sequence")))
-    return r.query({"politician": f"/politicians/{slug}/", "procedural": "false"}).select("id", "document_id", "sequence")
+    """One person by number, one by the end of an address."""
+    st = statements(s, d, "document_id", "sequence", "politician_id", "procedural")
+    r = fl.Resource(st, {"politician": fl.ByPerson("politician_id", people(s, d)), "procedural": fl.ByColumn("procedural")}, (F.col("document_id"), F.col("sequence")))
+    one = r.query({"politician": "21", "procedural": "false"}).select("id", "document_id", "sequence")
+    return one.unionByName(r.query({"politician": "/politicians/jerome-kellkorerby-11/", "procedural": "True"}).select("id", "document_id", "sequence"))
 
 
 @query("t2_page", BASE + "SELECT id, date, number FROM vq ORDER BY date DESC, number DESC, id LIMIT 21 OFFSET 5")
