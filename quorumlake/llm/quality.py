@@ -47,20 +47,24 @@ MOST = 0.5
 READS = (0.9, 0.3, 40)
 #: A language of fewer distinct texts is ranked within the whole corpus.
 GROUP_MIN = 200
+#: Ranks of distinct values that are sent to every task, some 40 bytes each.
+SENT = 1_000_000
 #: Parts into which each value of the ranks is dealt when they are joined back: a third of all texts may share one value.
 SALTS = 16
 
 _BULLET = r"^(?:[-*•‣▪◦–+]\s|\[[ xX✓]?\]|[A-Z]-\d+\s)"
 _MARK = r"^(?:\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|\([ivx]+\)\s|§\s*\d)"
 _LEADER = r"(?:\.\s?){4,}\s*\d+$"
-_CELL = r"\t|\||;(?=\S)|,(?=\S)|(?<=\S)\s{2,}(?=\S)"
+_CELL = r"[\t|]|[;,](?=\S)|[  ]{2,}+(?=\S)"
 _END = r"[.!?…:][\"'»”)]*$"
 _STOP = r"[.!?…][\"'»”)]*(?=\s|$)"
 _TAG = r"<[a-zA-Z/][^<>]*>|&[a-z]+;|\{\{|\}\}"
-_ONE = r"(?:[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿœ]+|[A-ZÀ-ÖØ-ÞŒ]+)"
+_ONE = r"(?:[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿœ]++|[A-ZÀ-ÖØ-ÞŒ]++)"
+#: A piece of a line, and one written as words or numbers are.
+_PIECE = r"[^\s,;|]+"
 _CLEAN = (
-    rf"^(?:[\"'«»“”‘’(\[]*{_ONE}(?:['’—–-]{_ONE})*[\"'«»“”‘’)\]]*[.,;:!?…%]*[\"'»”)]*"
-    r"|[($€£#]*[-+]?\d[\d.,:/-]*[%)]*[.,;:!?)]*|[–—-]+|[.,;:!?«»]+)$"
+    rf"(?<![^\s,;|])(?:[\"'«»“”‘’(\[]*+{_ONE}(?:['’—–-]{_ONE})*+[\"'«»“”‘’)\].:!?…%]*+"
+    r"|[($€£#]*+[-+]?\d[\d.:/-]*+[%).:!?]*+|[–—-]++|[.:!?«»]++)(?![^\s,;|])"
 )
 
 _STATS = [
@@ -81,70 +85,67 @@ def text_statistics(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     tag, or where there is none the language whose common words are most frequent, English where none are."""
     en, fr = (v.split() for v in COMMON.values())
     rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.lower(F.trim(F.coalesce(F.col(lang), F.lit("")))).alias("la"))
+    # A line that goes on in small letters is one with the line before it.
+    joined = F.split(F.regexp_replace("t", r"(?<=[\p{L},]) ?\n(?=\p{Ll})", " "), "\n")
+    count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
     cut = rows.select(
         "*",
-        F.filter(F.split("t", r"\s+"), lambda w: w != "").alias("raw"),
         F.filter(F.split(F.lower("t"), r"[^\p{L}]+"), lambda w: w != "").alias("low"),
-        # A line that goes on in small letters is one with the line before it.
-        F.filter(F.transform(F.split(F.regexp_replace("t", r"(?<=[\p{L},]) ?\n(?=\p{Ll})", " "), "\n"), lambda x: F.btrim(x, F.lit(" \t\r "))), lambda x: x != "").alias("lines"),
-        F.length(F.regexp_replace("t", r"\s+", "")).alias("chars"),
+        F.transform(
+            F.filter(F.transform(joined, lambda x: F.btrim(x, F.lit(" \t\r "))), lambda x: x != ""),
+            # Pieces are what stands between blanks and cell marks; counted in one pass over the line each.
+            lambda x: F.struct(x.alias("x"), F.length(x).alias("len"), count(x, _PIECE).alias("n"), count(x, _CLEAN).alias("clean"), count(x, _CELL).alias("cells"), x.rlike(_END).alias("ended")),
+        ).alias("cut"),
+        (F.length("t") - count("t", r"\s")).alias("chars"),
     )
-    hits = lambda words: F.size(F.filter("low", lambda w: w.isin(words)))
-    cut = cut.withColumn("en", hits(en)).withColumn("fr", hits(fr))
-    group = F.when(F.col("la") != "", F.substring("la", 1, 2)).when(F.col("fr") > F.col("en"), "fr").otherwise("en")
-    cut = cut.withColumn("lang_group", group)
-    size = lambda x: F.size(F.split(x, r"\s+"))
-    clean = lambda words: F.size(F.filter(words, lambda w: w.rlike(_CLEAN)))
-    ended = lambda x: x.rlike(_END)
-
-    def readable(x: Column) -> Column:
-        words = F.filter(F.split(x, r"[\s,;|]+"), lambda w: w != "")
-        return clean(words) >= 0.6 * F.size(words)
-
-    def row(x: Column) -> Column:
-        return (F.regexp_count(x, F.lit(_CELL)) >= 0.2 * size(x)) & readable(x)
-
-    def item(x: Column) -> Column:
-        short = size(x) <= 8
-        marked = x.rlike(_BULLET) | x.rlike(_LEADER) | x.rlike(_MARK) & (short | ~ended(x)) | short & ~ended(x)
-        parts = F.split(x, r",\s+")  # a run of names or phrases is a list, a run of loose words isn't
+    # A text tagged with one of the two languages is asked for its words only.
+    hits = lambda words, other: F.when(F.col("la").startswith(other), 0).otherwise(F.size(F.filter("low", lambda w: w.isin(words))))
+    cut = cut.withColumn("en", hits(en, "fr")).withColumn("fr", hits(fr, "en"))
+
+    def kind(x: Column) -> Column:
+        """'r' row of cells, 'i' item, '' neither, of lines that read like words and figures."""
+        t, n, short = x["x"], x["n"], x["n"] <= 8
+        parts = F.split(t, r",\s+")  # a run of names or phrases is a list, a run of loose words isn't
         named = F.size(F.filter(parts, lambda y: y.rlike(r"^[\p{Lu}\d]|\s")))
-        run = ~short & (F.size(parts) > 0.2 * size(x)) & (named >= 0.6 * F.size(parts))
-        return (marked | run) & readable(F.regexp_replace(x, rf"{_BULLET}|(?:\.\s?){{4,}}", " "))
-
-    of = lambda lines: F.length(F.array_join(lines, ""))
-    cut = cut.withColumn("rows", F.filter("lines", row))
-    cut = cut.withColumn("items", F.filter("lines", lambda x: ~row(x) & item(x)))
-    n, nlow, lines, chars = F.size("raw"), F.size("low"), F.size("lines"), F.col("chars")
-    whole = of(F.col("lines"))
+        run = ~short & (F.size(parts) > 0.2 * n) & (named >= 0.6 * F.size(parts))
+        item = short & ~x["ended"] | t.rlike(_BULLET) | t.rlike(_LEADER) | (short | ~x["ended"]) & t.rlike(_MARK) | run
+        return F.when(x["clean"] < 0.6 * n, "").when(x["cells"] >= 0.2 * n, "r").when(item, "i").otherwise("")
+
+    lines = F.transform("cut", lambda x: F.struct(x["len"].alias("len"), x["n"].alias("n"), x["clean"].alias("clean"), x["cells"].alias("cells"), x["ended"].alias("ended"), kind(x).alias("kind")))
+    cut = cut.select("_key", "t", "la", "en", "fr", "low", "chars", lines.alias("lines"))
+    total = lambda f: F.aggregate("lines", F.lit(0), lambda a, x: a + f(x))
+    n, nlow, nlines, chars, whole = total(lambda x: x["n"]), F.size("low"), F.size("lines"), F.col("chars"), total(lambda x: x["len"])
+    group = F.when(F.col("la") != "", F.substring("la", 1, 2)).when(F.col("fr") > F.col("en"), "fr").otherwise("en")
     common = F.when(F.col("lang_group") == "en", F.col("en")).when(F.col("lang_group") == "fr", F.col("fr")).otherwise(F.col("en") + F.col("fr"))
     part = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    tagged = F.col("t").contains("<") | F.col("t").contains("&") | F.col("t").contains("{{")
     stats = {
         "words": n.cast("long"),
         "mean_word_len": part(chars, n),
-        "symbol_ratio": part(F.length(F.regexp_replace("t", r"[\p{L}\p{N}\s.,;:!?'’\"“”()%«»–—$-]+", "")), chars),
-        "end_punct_share": part(F.size(F.filter("lines", ended)), lines),
+        "symbol_ratio": part(count("t", r"[^\p{L}\p{N}\s.,;:!?'’\"“”()%«»–—$-]"), chars),
+        "end_punct_share": part(total(lambda x: x["ended"].cast("int")), nlines),
         "common_share": part(common, nlow),
-        "clean_share": part(clean(F.col("raw")), n),
+        "clean_share": part(total(lambda x: x["clean"]), n),
         "vocabulary": part(F.log1p(F.size(F.array_distinct("low"))), F.log1p(nlow)),  # falls little with the length of prose
-        "tag_share": part(chars - F.length(F.regexp_replace(F.regexp_replace("t", _TAG, ""), r"\s+", "")), chars),
-        "digit_ratio": part(chars - F.length(F.regexp_replace("t", r"[\d\s]+", "")), chars),
-        "sentence_words": part(n, F.greatest(F.lit(1), F.regexp_count("t", F.lit(_STOP)))),
-        "line_words": part(n, lines),
-        "open_share": part(of(F.filter("lines", lambda x: ~ended(x))), whole),
-        "item_share": part(of(F.col("items")), whole),
-        "row_share": part(of(F.col("rows")), whole),
-        "cell_ratio": part(F.regexp_count("t", F.lit(_CELL)), n),
+        "tag_share": F.when(tagged, part(chars - F.length(F.regexp_replace("t", rf"{_TAG}|\s+", "")), chars)).otherwise(0.0),
+        "digit_ratio": part(count("t", r"\d"), chars),
+        "sentence_words": part(n, F.greatest(F.lit(1), count("t", _STOP))),
+        "line_words": part(n, nlines),
+        "open_share": part(total(lambda x: F.when(x["ended"], 0).otherwise(x["len"])), whole),
+        "item_share": part(total(lambda x: F.when(x["kind"] == "i", x["len"]).otherwise(0)), whole),
+        "row_share": part(total(lambda x: F.when(x["kind"] == "r", x["len"]).otherwise(0)), whole),
+        "cell_ratio": part(total(lambda x: x["cells"]), n),
     }
-    mark = F.concat_ws(":", "lang_group", F.md5(F.col("t").cast("binary")))
-    return cut.select(F.col("_key").alias(key), *[stats[s].alias(s) for s in _STATS], "lang_group", mark.alias("_text"))
+    mark = F.unhex(F.md5(F.concat_ws(":", group, "t").cast("binary")))
+    return cut.withColumn("lang_group", group).select(F.col("_key").alias(key), *[stats[s].alias(s) for s in _STATS], "lang_group", mark.alias("_text"))
 
 
 def tail_probabilities(stats: DataFrame, key: str, group: str, names: list[str]) -> DataFrame:
-    """key, stat, low, high: the shares of the group's documents with a value not above, and not below, the document's own.
+    """key, grp, stat, low, high: the shares of the group's rows with a value not above, and not below, the row's own.
 
-    Exact ranks by sorted partitions. Equal values are one row in the sort, so a value that a third of all documents share
-    is no hot partition; when ranks go back to the documents, each value is dealt into SALTS parts."""
+    Exact ranks by sorted partitions. Equal values are one row in the sort, so a value that a third of all rows share is no
+    hot partition. The ranks of the distinct values go to every task if they are at most SENT, which is counted; beyond that
+    they are joined by a shuffle in which each value is dealt into SALTS parts."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).cast("double").alias("value")) for n in names]))
     long = stats.select(key, F.col(group).alias("grp"), pairs.alias("p")).select(key, "grp", "p.stat", "p.value")
     counts = long.groupBy("grp", "stat", "value").agg(F.count("*").alias("n"))
@@ -162,9 +163,11 @@ def tail_probabilities(stats: DataFrame, key: str, group: str, names: list[str])
     ranked = ordered.withColumn("upto", F.sum("n").over(inside)).join(sums, ["grp", "stat", "pid"])
     at = F.col("offset") + F.col("upto")
     ranked = ranked.select("grp", "stat", "value", (at / F.col("total")).alias("low"), ((F.col("total") - at + F.col("n")) / F.col("total")).alias("high"))
+    if ordered.count() <= SENT:
+        return long.join(F.broadcast(ranked), ["grp", "stat", "value"]).select(key, "grp", "stat", "low", "high")  # counted
     ranked = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     long = long.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    return long.join(ranked, ["grp", "stat", "value", "salt"]).select(key, "stat", "low", "high")
+    return long.join(ranked, ["grp", "stat", "value", "salt"]).select(key, "grp", "stat", "low", "high")
 
 
 def text_quality(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -187,15 +190,15 @@ def text_quality(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang
         also.select("_text", F.lit("*").alias("_grp"), *used)
     )
     own = placed.select("_text", F.when(F.col("_few"), "*").otherwise(F.col("lang_group")).alias("_own"), "_of")
-    tails = tail_probabilities(ranks.withColumn("_id", F.concat_ws("\n", "_grp", "_text")), "_id", "_grp", used)
+    tails = tail_probabilities(ranks, "_text", "_grp", used)
     side = {s: d for signs in SIGNS.values() for s, d in signs.items()}
     sided = F.when(F.col("stat").isin([s for s, d in side.items() if d > 0]), F.col("high")).otherwise(F.col("low"))
-    wide = tails.select("_id", "stat", (-F.log(sided)).alias("x")).groupBy("_id").agg(*[F.max(F.when(F.col("stat") == s, F.col("x"))).alias(f"_{s}") for s in used])
+    wide = tails.select("_text", F.col("grp").alias("_own"), "stat", (-F.log(sided)).alias("x")).groupBy("_text", "_own").agg(*[F.max(F.when(F.col("stat") == s, F.col("x"))).alias(f"_{s}") for s in used])
     told = {f: [F.col(f"_{s}") for s in signs] for f, signs in SIGNS.items()}
     top = lambda tails: F.aggregate(F.slice(F.sort_array(F.array(*tails), asc=False), 1, 3), F.lit(0.0), lambda a, x: a + x)
     by = {f: top(t) if len(t) > 3 else 3 * F.least(*t) for f, t in told.items()}
-    scores = wide.select("_id", *[F.round(x, 6).alias(f"score_{f}") for f, x in by.items()])
-    scores = own.withColumn("_id", F.concat_ws("\n", "_own", "_text")).join(scores, "_id").drop("_id", "_own")
+    scores = wide.select("_text", "_own", *[F.round(x, 6).alias(f"score_{f}") for f, x in by.items()])
+    scores = own.join(scores, ["_text", "_own"]).drop("_own")
     scored = stats.join(scores, "_text", "left").na.fill(0.0, [f"score_{f}" for f in SIGNS])
     over = lambda f: F.col(f"score_{f}") >= bar(f, F.col("_of"))
     known = F.col("lang_group").isin(list(COMMON))
