@@ -63,23 +63,40 @@ def by_length(a: list[int], b: list[int], ratio: float) -> list[tuple[int, int,
     if n == m and all(abs(math.log((y + 4.0) / (x * ratio + 4.0))) < 0.25 for x, y in zip(a, b)):
         return [(i, 1, i, 1) for i in range(n)]  # no other path can be cheaper by more than it differs
     inf = 1e18
+    # Logarithms of all single and double sentences, so the inner loop only subtracts.
+    la = [math.log(x * ratio + 4.0) for x in a]
+    lb = [math.log(y + 4.0) for y in b]
+    la2 = [math.log((x + y) * ratio + 4.0) for x, y in zip(a, a[1:])]
+    lb2 = [math.log(x + y + 4.0) for x, y in zip(b, b[1:])]
     cost = [[inf] * (m + 1) for _ in range(n + 1)]
     back: list[list[tuple[int, int]]] = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
     cost[0][0] = 0.0
-
-    def fit(x: int, y: int) -> float:
-        return 4.0 * abs(math.log((y + 4.0) / (x * ratio + 4.0)))
-
-    beads = ((1, 1, 0.0), (1, 0, 4.5), (0, 1, 4.5), (2, 1, 2.3), (1, 2, 2.3))
     for i in range(n + 1):
+        row, below = cost[i], cost[i + 1] if i < n else None
         for j in range(m + 1):
-            if (c := cost[i][j]) >= inf:
+            c = row[j]
+            if c >= inf:
                 continue
-            for di, dj, p in beads:
-                if i + di <= n and j + dj <= m:
-                    d = c + p + (fit(sum(a[i : i + di]), sum(b[j : j + dj])) if di and dj else 0.0)
-                    if d < cost[i + di][j + dj]:
-                        cost[i + di][j + dj], back[i + di][j + dj] = d, (di, dj)
+            if i < n:
+                if j < m:
+                    d = c + 4.0 * abs(lb[j] - la[i])
+                    if d < below[j + 1]:
+                        below[j + 1], back[i + 1][j + 1] = d, (1, 1)
+                d = c + 4.5
+                if d < below[j]:
+                    below[j], back[i + 1][j] = d, (1, 0)
+            if j < m:
+                d = c + 4.5
+                if d < row[j + 1]:
+                    row[j + 1], back[i][j + 1] = d, (0, 1)
+                if i + 1 < n:
+                    d = c + 2.3 + 4.0 * abs(lb[j] - la2[i])
+                    if d < cost[i + 2][j + 1]:
+                        cost[i + 2][j + 1], back[i + 2][j + 1] = d, (2, 1)
+                if i < n and j + 1 < m:
+                    d = c + 2.3 + 4.0 * abs(lb2[j] - la[i])
+                    if d < below[j + 2]:
+                        below[j + 2], back[i + 1][j + 2] = d, (1, 2)
     out = []
     i, j = n, m
     while i or j:
@@ -89,18 +106,35 @@ def by_length(a: list[int], b: list[int], ratio: float) -> list[tuple[int, int,
     return out[::-1]
 
 
-def _training(a: list[str], b: list[str], ratio: float) -> list[str]:
-    """Confident pairs of one record (its sentences as words) as 'words TAB words'."""
+def _pair(x: str, y: str) -> str:
+    """'words TAB words' of two sentences without what they share; '' where they aren't confident: nothing is left, or a figure
+    stands on one side only."""
+    u, v = set(x.split()), set(y.split())
+    same = u & v
+    u -= same
+    v -= same
+    if u and v and min(u) > ":" and min(v) > ":":
+        return " ".join(sorted(u)) + "\t" + " ".join(sorted(v))
+    return ""
+
+
+#: Pairs of sentences that a task remembers: stock phrases come again and again.
+REMEMBERED = 200_000
+
+
+def _training(a: list[str], b: list[str], ratio: float, known: dict[tuple[str, str], str]) -> list[str]:
+    """Confident pairs of one record (its sentences as words) as 'words TAB words'; `known` remembers those met before."""
     out = []
     for i, di, j, dj in by_length([len(s) for s in a], [len(s) for s in b], ratio):
-        if di == dj == 1 and 0.5 <= (len(b[j]) + 8) / (len(a[i]) * ratio + 8) <= 2.0:
-            u, v = set(a[i].split()), set(b[j].split())
-            same = u & v
-            u -= same
-            v -= same
-            # Confident: lengths agree, and no figure stands on one side only.
-            if u and v and min(u) > ":" and min(v) > ":":
-                out.append(" ".join(sorted(u)) + "\t" + " ".join(sorted(v)))
+        x, y = a[i] if di else "", b[j] if dj else ""
+        if di == dj == 1 and 0.5 <= (len(y) + 8) / (len(x) * ratio + 8) <= 2.0:
+            got = known.get((x, y))
+            if got is None:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                got = known[x, y] = _pair(x, y)
+            if got:
+                out.append(got)
     return out
 
 
@@ -391,8 +425,10 @@ def aligned(records: DataFrame) -> DataFrame:
     ratio = (sizes.f or 1) / (sizes.e or 1)
 
     @F.pandas_udf("string")
-    def training(en: pd.Series, fr: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(_training(x.split("\n"), y.split("\n"), ratio)) if x and y else "" for x, y in zip(en, fr)], dtype=object)
+    def training(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[tuple[str, str], str] = {}
+        for en, fr in batches:
+            yield pd.Series(["\n".join(_training(x.split("\n"), y.split("\n"), ratio, known)) if x and y else "" for x, y in zip(en, fr)], dtype=object)
 
     cut = usable.select("record_kind", "record_id", "version", sentence_words(F.col("en")).alias("en"), sentence_words(F.col("fr")).alias("fr"))
     told = cut.withColumn("pairs", training("en", "fr"))
