@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions.text import slug
-from quorumlake.operators.runs import run_numbers
+from quorumlake.operators.runs import ordinals, run_numbers
+
+
+#: Statements of a document that one task scans; sittings of any length are scanned in such chunks.
+CHUNK = 1000
+
+
+def _chunked(st: DataFrame) -> DataFrame:
+    return st.withColumn("_chunk", F.floor(F.col("sequence") / CHUNK))
 
 
 def long_speeches(st: DataFrame, least: int = 500, gap: int = 3, flush: bool = False) -> DataFrame:
     """document_id, member, first_seq, last_seq, words of the runs of one speaker whose statements are at most `gap` apart
     in sequence and hold more than `least` words (A20). The last run of a document is left out unless `flush`, as nothing
     closes it; unknown speakers are one speaker."""
-    w = Window.partitionBy("document_id").orderBy("sequence")
-    apart = F.col("sequence") - F.lag("sequence").over(w)
-    same = F.lag(F.struct("member")).over(w).eqNullSafe(F.struct("member"))
-    runs = st.withColumn("_new", F.when(same & (apart >= 1) & (apart <= gap), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    near = lambda p, c: p["member"].eqNullSafe(c["member"]) & (c["sequence"] - p["sequence"] >= 1) & (c["sequence"] - p["sequence"] <= gap)
+    runs = run_numbers(_chunked(st), ["document_id"], ["sequence"], ["member", "sequence"], "_run", "_chunk", near)
     got = runs.groupBy("document_id", "_run").agg(
         F.first("member").alias("member"), F.min("sequence").alias("first_seq"), F.max("sequence").alias("last_seq"), F.sum("wordcount").alias("words")
     )
@@ -30,7 +36,7 @@ def headings(st: DataFrame, heading: str) -> DataFrame:
     """document_id, position, heading: the headings in order without repeats of the one before; statements without one are
     passed over (A23)."""
     rows = st.filter((F.col(heading).isNotNull()) & (F.col(heading) != "")).select("document_id", "sequence", F.col(heading).alias("heading"))
-    runs = run_numbers(rows, ["document_id"], ["sequence"], "heading", "position")
+    runs = run_numbers(_chunked(rows), ["document_id"], ["sequence"], "heading", "position", "_chunk")
     return runs.groupBy("document_id", "position").agg(F.first("heading").alias("heading"))
 
 
@@ -38,7 +44,7 @@ def heading_runs(st: DataFrame, keys: list[str], least: int) -> DataFrame:
     """document_id, run, keys, statements, words of consecutive statements with equal keys and at least `least` words that
     aren't procedural (A26)."""
     boxed = st.withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    runs = run_numbers(boxed, ["document_id"], ["sequence"], "_key", "run")
+    runs = run_numbers(_chunked(boxed), ["document_id"], ["sequence"], "_key", "run", "_chunk")
     spoken = F.sum(F.when(F.col("procedural"), 0).otherwise(F.col("wordcount")))
     got = runs.groupBy("document_id", "run").agg(*[F.first(k).alias(k) for k in keys], F.count("*").alias("statements"), spoken.alias("words"))
     return got.filter(F.col("words") >= least)
@@ -49,25 +55,54 @@ def statement_slugs(st: DataFrame, who: Column, most: int = 50) -> DataFrame:
     base = F.trim(F.substring(F.trim(F.translate(slug(who), "-", " ")), 1, most))
     base = F.regexp_replace(base, " +", "-")
     named = st.withColumn("_base", F.when(base == "", "procedural").otherwise(base))
-    w = Window.partitionBy("document_id", "_base").orderBy("sequence", "id")
-    return named.withColumn("slug_no", F.concat_ws("-", "_base", F.row_number().over(w).cast("string"))).drop("_base")
+    got = ordinals(_chunked(named), ["document_id", "_base"], ["sequence", "id"], "_no", "_chunk")
+    return got.withColumn("slug_no", F.concat_ws("-", "_base", F.col("_no").cast("string"))).drop("_base", "_no", "_chunk")
 
 
 def timed_slugs(st: DataFrame, who: Column, most: int = 50) -> DataFrame:
     """`slug_time`: name-HHMM, and -2, -3 … from the second in the same minute."""
     base = F.regexp_replace(F.trim(F.substring(F.trim(F.translate(slug(who), "-", " ")), 1, most)), " +", "-")
     named = st.withColumn("_base", F.concat_ws("-", F.when(base == "", "procedural").otherwise(base), F.date_format("time", "HHmm")))
-    rn = F.row_number().over(Window.partitionBy("document_id", "_base").orderBy("sequence", "id"))
-    return named.withColumn("slug_time", F.when(rn > 1, F.concat_ws("-", "_base", rn.cast("string"))).otherwise(F.col("_base"))).drop("_base")
+    got = ordinals(_chunked(named), ["document_id", "_base"], ["sequence", "id"], "_no", "_chunk")
+    return got.withColumn("slug_time", F.when(F.col("_no") > 1, F.concat_ws("-", "_base", F.col("_no").cast("string"))).otherwise(F.col("_base"))).drop("_base", "_no", "_chunk")
 
 
 def speakers(st: DataFrame) -> DataFrame:
-    """document_id, who, person, first_seq: each person's first statement, by number where there is one, else by name; of
-    several numbers under one name the first (A22)."""
-    w = Window.partitionBy("document_id", F.coalesce(F.col("who_hocid").cast("string"), F.col("who"))).orderBy("sequence", "id")
-    firsts = st.filter("who <> ''").withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    again = Window.partitionBy("document_id", "who").orderBy("sequence", "id")
-    return firsts.withColumn("_n", F.row_number().over(again)).filter("_n = 1").select("document_id", "who", F.col("who_hocid").alias("person"), F.col("sequence").alias("first_seq"))
+    """document_id, who, person, first_seq, slug, politician, minister, description of those who spoke (A22). `st`:
+    document_id, sequence, id, who, who_hocid, name (of a known member, else null), context, slug. Of each number the first
+    statement counts, of several numbers under one name to show the first; a label is shown without brackets and its first
+    word. Both choices are aggregates, so no document is sorted."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace("who", r"\s*\(.+\)\s*", ""), r"^\s*\S+\s+", ""))
+    at = F.struct("sequence", "id", "who", "name", "context", "slug")
+    firsts = st.filter("who_hocid is not null").groupBy("document_id", "who_hocid").agg(F.min(at).alias("x"))
+    firsts = firsts.select("document_id", "who_hocid", "x.*").withColumn("shown", F.coalesce("name", bare))
+    got = firsts.groupBy("document_id", "shown").agg(F.min(F.struct("sequence", "id", "who_hocid", "name", "context", "slug")).alias("x"))
+    known = F.col("x.name").isNotNull()
+    office = F.coalesce(F.col("x.context").rlike("Minist(?:er|re) "), F.lit(False))
+    return got.select(
+        "document_id", F.col("shown").alias("who"), F.col("x.who_hocid").alias("person"), F.col("x.sequence").alias("first_seq"), F.col("x.slug").alias("slug"), known.alias("politician"),
+        (known & office).alias("minister"), F.nullif(F.col("x.context"), F.lit("")).alias("description"),
+    )
+
+
+def outside_speakers(found: DataFrame) -> DataFrame:
+    """Ministers, and who is neither a member nor a clerk."""
+    return found.filter(F.col("minister") | ~(F.col("politician") | F.col("who").startswith("Clerk ")))
+
+
+def member_speakers(found: DataFrame) -> DataFrame:
+    """Members who aren't ministers."""
+    return found.filter("politician and not minister")
+
+
+def run_minutes(st: DataFrame, heading: str) -> DataFrame:
+    """document_id, run, heading, minutes of consecutive statements under one heading, whole minutes from the first to the
+    last; days don't count (W10)."""
+    runs = run_numbers(_chunked(st.withColumn("_h", F.col(heading))), ["document_id"], ["sequence"], "_h", "run", "_chunk")
+    at = F.struct("sequence", "time")
+    got = runs.groupBy("document_id", "run").agg(F.first("_h").alias("heading"), F.min(at)["time"].alias("a"), F.max(at)["time"].alias("z"))
+    secs = F.pmod(F.unix_timestamp(F.col("z").cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp")), F.lit(86400))
+    return got.select("document_id", "run", "heading", F.floor(secs / 60).alias("minutes"))
 
 
 def activity(st: DataFrame, least: int = 0) -> DataFrame:

@@ -8,6 +8,8 @@ Without a chunk a plain window over the group is used, which suits groups of pro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,29 +33,45 @@ def fill_forward(df: DataFrame, keys: list[str], order: list[str], value: str, o
     return got.withColumn(out, F.coalesce("_own", "_carried")).drop("_own", "_carried")
 
 
-def run_numbers(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, chunk: str | None = None) -> DataFrame:
-    """`out`: number from 1 of the run of equal `value` (null equals null) that the row is in, within `keys`.
+def run_numbers(
+    df: DataFrame, keys: list[str], order: list[str], value: str | list[str], out: str, chunk: str | None = None, same: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """`out`: number from 1 of the run that the row is in, within `keys`: a run goes on while `value` is equal (null equals
+    null), or while `same` of the row before and the row, structs of the columns of `value`, is true.
 
     Rows equal in `order` are put in an unspecified order, so `order` should be unique within `keys`."""
-    boxed = F.struct(F.col(value).alias("v"))
+    names = [value] if isinstance(value, str) else value
+    boxed = F.struct(*[F.col(n).alias(n) for n in names])
+    goes_on = lambda prev, cur: prev.isNotNull() & F.coalesce(same(prev, cur) if same else prev.eqNullSafe(cur), F.lit(False))
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order)
-        prev = F.lag(boxed).over(w)
-        new = (prev.isNull() | ~prev.eqNullSafe(boxed)).cast("long")
-        return df.withColumn("_new", new).withColumn(out, F.sum("_new").over(w)).drop("_new")
+        return df.withColumn("_new", (~goes_on(F.lag(boxed).over(w), boxed)).cast("long")).withColumn(out, F.sum("_new").over(w)).drop("_new")
     inner = Window.partitionBy(*keys, chunk).orderBy(*order)
     prev = F.lag(boxed).over(inner)
     # The first row of a chunk counts as no change here; the chunk's offset decides on it.
-    new = F.when(prev.isNull(), F.lit(0)).otherwise((~prev.eqNullSafe(boxed)).cast("long"))
-    inside = df.withColumn("_new", new)
+    inside = df.withColumn("_new", F.when(prev.isNull(), F.lit(0)).otherwise((~goes_on(prev, boxed)).cast("long")))
     rank = F.struct(*_cols(order))
     per = inside.groupBy(*keys, chunk).agg(
         F.sum("_new").alias("_n"), F.min_by(boxed, rank).alias("_first"), F.max_by(boxed, rank).alias("_last")
     )
     along = Window.partitionBy(*keys).orderBy(chunk)
-    joint = F.lag("_last").over(along)
-    per = per.withColumn("_start", (joint.isNull() | ~joint.eqNullSafe(F.col("_first"))).cast("long"))
+    per = per.withColumn("_start", (~goes_on(F.lag("_last").over(along), F.col("_first"))).cast("long"))
     upto = F.sum(F.col("_start") + F.col("_n")).over(along) - F.col("_n")
     per = per.select(*keys, chunk, upto.alias("_offset"))
     got = inside.withColumn("_in", F.sum("_new").over(inner)).join(per, [*keys, chunk])
     return got.withColumn(out, F.col("_offset") + F.col("_in")).drop("_new", "_in", "_offset")
+
+
+def ordinals(df: DataFrame, keys: list[str], order: list[str], out: str, chunk: str) -> DataFrame:
+    """`out`: place of the row from 1 within `keys`: its place in the chunk and the rows of the chunks before, so no group is
+    sorted by one task. Null keys are groups too."""
+    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
+    along = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    per = df.groupBy(*keys, chunk).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
+    renamed = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, chunk])], "_before")
+    on = None
+    for i, k in enumerate([*keys, chunk]):
+        hit = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        on = hit if on is None else on & hit
+    placed = df.withColumn("_in", F.row_number().over(inner)).join(renamed, on)
+    return placed.withColumn(out, F.col("_before") + F.col("_in")).select(*df.columns, out)

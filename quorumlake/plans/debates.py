@@ -66,12 +66,18 @@ def long_speeches(s, d):
 
 @query(
     "a22_p29_speakers",
-    SAID + """, f AS (SELECT *, row_number() OVER (PARTITION BY document_id, COALESCE(CAST(who_hocid AS VARCHAR), who_en) ORDER BY sequence, id) AS n FROM sd WHERE who_en <> ''),
-    g AS (SELECT *, row_number() OVER (PARTITION BY document_id, who_en ORDER BY sequence, id) AS m FROM f WHERE n = 1)
-    SELECT document_id, who_en AS who, who_hocid AS person, sequence AS first_seq FROM g WHERE m = 1""",
+    SAID + r"""SELECT document_id, who, person, first_seq, slug, politician, minister, description, CASE WHEN minister OR NOT (politician OR starts_with(who, 'Clerk ')) THEN 'outside' WHEN politician AND NOT minister THEN 'member' ELSE 'clerk' END AS side FROM (
+    WITH f AS (SELECT sd.*, pol.name, COALESCE(pol.name, trim(regexp_replace(regexp_replace(who_en, '\s*\(.+\)\s*', '', 'g'), '^\s*\S+\s+', ''))) AS who, row_number() OVER (PARTITION BY document_id, who_hocid ORDER BY sequence, sd.id) AS n FROM sd LEFT JOIN pol ON pol.id = sd.politician_id WHERE who_hocid IS NOT NULL),
+    g AS (SELECT *, row_number() OVER (PARTITION BY document_id, who ORDER BY sequence, id) AS m FROM f WHERE n = 1)
+    SELECT document_id, who, who_hocid AS person, sequence AS first_seq, slug, name IS NOT NULL AS politician, name IS NOT NULL AND COALESCE(regexp_matches(who_context_en, 'Minist(er|re) '), false) AS minister, NULLIF(who_context_en, '') AS description FROM g WHERE m = 1)""",
 )
 def speakers(s, d):
-    return db.speakers(_said(s, d, "who_en", "who_hocid").withColumnRenamed("who_en", "who"))
+    who = people(s, d).select(F.col("id").alias("politician_id"), "name")
+    st = _said(s, d, "who_en", "who_hocid", "who_context_en", "slug", "politician_id").join(who, "politician_id", "left")
+    got = db.speakers(st.withColumnsRenamed({"who_en": "who", "who_context_en": "context"}))
+    side = lambda df, n: df.withColumn("side", F.lit(n))
+    clerks = got.filter("not politician").filter(F.col("who").startswith("Clerk "))
+    return side(db.outside_speakers(got), "outside").unionByName(side(db.member_speakers(got), "member")).unionByName(side(clerks, "clerk"))
 
 
 @query(
@@ -141,10 +147,11 @@ def activity(s, d):
     return db.activity(_said(s, d, "politician_id", "h2_en", "wordcount", "procedural").withColumnRenamed("h2_en", "topic"), 80)
 
 
-@query("w10_run_minutes", SAID + "SELECT document_id, h1_en, CAST(floor(date_diff('second', min(time), max(time)) / 60.0) AS BIGINT) AS minutes FROM sd GROUP BY document_id, h1_en")
+@query("w10_run_minutes", SAID + """, a AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(h1_en) OVER w IS NOT DISTINCT FROM h1_en THEN 0 ELSE 1 END AS new FROM sd WINDOW w AS (PARTITION BY document_id ORDER BY sequence)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY sequence) AS run FROM a)
+    SELECT document_id, CAST(run AS BIGINT) AS run, any_value(h1_en) AS heading, CAST(floor((date_diff('second', arg_min(time, sequence), arg_max(time, sequence)) % 86400) / 60.0) AS BIGINT) AS minutes FROM r GROUP BY document_id, run""")
 def run_minutes(s, d):
-    secs = F.unix_timestamp(F.max("time").cast("timestamp")) - F.unix_timestamp(F.min("time").cast("timestamp"))
-    return _said(s, d, "h1_en", "time").groupBy("document_id", "h1_en").agg(F.floor(secs / 60).alias("minutes"))
+    return db.run_minutes(_said(s, d, "h1_en", "time"), "h1_en")
 
 
 _PLAIN = f"translate(who_en, '{tx.ACCENTED}', '{tx.PLAIN}')"
