@@ -128,5 +128,58 @@ def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return text_quality(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p5_found": p5_found, "p5_forms": p5_forms, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_exact": p8_exact, "p8_exact_shares": p8_exact_shares, "p9_found": p9_found, "p9_quality": p9_quality}
-ORACLE: dict[str, str] = {}
+# --- what can be said in SQL of the results ----------------------------------------------------------------------------------
+
+
+def p1_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Values per feed and field that the report counts: none is lost, a row sent again counts once."""
+    return p1_report(spark, folder).select("feed", "field_name", "n_values")
+
+
+def p5_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed form comes out once, under its smallest id, in an entity whose smallest form is its name."""
+    forms = _variants(spark, folder)
+    least = forms.groupBy("entity").agg(F.min("fid").alias("least"))
+    return forms.join(least, "entity").select("fid", "who_en", "who_context_en", (F.col("least") == F.col("entity")).alias("named"))
+
+
+def p7_conserved(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity: texts packed, containers over their capacity, texts that fit whole and were split, gaps or overlaps of pieces."""
+    p = _packed(spark, folder)
+    texts = p.groupBy("spec_id", "capacity", "doc_id").agg(
+        F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.max(F.col("first_token") + F.col("n_tokens")).alias("e"), F.countDistinct("first_token").alias("f")
+    ).groupBy("spec_id", "capacity").agg(
+        F.count("*").alias("texts"), F.count_if((F.col("t") <= F.col("capacity")) & (F.col("k") > 1)).alias("split"), F.count_if((F.col("t") != F.col("e")) | (F.col("k") != F.col("f"))).alias("broken")
+    )
+    over = p.groupBy("spec_id", "capacity", "container").agg(F.sum("n_tokens").alias("t")).groupBy("spec_id", "capacity").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    return texts.join(over, ["spec_id", "capacity"])
+
+
+def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source with a target: texts used more often than allowed, texts of another source, and whether shares add up."""
+    selection, report = _mixed(spark, folder)
+    docs = table(spark, folder, "documents").select("doc_id", F.col("source").alias("own"))
+    used = selection.join(docs, "doc_id").join(F.broadcast(report.select("source", "max_repeats")), "source")  # one row per source
+    bad = used.groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("over"), F.count_if(F.col("source") != F.col("own")).alias("foreign"))
+    total = report.agg((F.round(F.sum("reached_share"), 6) == 1).alias("whole"))
+    got = report.select("source", "target_share").join(bad, "source", "left").na.fill(0, ["over", "foreign"])
+    return got.crossJoin(F.broadcast(total))  # one row
+
+
+def p9_covered(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document is judged once, and equal texts of one language alike."""
+    q = written(p9_quality(spark, folder).select("doc_id", "form", "lang_group"), "p9-judged")
+    docs = table(spark, folder, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
+    alike = q.join(docs, "doc_id").groupBy("m", "lang_group").agg(F.countDistinct("form").alias("forms")).agg(F.count_if(F.col("forms") > 1).alias("unlike"))
+    return q.agg(F.count("*").alias("documents"), F.countDistinct("doc_id").alias("distinct_ids")).crossJoin(F.broadcast(alike))  # one row
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p5_found": p5_found, "p5_forms": p5_forms, "p7_packed": p7_packed, "p7_unused": p7_unused, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_exact": p8_exact, "p8_exact_shares": p8_exact_shares, "p9_found": p9_found, "p9_quality": p9_quality, "p1_values": p1_values, "p5_typed": p5_typed, "p7_conserved": p7_conserved, "p8_limits": p8_limits, "p9_covered": p9_covered}
+ORACLE: dict[str, str] = {
+    "p1_values": """WITH r AS (SELECT DISTINCT id, COALESCE(feed, '') AS feed, who_en, who_context_en FROM statement), v AS (SELECT feed, 'who_en' AS field_name, id, who_en AS x FROM r UNION ALL SELECT feed, 'who_context_en', id, who_context_en FROM r)
+        SELECT feed, field_name, CAST(count(*) AS BIGINT) AS n_values FROM v WHERE x <> '' GROUP BY feed, field_name""",
+    "p5_typed": "SELECT min(id) AS fid, who_en, who_context_en, true AS named FROM statement WHERE statement_type = 'witness' GROUP BY who_en, who_context_en",
+    "p7_conserved": "SELECT CAST(spec_id AS INTEGER) AS spec_id, CAST(capacity_tokens AS INTEGER) AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0 AS split, 0 AS broken, 0 AS overfull FROM (SELECT DISTINCT * FROM container_spec) c",
+    "p8_limits": "SELECT source, max(target_share) AS target_share, 0 AS over, 0 AS foreign, true AS whole FROM source_weight GROUP BY source".replace(" foreign,", ' "foreign",'),
+    "p9_covered": "SELECT count(*) AS documents, count(DISTINCT doc_id) AS distinct_ids, 0 AS unlike FROM documents",
+}
