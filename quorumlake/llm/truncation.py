@@ -25,6 +25,8 @@ COMPONENTS, ROUNDS = 4, 60
 #: A length is tried as a limit if that many distinct values have it, and so many times the mean of its neighbours.
 SPIKE_MIN, SPIKE_TIMES = 5, 3.0
 LIMIT_WEIGHT = 3.0
+#: Values so many times as long as the longest candidate count as that long.
+BEYOND = 8
 #: Twice the gain in log likelihood that a limit must bring.
 GAIN = 12.0
 _FITS = "source string, field string, measure string, len int, q double, share double, gain double"
@@ -41,13 +43,16 @@ def fit_limits(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, float
 
     `counts` are numbers of distinct values per length. A limit L may apply to a part `share` of the values only (a limit
     that was raised later): a value of length L is cut with odds share * P(longer) : P(L)."""
-    top = int(lengths.max())
-    n = np.zeros(4 * top + 2)
-    n[lengths] = counts
-    near = lambda i: np.r_[n[max(1, i - 4) : i], n[i + 1 : i + 5]]
-    cand = [int(x) for x in lengths if n[x] >= SPIKE_MIN and n[x] > SPIKE_TIMES * max(near(int(x)).mean(), 0.7)]
+    own = dict(zip(lengths.tolist(), counts.tolist()))
+    near = lambda i: np.array([own.get(k, 0.0) for k in (*range(max(1, i - 4), i), *range(i + 1, i + 5))])
+    cand = [x for x, k in own.items() if k >= SPIKE_MIN and k > SPIKE_TIMES * max(near(x).mean(), 0.7)]
     if not cand:
         return []
+    # How far beyond the last candidate a value reaches tells nothing of the limits: a single text of any length makes no grid.
+    lengths = np.minimum(lengths, BEYOND * max(cand))
+    top = int(lengths.max())
+    n = np.zeros(4 * top + 2)
+    np.add.at(n, lengths, counts)
     grid = np.arange(1, len(n))
     w = n[1:]
     total = w.sum()

@@ -30,6 +30,14 @@ def test_fit_finds_limits():
     assert truncation.fit_limits(lengths, counts.astype(float)) == []
 
 
+def test_a_value_of_any_length_is_fitted():
+    rng = np.random.default_rng(1)
+    n = np.bincount(np.minimum(rng.lognormal(3.6, 0.4, 4000).astype(int) + 1, 50))
+    lengths = np.r_[np.nonzero(n)[0], 200_000_000]
+    got = truncation.fit_limits(lengths, np.r_[n[n > 0], 1].astype(float))
+    assert [g[0] for g in got] == [50] and truncation.fit_limits(np.array([3, 300_000_000]), np.array([1.0, 1.0])) == []
+
+
 def test_fit_limit_of_a_part():
     rng = np.random.default_rng(2)
     true = np.exp(rng.normal(3.6, 0.6, 6000)).astype(int) + 1
