@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import SparkSession
 
-PLANS = ["quorumlake.plans.dated", "quorumlake.plans.records", "quorumlake.plans.debates", "quorumlake.plans.streams", "quorumlake.plans.more", "quorumlake.plans.functions", "quorumlake.plans.lists", "quorumlake.plans.changes", "quorumlake.plans.readers"]
+PLANS = ["quorumlake.plans.dated", "quorumlake.plans.records", "quorumlake.plans.debates", "quorumlake.plans.streams", "quorumlake.plans.more", "quorumlake.plans.functions", "quorumlake.plans.lists", "quorumlake.plans.changes", "quorumlake.plans.readers", "quorumlake.plans.shown"]
 
 
 def jobs() -> dict:

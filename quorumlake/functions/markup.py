@@ -85,13 +85,27 @@ def token_sum(metadata: Column) -> Column:
     return F.when(F.ltrim(metadata).startswith("["), F.aggregate(many, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["total_tokens"], F.lit(0).cast("long")))).otherwise(F.coalesce(one, F.lit(0).cast("long")))
 
 
-def meeting_summary(df: DataFrame, key: str, name: str, study: str) -> DataFrame:
-    """key, summary: the names of a meeting's studies, else of all its activities, in order, as an English list."""
+def meeting_summary(df: DataFrame, key: str, name: str, study: str, order: str) -> DataFrame:
+    """key, summary: the names of a meeting's studies, else of all its activities, in order, as an English list (A36). A
+    meeting has some activities."""
     from quorumlake.functions.text import english_list
 
-    has = F.bool_or(study)
-    picked = df.groupBy(key).agg(has.alias("_any"), F.collect_set(F.when(F.col(study), F.col(name))).alias("_s"), F.collect_set(name).alias("_a"))
-    return picked.select(key, english_list(F.sort_array(F.when(F.col("_any"), F.col("_s")).otherwise(F.col("_a")))).alias("summary"))
+    all_ = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(study).alias("s"), F.col(name).alias("n"))))
+    picked = df.groupBy(key).agg(F.bool_or(study).alias("_any"), all_.alias("_a"))
+    names = F.transform(F.filter("_a", lambda x: ~F.col("_any") | x["s"]), lambda x: x["n"])
+    return picked.select(key, english_list(names).alias("summary"))
+
+
+def committee_slug(short_name: Column, parent: Column) -> Column:
+    """Slug of a committee: letters and digits of its short name, behind that of its parent, at most 46 characters."""
+    from quorumlake.functions.text import slug
+
+    return F.left(F.concat_ws("-", parent, slug(short_name, digits=True)), F.lit(46))
+
+
+def new_slugs(df: DataFrame, slug: str, taken: DataFrame) -> DataFrame:
+    """`df` with `refused`: whether the slug is one of `taken` already, as a person's slug is never changed for it."""
+    return df.join(taken.select(F.col(slug)).distinct().withColumn("refused", F.lit(True)), slug, "left").na.fill(False, ["refused"])
 
 
 def unique_slugs(df: DataFrame, base: str, *order: Column) -> DataFrame:
@@ -114,9 +128,9 @@ def opaque_urls(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 def linked(df: DataFrame, key: str, content: str, targets: DataFrame) -> DataFrame:
     """`content` with <a … data-HoCid="n" …> given the href of `targets` (hocid, url) where there is one (F25). The ids of a text
     are exploded, joined and put back as a map, so the table of targets is never held by a task."""
-    ids = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(content, F.lit(r'<a data-HoCid="(\d+)">'), 1))).alias("hocid"))
+    ids = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(content, F.lit(r'<a [^>]*data-HoCid="(\d+)"'), 1))).alias("hocid"))
     got = ids.join(targets.select(F.col("hocid").cast("string"), "url"), "hocid").groupBy(key).agg(F.collect_list(F.struct("hocid", "url")).alias("_l"))
-    put = F.expr(f"""aggregate(coalesce(_l, array()), `{content}`, (t, x) -> replace(t, concat('<a data-HoCid="', x.hocid, '">'), concat('<a data-HoCid="', x.hocid, '" href="', x.url, '">')))""")
+    put = F.expr(f"""aggregate(coalesce(_l, array()), `{content}`, (t, x) -> replace(t, concat('data-HoCid="', x.hocid, '"'), concat('data-HoCid="', x.hocid, '" href="', x.url, '"')))""")
     return df.join(got, key, "left").withColumn(content, put).drop("_l")
 
 

@@ -186,3 +186,38 @@ def subheads(st: DataFrame, found: DataFrame) -> DataFrame:
     got = inside.join(f, (inside["document_id"] == f["document_id"]) & (F.lower("h1") == F.lower("_h1")) & (F.lower("_h1").isin(list(SHOWN)) | (F.lower("h2") == F.lower("_h2")))).drop(f["document_id"])
     heading = F.when(F.lower("h1").isin(list(SHOWN)), F.col("h2")).otherwise(F.col("h3"))
     return got.withColumn("heading", heading).filter("heading <> ''").groupBy("document_id", "first_seq", "heading").agg(F.min_by("slug", "sequence").alias("slug"))
+
+
+# --- lists of topics, texts, stored sections ------------------------------------------------------------------------------
+
+
+def topics(st: DataFrame, heading: str, question_period: bool = False) -> DataFrame:
+    """document_id, position, heading, slug: the headings in order without repeats of the one before, each with the slug of its
+    first statement; statements without a heading are passed over (A23). With `question_period` the first statement under
+    'Oral Questions' comes before them, at position 0."""
+    rows = st.filter((F.col(heading).isNotNull()) & (F.col(heading) != "")).select("document_id", "sequence", "slug", F.col(heading).alias("heading"))
+    runs = run_numbers(_chunked(rows), ["document_id"], ["sequence"], "heading", "position", "_chunk")
+    got = runs.groupBy("document_id", "position").agg(F.min(F.struct("sequence", "heading", "slug")).alias("x")).select("document_id", "position", "x.heading", "x.slug")
+    if not question_period:
+        return got
+    first = st.filter("h1 = 'Oral Questions'").groupBy("document_id").agg(F.min(F.struct("sequence", "slug"))["slug"].alias("slug"))
+    return got.unionByName(first.select("document_id", F.lit(0).cast("long").alias("position"), F.lit("Question Period").alias("heading"), "slug"))
+
+
+def transcript_texts(st: DataFrame, by: str) -> DataFrame:
+    """`by`, text: the statements of each group in order as blocks of lines (K14): name, address, party and riding of a member,
+    title, and the text. `st`: by, sequence, name, url, party, riding, title, body; null lines are left out. A text is one
+    value by its definition."""
+    line = lambda head, c: F.coalesce(F.concat(F.lit(f"{head}: "), F.col(c), F.lit("\n")), F.lit(""))
+    block = F.concat(line("Name", "name"), line("URL", "url"), line("Party", "party"), line("Riding", "riding"), line("Title", "title"), F.lit("\n\n"), F.coalesce("body", F.lit("")))
+    ordered = F.array_sort(F.collect_list(F.struct("sequence", block.alias("b"))))
+    return st.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n----\n\n").alias("text"))
+
+
+def stored_or(found: DataFrame, stored: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, sections (JSON), source of every document: a public summary with content where there is one, else the sections of
+    `found` in order (J26). `stored`: key, json, public."""
+    ready = stored.filter("public and json <> ''").groupBy(key).agg(F.max("json").alias("json"))
+    made = found.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns))), {"ignoreNullFields": "false"}).alias("_made"))
+    got = made.join(ready, key, "full")
+    return got.select(key, F.coalesce("json", "_made").alias("sections"), F.when(F.col("json").isNotNull(), "stored").otherwise("computed").alias("source"))

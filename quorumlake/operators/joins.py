@@ -64,3 +64,12 @@ def follow(start: DataFrame, links: DataFrame, node: str, to: str, most: int = 8
     for _ in range(most):
         cur = cur.join(hop, F.col("_at") == F.col("_f"), "left").select(node, F.coalesce("_t", "_at").alias("_at"))
     return cur.withColumnRenamed("_at", "target")
+
+
+def cached_lookup(asked: DataFrame, cache: DataFrame, outside: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(key, value, source of what was asked; the cache with what was found outside it), S24: the cache decides, another table
+    is asked for what it lacks only, and what that has is cached."""
+    missing = asked.select(key).distinct().join(cache.select(key), key, "left_anti")
+    found = missing.join(outside.select(key, value), key)
+    full = cache.select(key, value).withColumn("source", F.lit("cache")).unionByName(found.withColumn("source", F.lit("outside")))
+    return asked.select(key).distinct().join(full, key, "left"), full.select(key, value)

@@ -80,6 +80,30 @@ def redirect(raw: DataFrame, people: DataFrame, ridings: DataFrame, held: DataFr
     return by_code.unionByName(by_name.join(by_code.select("query"), "query", "left_anti"))
 
 
+@dataclass(frozen=True)
+class Source:
+    """What search indexes of one kind of record (H1): the rows, which of them, and what a row looks like."""
+
+    kind: str
+    rows: object  # () -> DataFrame
+    document: dict  # name -> Column
+    should_index: object = None  # a condition, or None for all
+
+
+def search_documents(sources: list[Source]) -> DataFrame:
+    """id, kind, json of the rows of all sources that should be indexed; fields that are null are left out."""
+    got = None
+    for src in sources:
+        if not {"id"} <= set(src.document):
+            raise ValueError(f"{src.kind} has no id")
+        rows = src.rows()
+        rows = rows.filter(src.should_index) if src.should_index is not None else rows
+        fields = [c.alias(n) for n, c in src.document.items() if n != "id"]
+        one = rows.select(src.document["id"].cast("string").alias("id"), F.lit(src.kind).alias("kind"), F.to_json(F.struct(*fields)).alias("json"))
+        got = one if got is None else got.unionByName(one)
+    return got
+
+
 def terms(text, least: int = 1):
     """Search terms of a text column: lower case, no accents, possessives off, cut at all but letters and digits."""
     c = F.regexp_replace(plain_letters(F.lower(text)), "['’]s\\b", "")

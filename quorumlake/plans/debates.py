@@ -80,16 +80,6 @@ def speakers(s, d):
     return side(db.outside_speakers(got), "outside").unionByName(side(db.member_speakers(got), "member")).unionByName(side(clerks, "clerk"))
 
 
-@query(
-    "a23_w8_headings",
-    SAID + """, a AS (SELECT document_id, sequence, h2_en, lag(h2_en) OVER (PARTITION BY document_id ORDER BY sequence) AS p FROM sd WHERE h2_en IS NOT NULL AND h2_en <> ''),
-    b AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> h2_en THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY sequence) AS position FROM a)
-    SELECT document_id, CAST(position AS BIGINT) AS position, min(h2_en) AS heading FROM b GROUP BY document_id, position""",
-)
-def headings(s, d):
-    return db.headings(_said(s, d, "h2_en"), "h2_en")
-
-
 @query(
     "a26_heading_runs",
     SAID + """, a AS (SELECT *, lag(h1_en) OVER (PARTITION BY document_id ORDER BY sequence) AS p1, lag(h2_en) OVER (PARTITION BY document_id ORDER BY sequence) AS p2,
@@ -384,13 +374,5 @@ def ages(s, d):
     return questions(s, d).select("id", dt.horizon(F.col("date")).alias("horizon"), dt.is_stale(F.col("date"), F.lit("2018-12-31").cast("date"), 365).alias("stale"))
 
 
-@query("k14_transcripts", SAID + ", a AS (SELECT document_id, sequence, who_en || ': ' || CAST(wordcount AS VARCHAR) AS line FROM sd WHERE NOT procedural) SELECT document_id, string_agg(line, ' ---- ' ORDER BY sequence) AS transcript FROM a GROUP BY document_id")
-def transcripts(s, d):
-    """Blocks of a document in order; a document's lines are gathered only for the output."""
-    st = _said(s, d, "who_en", "wordcount", "procedural").filter("not procedural")
-    line = F.concat("who_en", F.lit(": "), F.col("wordcount").cast("string"))
-    ordered = F.array_sort(F.collect_list(F.struct("sequence", line.alias("line"))))
-    return st.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), " ---- ").alias("transcript"))
-
 
 QUERIES, ORACLE = REGISTRY.queries, REGISTRY.sql

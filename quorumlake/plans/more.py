@@ -29,27 +29,12 @@ def views(s, d):
     return table(s, d, "documents").filter(F.col("doc_kind").isin("debate", "evidence")).select("doc_id", "doc_kind")
 
 
-@query("s24_lookup_cascade", BASE + ", a AS (SELECT DISTINCT riding_id FROM em), c1 AS (SELECT riding_id, min(party_id) AS p FROM em WHERE end_date IS NULL GROUP BY riding_id), c2 AS (SELECT riding_id, max(party_id) AS p FROM em GROUP BY riding_id) SELECT a.riding_id, COALESCE(c1.p, c2.p) AS party_id FROM a LEFT JOIN c1 ON c1.riding_id = a.riding_id LEFT JOIN c2 ON c2.riding_id = a.riding_id")
-def cascade(s, d):
-    m = members(s, d)
-    one = m.filter("end_date is null").groupBy("riding_id").agg(F.min("party_id").alias("p1"))
-    two = m.groupBy("riding_id").agg(F.max("party_id").alias("p2"))
-    return two.join(one, "riding_id", "left").select("riding_id", F.coalesce("p1", "p2").alias("party_id"))
-
-
 @query("flt_p14_in_subquery", BASE + "SELECT id FROM mv WHERE votequestion_id IN (SELECT id FROM vq WHERE result = 'N') AND vote IN ('Y', 'P')")
 def in_subquery(s, d):
     lost = questions(s, d).filter("result = 'N'").select(F.col("id").alias("votequestion_id"))
     return ballots(s, d).filter(F.col("vote").isin("Y", "P")).join(lost, "votequestion_id", "left_semi").select("id")
 
 
-@query("flt_p23_search_doc", BASE + "SELECT 'statement.' || CAST(id AS VARCHAR) AS id, NULLIF(h1_en, '') AS topic, NULLIF(who_context_en, '') AS context, strftime(time, '%Y-%m-%dT%H:%M:%SZ') AS at FROM st")
-def search_doc(s, d):
-    st = statements(s, d, "h1_en", "who_context_en", "time")
-    none = lambda c: F.nullif(F.col(c), F.lit(""))
-    return st.select(F.concat(F.lit("statement."), F.col("id").cast("string")).alias("id"), none("h1_en").alias("topic"), none("who_context_en").alias("context"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
-
-
 @query("flt_p25_admin_search", BASE + "SELECT id FROM pol WHERE lower(name) LIKE '%bar%' OR lower(slug) LIKE '%bar%'")
 def admin_search(s, d):
     return people(s, d).filter(F.lower("name").contains("bar") | F.lower("slug").contains("bar")).select("id")
@@ -101,13 +86,6 @@ def merge_duplicates(s, d):
     return ballots(s, d).join(keep, "politician_id").select("id", F.col("kept").alias("politician_id"))
 
 
-@query("j26_stored_or_computed", BASE + ", c AS (SELECT votequestion_id, count(*) AS n FROM mv GROUP BY votequestion_id) SELECT vq.id, COALESCE(NULLIF(vq.description_fr, ''), vq.description_en) AS description, COALESCE(c.n, 0) AS n FROM vq LEFT JOIN c ON c.votequestion_id = vq.id")
-def stored(s, d):
-    n = ballots(s, d).groupBy(F.col("votequestion_id").alias("id")).agg(F.count("*").alias("n"))
-    q = questions(s, d).join(n, "id", "left")
-    return q.select("id", F.coalesce(F.nullif(F.col("description_fr"), F.lit("")), "description_en").alias("description"), F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @query("a4_exists", BASE + "SELECT session_id, count(*) > 0 AS has_votes, sum(CASE WHEN bill_id IS NULL THEN 1 ELSE 0 END) > 0 AS has_motions FROM vq GROUP BY session_id")
 def exists(s, d):
     return questions(s, d).groupBy("session_id").agg((F.count("*") > 0).alias("has_votes"), (F.count_if(F.col("bill_id").isNull()) > 0).alias("has_motions"))

@@ -32,8 +32,8 @@ def test_tables(spark):
     c = spark.createDataFrame([(1, '<a data-HoCid="5">A</a> <a data-HoCid="6">B</a>'), (2, None)], "id int, c string")
     out = {r.id: r.c for r in mk.linked(c, "id", "c", spark.createDataFrame([(5, "/p/5")], "hocid long, url string")).collect()}
     assert out[1] == '<a data-HoCid="5" href="/p/5">A</a> <a data-HoCid="6">B</a>' and out[2] is None
-    m = spark.createDataFrame([(1, "b", True), (1, "a", True), (1, "z", False), (2, "q", False)], "m int, n string, s boolean")
-    assert {r.m: r.summary for r in mk.meeting_summary(m, "m", "n", "s").collect()} == {1: "a and b", 2: "q"}
+    m = spark.createDataFrame([(1, "b", True, 1), (1, "a", True, 2), (1, "z", False, 0), (2, "q", False, 1)], "m int, n string, s boolean, o int")
+    assert {r.m: r.summary for r in mk.meeting_summary(m, "m", "n", "s", "o").collect()} == {1: "b and a", 2: "q"}
     u = mk.unique_slugs(spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "i int, b string"), "b", F.col("i"))
     assert sorted(r.slug for r in u.collect()) == ["x", "x-2", "y"]
 
