@@ -407,3 +407,13 @@ def role_url(member: Column) -> Column:
 def above(url: Column) -> Column:
     """An address without its last part: a statement's document."""
     return F.regexp_replace(url, "[^/]+/$", "")
+
+
+def marked(c: Column, term: str, on: str = "~hl~", off: str = "~/hl~") -> Column:
+    """Whole words that begin with the term between the marks of a search engine."""
+    return F.regexp_replace(c, rf"(?i)\b({re.escape(term)}\w*)", f"{on}$1{off}")
+
+
+def autohighlight(c: Column, plain: bool = True) -> Column:
+    """A marked snippet as HTML (F19): everything else is escaped where the text is plain, the marks become emphasis."""
+    return F.regexp_replace(escaped(c) if plain else c, "~(/?)hl~", "<$1em>")

@@ -75,3 +75,14 @@ def ordinals(df: DataFrame, keys: list[str], order: list[str], out: str, chunk:
         on = hit if on is None else on & hit
     placed = df.withColumn("_in", F.row_number().over(inner)).join(renamed, on)
     return placed.withColumn(out, F.col("_before") + F.col("_in")).select(*df.columns, out)
+
+
+def fill_all(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: str) -> DataFrame:
+    """`fill_forward` of several columns at once, value -> out (W13): one scan of the rows and one of the chunks' last values."""
+    inner = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.struct(*_cols(order))
+    ends = df.groupBy(*keys, chunk).agg(*[F.max(F.when(F.col(v).isNotNull(), F.struct(rank.alias("r"), F.col(v).alias("v"))))["v"].alias(f"_e_{v}") for v in values])
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, chunk, *[F.last(f"_e_{v}", ignorenulls=True).over(before).alias(f"_c_{v}") for v in values])
+    got = df.withColumns({f"_o_{v}": F.last(v, ignorenulls=True).over(inner) for v in values}).join(carried, [*keys, chunk], "left")
+    return got.withColumns({out: F.coalesce(f"_o_{v}", f"_c_{v}") for v, out in values.items()}).drop(*[f"_{k}_{v}" for v in values for k in "oc"])

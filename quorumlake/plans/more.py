@@ -47,13 +47,6 @@ def analysed(s, d):
     return statements(s, d, "politician_id", "procedural", "time").filter(~F.col("procedural") & (F.col("time") >= since)).join(now, "politician_id", "left_semi").select("id")
 
 
-@query("flt_p28_home", BASE + "SELECT * FROM (SELECT 'vote' AS kind, id FROM vq ORDER BY date DESC, id DESC LIMIT 6) a UNION ALL SELECT * FROM (SELECT 'document' AS kind, doc_id AS id FROM documents WHERE published_on IS NOT NULL ORDER BY published_on DESC, doc_id DESC LIMIT 1) b")
-def home(s, d):
-    v = questions(s, d).orderBy(F.desc("date"), F.desc("id")).limit(6).select(F.lit("vote").alias("kind"), "id")
-    doc = table(s, d, "documents").filter("published_on is not null").orderBy(F.desc("published_on"), F.desc("doc_id")).limit(1)
-    return v.unionByName(doc.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id")))
-
-
 @query("j4_bridge", BASE + ", br AS (SELECT DISTINCT politician_id, riding_id FROM em) SELECT st.id, br.riding_id FROM st JOIN br ON br.politician_id = st.politician_id")
 def bridge(s, d):
     br = members(s, d).select("politician_id", "riding_id").distinct()
@@ -118,15 +111,6 @@ def complete(s, d):
     return p.groupBy("document_id").agg(F.round(F.avg(F.col("p.pid").isNotNull().cast("double")), 9).alias("share"))
 
 
-@query("w13_carry_forward", SAID + ", g AS (SELECT id, document_id, sequence, NULLIF(who_context_en, '') AS c FROM sd), h AS (SELECT *, count(c) OVER (PARTITION BY document_id ORDER BY sequence) AS grp FROM g) SELECT id, max(c) OVER (PARTITION BY document_id, grp) AS context FROM h")
-def carry(s, d):
-    """The last context that was given, carried to the statements after it."""
-    from quorumlake.operators.runs import fill_forward
-
-    st = _said(s, d, "who_context_en").withColumn("c", F.nullif(F.col("who_context_en"), F.lit(""))).withColumn("chunk", F.floor(F.col("sequence") / 50))
-    return fill_forward(st, ["document_id"], ["sequence"], "c", "context", "chunk").select("id", "context")
-
-
 @query("t1_sorted", BASE + "SELECT id, politician_id, start_date, row_number() OVER (PARTITION BY politician_id ORDER BY end_date DESC NULLS FIRST, start_date DESC, id) AS n FROM em")
 def sorted_(s, d):
     return ranking.numbered(members(s, d), ["politician_id"], "n", F.desc_nulls_first("end_date"), F.desc("start_date"), F.col("id")).select("id", "politician_id", "start_date", "n")
@@ -142,12 +126,6 @@ def disjoint(s, d):
     return people(s, d).select("slug").join(table(s, d, "party").select("slug"), "slug", "left_semi").agg((F.count("*") == 0).alias("disjoint"))
 
 
-@query("f19_q9_highlight", r"SELECT doc_id, regexp_replace(text, '(?i)\b(petition\w*)', '<em>\1</em>', 'g') AS marked FROM documents WHERE lower(text) LIKE '%petition%' AND lower(substr(trim(lang), 1, 2)) = 'en'")
-def highlight(s, d):
-    docs = _english(s, d).filter(F.lower("text").contains("petition"))
-    return docs.select("doc_id", tx.highlight(F.col("text"), "petition").alias("marked"))
-
-
 @query("f30_letters_only", BASE + "SELECT id, regexp_replace(lower(who_en), '[^a-z]', '', 'g') AS letters FROM st")
 def letters(s, d):
     return statements(s, d, "who_en").select("id", F.regexp_replace(F.lower("who_en"), "[^a-z]", "").alias("letters"))
@@ -180,12 +158,6 @@ def exploded(s, d):
     return table(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
 
 
-@query("k9_feed", BASE + "SELECT politician_id, id FROM (SELECT *, row_number() OVER (PARTITION BY politician_id ORDER BY time DESC, id DESC) AS rn FROM st WHERE politician_id IS NOT NULL AND NOT procedural) WHERE rn <= 12")
-def feed(s, d):
-    st = statements(s, d, "politician_id", "procedural", "time").filter("politician_id is not null and not procedural")
-    return ranking.top_n(st, ["politician_id"], 12, F.desc("time"), F.desc("id")).select("politician_id", "id")
-
-
 @query("g6_fan_out", "SELECT s.user_id, count(*) AS messages FROM events e JOIN (SELECT DISTINCT user_id, event_type FROM events) s ON s.event_type = e.event_type GROUP BY s.user_id")
 def fan_out(s, d):
     """Messages that each user gets: every event goes to all who have an event of its type, and is counted per user, since

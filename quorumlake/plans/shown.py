@@ -118,4 +118,52 @@ def committee_slugs(s, d):
     return mk.new_slugs(p, "slug", p.filter("id % 2 = 0")).select("id", "slug", "refused")
 
 
+@query("f19_q9_highlight", r"SELECT doc_id, replace(replace(replace(replace(replace(regexp_replace(text, '(?i)\b(petition\w*)', '~hl~\1~/hl~', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '~hl~', '<em>'), '~/hl~', '</em>') AS marked FROM documents WHERE lower(text) LIKE '%petition%'")
+def highlight(s, d):
+    docs = table(s, d, "documents").filter(F.lower("text").contains("petition"))
+    return docs.select("doc_id", tx.autohighlight(tx.marked(F.col("text"), "petition")).alias("marked"))
+
+
+@query("w13_carry_forward", SAID + """, g AS (SELECT id, document_id, sequence, NULLIF(who_context_en, '') AS c, CASE WHEN sequence % 7 = 0 THEN h2_en END AS h, CASE WHEN wordcount > 60 THEN wordcount END AS w FROM sd),
+    k AS (SELECT *, count(c) OVER o AS gc, count(h) OVER o AS gh, count(w) OVER o AS gw FROM g WINDOW o AS (PARTITION BY document_id ORDER BY sequence))
+    SELECT id, max(c) OVER (PARTITION BY document_id, gc) AS context, max(h) OVER (PARTITION BY document_id, gh) AS heading, max(w) OVER (PARTITION BY document_id, gw) AS words FROM k""")
+def carry(s, d):
+    """Three kinds of state carried to the statements after: the last context, a heading given now and then, the last long count."""
+    from quorumlake.operators.runs import fill_all
+
+    st = _said(s, d, "who_context_en", "h2_en", "wordcount").withColumns({"c": F.nullif("who_context_en", F.lit("")), "h": F.when(F.col("sequence") % 7 == 0, F.col("h2_en")), "w": F.when(F.col("wordcount") > 60, F.col("wordcount"))})
+    got = fill_all(st.withColumn("chunk", F.floor(F.col("sequence") / 50)), ["document_id"], ["sequence"], {"c": "context", "h": "heading", "w": "words"}, "chunk")
+    return got.select("id", "context", "heading", "words")
+
+
+@query("k9_feeds", BASE + """, a AS (SELECT 'person' AS feed, CAST(politician_id AS VARCHAR) AS o, id AS item, time AS at, row_number() OVER (PARTITION BY politician_id ORDER BY time DESC NULLS LAST, id DESC) AS rn, 12 AS top FROM st WHERE politician_id IS NOT NULL AND NOT procedural
+      UNION ALL SELECT 'bill', CAST(bill_id AS VARCHAR), id, CAST(date AS TIMESTAMP), row_number() OVER (PARTITION BY bill_id ORDER BY date DESC NULLS LAST, id DESC), 3 FROM vq WHERE bill_id IS NOT NULL
+      UNION ALL SELECT 'votes', session_id, id, CAST(date AS TIMESTAMP), row_number() OVER (PARTITION BY session_id ORDER BY date DESC NULLS LAST, id DESC), 10 FROM vq)
+    SELECT feed, o AS owner, item, at FROM a WHERE rn <= top""")
+def feeds(s, d):
+    """The newest statements of every person, votes on every bill, votes of every session, each with its number of items."""
+    from quorumlake.operators import ranking
+
+    st = statements(s, d, "politician_id", "procedural", "time").filter("politician_id is not null and not procedural")
+    q = questions(s, d)
+    at = F.col("date").cast("timestamp_ntz")
+    of = lambda df, feed, key, time, n: ranking.top_n(df.select(F.lit(feed).alias("feed"), F.col(key).cast("string").alias("owner"), F.col("id").alias("item"), time.alias("at")), ["owner"], n, F.desc_nulls_last("at"), F.desc("item"))
+    return of(st, "person", "politician_id", F.col("time"), 12).unionByName(of(q.filter("bill_id is not null"), "bill", "bill_id", at, 3)).unionByName(of(q, "votes", "session_id", at, 10))
+
+
+@query("flt_p28_home", MORE + """SELECT * FROM (SELECT 'debate' AS kind, CAST(id AS VARCHAR) AS key, date AS day FROM deb ORDER BY date DESC, id DESC LIMIT 1) a UNION ALL SELECT * FROM (SELECT 'bill', number, status_date FROM bill ORDER BY status_date DESC, number LIMIT 6) b
+    UNION ALL SELECT * FROM (SELECT 'vote', CAST(id AS VARCHAR), date FROM vq WHERE session_id = (SELECT max(session_id) FROM vq) ORDER BY date DESC, number DESC, id LIMIT 6) c""")
+def home(s, d):
+    """The latest sitting, the bills debated last, the votes of the current session."""
+    from quorumlake.plans.lists import debates
+
+    of = lambda df, kind, key, day: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(day).alias("day"))
+    q = questions(s, d)
+    current = q.agg(F.max("session_id").alias("session_id"))
+    now = q.join(F.broadcast(current), "session_id", "left_semi").orderBy(F.desc("date"), F.desc("number"), "id").limit(6)  # one row
+    latest = debates(s, d).orderBy(F.desc("date"), F.desc("id")).limit(1)
+    recent = bills(s, d).orderBy(F.desc("status_date"), "number").limit(6)
+    return of(latest, "debate", "id", "date").unionByName(of(recent, "bill", "number", "status_date")).unionByName(of(now, "vote", "id", "date"))
+
+
 QUERIES, ORACLE = REGISTRY.queries, REGISTRY.sql
