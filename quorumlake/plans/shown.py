@@ -136,10 +136,10 @@ def carry(s, d):
     return got.select("id", "context", "heading", "words")
 
 
-@query("k9_feeds", BASE + """, a AS (SELECT 'person' AS feed, CAST(politician_id AS VARCHAR) AS o, id AS item, time AS at, row_number() OVER (PARTITION BY politician_id ORDER BY time DESC NULLS LAST, id DESC) AS rn, 12 AS top FROM st WHERE politician_id IS NOT NULL AND NOT procedural
+@query("k9_feeds", BASE + """, a AS (SELECT 'person' AS feed, CAST(politician_id AS VARCHAR) AS o, id AS item, time AS at, row_number() OVER (PARTITION BY politician_id ORDER BY time DESC NULLS LAST, id DESC) AS rn, 12 AS most FROM st WHERE politician_id IS NOT NULL AND NOT procedural
       UNION ALL SELECT 'bill', CAST(bill_id AS VARCHAR), id, CAST(date AS TIMESTAMP), row_number() OVER (PARTITION BY bill_id ORDER BY date DESC NULLS LAST, id DESC), 3 FROM vq WHERE bill_id IS NOT NULL
       UNION ALL SELECT 'votes', session_id, id, CAST(date AS TIMESTAMP), row_number() OVER (PARTITION BY session_id ORDER BY date DESC NULLS LAST, id DESC), 10 FROM vq)
-    SELECT feed, o AS owner, item, at FROM a WHERE rn <= top""")
+    SELECT feed, o AS owner, item, a."at" FROM a WHERE rn <= most""")
 def feeds(s, d):
     """The newest statements of every person, votes on every bill, votes of every session, each with its number of items."""
     from quorumlake.operators import ranking
