@@ -4,7 +4,7 @@ A record of an entity's attribute is *known* on a day when both its start and th
 the known records the one with the latest start holds; of equal ones the one recorded last (then the greatest id).
 `holding_periods` turns the log into disjoint half-open day intervals, one per record that ever holds. An interval is cut
 into its maximal dyadic nodes (level, day >> level), at most two per level; an event looks up the nodes that enclose its
-day, one per level that occurs. So a range condition becomes an equi-join whose keys spread even a single hot entity
+day, one per level. So a range condition becomes an equi-join whose keys spread even a single hot entity
 over many partitions, and no pair of an event with a record that doesn't hold is ever made.
 """
 
