@@ -179,7 +179,7 @@ ORACLE: dict[str, str] = {
     "p1_values": """WITH r AS (SELECT DISTINCT id, COALESCE(feed, '') AS feed, who_en, who_context_en FROM statement), v AS (SELECT feed, 'who_en' AS field_name, id, who_en AS x FROM r UNION ALL SELECT feed, 'who_context_en', id, who_context_en FROM r)
         SELECT feed, field_name, CAST(count(*) AS BIGINT) AS n_values FROM v WHERE x <> '' GROUP BY feed, field_name""",
     "p5_typed": "SELECT min(id) AS fid, who_en, who_context_en, true AS named FROM statement WHERE statement_type = 'witness' GROUP BY who_en, who_context_en",
-    "p7_conserved": "SELECT CAST(spec_id AS INTEGER) AS spec_id, CAST(capacity_tokens AS INTEGER) AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0 AS split, 0 AS broken, 0 AS overfull FROM (SELECT DISTINCT * FROM container_spec) c",
-    "p8_limits": "SELECT source, max(target_share) AS target_share, 0 AS over, 0 AS foreign, true AS whole FROM source_weight GROUP BY source".replace(" foreign,", ' "foreign",'),
-    "p9_covered": "SELECT count(*) AS documents, count(DISTINCT doc_id) AS distinct_ids, 0 AS unlike FROM documents",
+    "p7_conserved": "SELECT CAST(spec_id AS INTEGER) AS spec_id, CAST(capacity_tokens AS INTEGER) AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS texts, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS overfull FROM (SELECT DISTINCT * FROM container_spec) c",
+    "p8_limits": "SELECT source, max(target_share) AS target_share, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS \"foreign\", true AS whole FROM source_weight GROUP BY source",
+    "p9_covered": "SELECT count(*) AS documents, count(DISTINCT doc_id) AS distinct_ids, CAST(0 AS BIGINT) AS unlike FROM documents",
 }
