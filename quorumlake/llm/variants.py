@@ -1,11 +1,11 @@
 """Variant spellings of persons and organisations, linked (problem 5).
 
-Typed forms become character 3-gram vectors, TF-IDF weighted, in three fields (family name, given name, organisation). An
-exact sparse similarity join finds all pairs of forms with a cosine of at least `THRESHOLD`: grams are ordered from rare to
-frequent, a form is indexed under its prefix only, the shortest that leaves a rest of a norm below the threshold, and the
-rarest gram two similar forms share lies in both prefixes. So there is no cap on partners, and the frequent grams, which
-would pair everything, are never joined on. A check of the parts of the names follows, since people of one family name or
-organisation are as similar as spellings of one person. Components of the links are then grouped by average linkage.
+Typed forms become character 3-gram vectors, TF-IDF weighted, in three fields (family name, given name, organisation). Linked
+are all pairs of forms with a cosine of at least `THRESHOLD` whose parts of the names pass a check, since people of one family
+name or organisation are as similar as spellings of one person. Every gram is borne by a part of all forms, so pairs that share
+grams grow with the square of the input, even with the rarest ones only. The join is therefore made on what the check asks of
+any pair: like family names, or organisations of which each has a word like one of the other. It is exact, there is no cap on
+partners, and the cosine is taken for what passes. Components of the links are then grouped by average linkage.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from quorumlake.session import written
 #: Least cosine of a candidate pair; weight of each field's unit vector; least average similarity within a group.
 THRESHOLD, FIELD_WEIGHT, LINKAGE = 0.45, {"f": 0.8, "g": 0.3, "o": 0.52, "x": 1.0}, 0.25
 
-#: Forms per part of a gram in the join.
+#: Forms per part of a family name in the join.
 SPLIT = 1000
 
 
@@ -236,6 +236,26 @@ def _begins_sql(x: str, y: str) -> str:
     return f"levenshtein(left({x}, {m}), left({y}, {m}), 4) >= 0"
 
 
+def _bare(x: str) -> str:
+    return f"replace({x}, ' ', '')"
+
+
+def _alike_sql(x: str, y: str) -> str:
+    """What `_alike` says, or little more: where the plain edits are too many, neighbours were swapped, so the letters are
+    the same but for what the other edit allows."""
+    m = f"least(length({x}), length({y}))"
+    letters = lambda z: f"array_join(array_sort(split({z}, '')), '')"
+    return f"""(case when {m} >= 7 then levenshtein({x}, {y}, 4) >= 0 and (levenshtein({x}, {y}, 2) >= 0 or levenshtein({letters(x)}, {letters(y)}, 2) >= 0)
+      when {m} >= 4 then levenshtein({x}, {y}, 2) >= 0 and (levenshtein({x}, {y}, 1) >= 0 or {letters(x)} = {letters(y)}) else {x} = {y} end)"""
+
+
+def _cut_sql(x: str, y: str, least: int) -> str:
+    """What `_cut` says, as `_alike_sql`."""
+    m = f"least(length({x}), length({y}))"
+    a, b = f"left({x}, {m})", f"left({y}, {m})"
+    return f"({m} >= {least} and ({a} = {b} or {m} >= 6 and {_alike_sql(a, b)}))"
+
+
 #: Two given names are taken for one name if they stand in at least so many pairs of family and organisation, and that is at
 #: least such a part of the pairs in which the rarer of them stands beside another name.
 NICK_MIN, NICK_SHARE = 2, 0.5
@@ -263,19 +283,105 @@ _FA, _FB = "replace(family_a, ' ', '')", "replace(family_b, ' ', '')"
 _LONG, _SHORT = "if(length(given_a) > length(given_b), given_a, given_b)", "if(length(given_a) > length(given_b), given_b, given_a)"
 #: What `short_form` says.
 _PART = f"length(given_a) <> length(given_b) and length({_SHORT}) > 2 and exists(sequence(1, 3), i -> i <= greatest(3, length({_SHORT})) - greatest(3, length({_SHORT}) - 2) + 1 and contains({_LONG}, substr({_SHORT}, i, greatest(3, length({_SHORT}) - 2))))"
-#: What `same_witness` implies, in SQL.
+#: What `same_witness` implies, in SQL: of given names, of all parts.
+_GIVEN = f"""(nick or given_a = '' or given_b = '' or least(length(given_a), length(given_b)) = 1 and left(given_a, 1) = left(given_b, 1) or {_near_sql("given_a", "given_b")}
+    or {_PART})"""
 _MUST = f"""org_a = org_b and case when org_a then
   (kind_a = '' or kind_b = '' or kind_a = kind_b)
   and exists(split(words_a, ' '), x -> exists(split(words_b, ' '), y -> x = y or length(x) > 5 and length(y) > 5 and {_begins_sql("x", "y")}))
 else
-  (nick or given_a = '' or given_b = '' or least(length(given_a), length(given_b)) = 1 and left(given_a, 1) = left(given_b, 1) or {_near_sql("given_a", "given_b")}
-    or {_PART})
+  {_GIVEN}
   and ({_near_sql(_FA, _FB)} or {_begins_sql("family_a", "family_b")} or arrays_overlap(split(family_a, ' '), split(family_b, ' ')))
 end"""
 
 _PARTS = "fid long, org boolean, given string, middle string, family string, words array<string>, kind string"
 
 
+#: Letters of a word by which it is looked up among words like it.
+HEAD = 7
+
+
+def head_keys(head: str) -> set[str]:
+    """`head` (at most HEAD letters) without up to two of its letters, one if it is shorter than HEAD, none below four.
+
+    Words that are `_alike`, and a word and the beginning that is `_alike` it, share one of them: of the letters that two
+    words have in common in order those within both heads are left, and neither head loses more than the edits allow."""
+    out, last = {head}, {head}
+    for _ in range(2 if len(head) >= HEAD else 1 if len(head) > 3 else 0):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
+
+
+def _like(words: DataFrame, least: int) -> DataFrame:
+    """x, y: all pairs of words, in both orders and each with itself, that `_alike` (read without blanks) or `_cut` (from
+    `least` letters on) may accept. Heads are compared first, so the work follows the number of words like a word."""
+
+    def keys(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            # A short word is looked up whole among the beginnings of others.
+            got = [(h, f"-{k}", True, True) for h in pdf["h"] for k in head_keys(h)]
+            got += [(h, f"+{h[:i]}", True, i == len(h)) for h in pdf["h"] for i in range(least, min(len(h), HEAD - 1) + 1)]
+            yield pd.DataFrame(got, columns=["h", "k", "l", "s"])
+
+    heads = F.expr(f"array_distinct(array(left(w, {HEAD}), left({_bare('w')}, {HEAD})))")
+    of = written(words.select("w", F.explode(heads).alias("h")), "p5-heads")
+    keyed = of.select("h").distinct().mapInPandas(keys, "h string, k string, l boolean, s boolean")
+    pairs = keyed.filter("l").select("k", F.col("h").alias("hx")).join(keyed.filter("s").select("k", F.col("h").alias("hy")), "k").select("hx", "hy")
+    pairs = pairs.unionByName(pairs.select(F.col("hy").alias("hx"), F.col("hx").alias("hy"))).distinct()
+    got = of.select(F.col("w").alias("x"), F.col("h").alias("hx")).join(pairs, "hx").join(of.select(F.col("w").alias("y"), F.col("h").alias("hy")), "hy")
+    return got.filter(F.expr(f"{_alike_sql(_bare('x'), _bare('y'))} or {_cut_sql('x', 'y', least)}")).select("x", "y").distinct()
+
+
+def _nicked(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """`pairs` (given_a, given_b) with `nick`: few pairs of names are used for one person; names that differ are looked up."""
+    differ = F.col("given_a") != F.col("given_b")
+    both = pairs.withColumn("x", F.when(differ, F.least("given_a", "given_b"))).withColumn("y", F.when(differ, F.greatest("given_a", "given_b")))
+    return both.join(known, ["x", "y"], "left").withColumn("nick", F.coalesce("nick", F.lit(False))).drop("x", "y")
+
+
+def _people(told: DataFrame, known: DataFrame) -> DataFrame:
+    """a < b: people whose family names may be one, and whose given names may be."""
+    forms = told.filter("not org and family <> ''").select("fid", "given", "family")
+    sizes = written(forms.groupBy("family").agg(F.count("*").alias("n")), "p5-families")
+    # One family name is the other's beginning or like it, or a double name holds the single one.
+    words = sizes.select("family", F.array_remove(F.split("family", " "), "").alias("p")).select("family", F.size("p").alias("n"), F.explode(F.array_distinct("p")).alias("p"))
+    one = lambda s: words.select("p", F.col("family").alias(s), F.col("n").alias(f"n_{s}"))
+    held = one("x").join(one("y"), "p").filter("n_x <> n_y").select("x", "y")
+    like = _like(sizes.select(F.col("family").alias("w")), 3).unionByName(held).distinct()
+    like = written(like.join(sizes.select(F.col("family").alias("y"), (1 + F.floor(F.col("n") / SPLIT)).cast("int").alias("parts")), "y"), "p5-like-families")
+    # A family name of many forms is no single key: one side is dealt into parts, the other goes to all of them.
+    a = forms.select(F.col("fid").alias("a"), F.col("given").alias("given_a"), F.col("family").alias("x"))
+    a = a.join(like, "x").select("a", "given_a", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    b = forms.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("fid"), 1 + F.floor(F.col("n") / SPLIT)).cast("int"))
+    b = b.select(F.col("fid").alias("b"), F.col("given").alias("given_b"), F.col("family").alias("y"), "part")
+    both = a.join(b, ["y", "part"]).filter("a < b").select("a", "b", "given_a", "given_b")
+    return _nicked(both, known).filter(F.expr(_GIVEN)).select("a", "b")
+
+
+def _organisations(told: DataFrame) -> DataFrame:
+    """a < b: organisations of kinds that agree, one of which has no word, but directions and beginnings of kinds, that may
+    not be one of the other. So one word is looked up for each, that which begins the fewest words."""
+    forms = told.filter("org").select("fid", "kind", F.explode(F.array_distinct("words")).alias("w")).filter("w <> ''")
+    sizes = written(forms.groupBy("w").agg(F.count("*").alias("n")), "p5-organisation-words")
+    begun = sizes.select(F.explode(F.expr("transform(sequence(1, length(w)), i -> left(w, i))")).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+    known = list(N.DIRECTIONS)
+
+    def kinds(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            yield pd.DataFrame({"w": pdf["w"], "loose": [any(_cut(w, k, 2) for k in N.KINDS) for w in pdf["w"]]})
+
+    words = sizes.select("w").filter(~F.col("w").isin(known)).mapInPandas(kinds, "w string, loose boolean").join(begun, "w")
+    own = forms.join(words, "w")
+    # Where all words may be the beginning of a kind, each is looked up.
+    first = own.groupBy("fid", "kind").agg(F.min(F.when(~F.col("loose"), F.struct("n", "w"))).alias("m"), F.collect_set("w").alias("all"))
+    first = first.select(F.col("fid").alias("i"), F.col("kind").alias("ki"), F.explode(F.when(F.col("m").isNull(), F.col("all")).otherwise(F.array("m.w"))).alias("x"))
+    like = _like(sizes.select("w"), 2)
+    both = first.join(like, "x").join(forms.select(F.col("fid").alias("j"), F.col("kind").alias("kj"), F.col("w").alias("y")), "y")
+    both = both.filter("i <> j and (ki = '' or kj = '' or ki = kj)")
+    return both.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
 def _similar(forms: DataFrame) -> DataFrame:
     """a, b (fid, a < b) and cosine of the pairs of forms that can stand for one witness."""
 
@@ -287,51 +393,12 @@ def _similar(forms: DataFrame) -> DataFrame:
             yield out
 
     told = written(forms.mapInPandas(cut, _PARTS + ", grams array<string>"), "p5-parts")
-    grams = told.select("fid", F.explode("grams").alias("g")).groupBy("fid", "g").agg(F.count("*").alias("tf"))
-    df = grams.groupBy("g").agg(F.count("*").alias("df"))
-    n = told.count()
-    weighed = grams.join(df, "g").withColumn("w", F.col("tf") * F.log(1 + F.lit(float(n)) / F.col("df")))
-    vectors = weighed.groupBy("fid").agg(F.collect_list(F.struct("df", "g", "w")).alias("v"))  # the grams of one form
-    weight, limit = dict(FIELD_WEIGHT), THRESHOLD
-
-    def prefix(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            out = []
-            for fid, v in zip(pdf["fid"], pdf["v"]):
-                cells = sorted((int(x["df"]), x["g"], float(x["w"])) for x in v)
-                norm: dict[str, float] = {}
-                for _, g, w in cells:
-                    norm[g[0]] = norm.get(g[0], 0.0) + w * w
-                total = math.sqrt(sum(weight[f] ** 2 for f in norm))
-                w = np.array([w / math.sqrt(norm[g[0]]) * weight[g[0]] / total for _, g, w in cells])
-                rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])
-                keep = int((rest >= limit - 1e-9).sum())
-                out.append((fid, [g for _, g, _ in cells], w.tolist(), rest[:keep].tolist(), [1 + d // SPLIT for d, _, _ in cells[:keep]]))
-            yield pd.DataFrame(out, columns=["fid", "g", "w", "rest", "parts"])
-
-    sparse = written(vectors.mapInPandas(prefix, "fid long, g array<string>, w array<double>, rest array<double>, parts array<int>"), "p5-vectors")
-    # From the rarest shared gram on, the cosine is at most the product of the norms that are left there.
-    index = sparse.select("fid", F.explode(F.arrays_zip(F.slice("g", F.lit(1), F.size("rest")).alias("g"), "rest", "parts")).alias("i"))
-    index = index.select("fid", "i.g", "i.rest", "i.parts")
-    # A gram of many forms is no single key: one side is dealt into parts, the other goes to all of them.
-    dealt = F.pmod(F.xxhash64("fid"), F.col("parts")).cast("int")
-    pairs = (
-        index.select(F.col("fid").alias("a"), "g", dealt.alias("part"), F.col("rest").alias("ra"))
-        .join(index.select(F.col("fid").alias("b"), "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rest").alias("rb")), ["g", "part"])
-        .filter((F.col("a") < F.col("b")) & (F.col("ra") * F.col("rb") >= limit - 1e-9))
-        .select("a", "b")
-        .distinct()
-    )
-    # The names are compared first: they are short, and few candidates pass. What any pair of one witness must fulfil is
-    # asked in SQL, the rest of the check in Python. Only then do the vectors travel.
+    known = written(nicknames(told), "p5-nicknames").withColumn("nick", F.lit(True))
+    # What any pair of one witness must fulfil is asked in SQL, the rest of the check in Python.
     flat = told.select("fid", "org", "given", "middle", "family", F.array_join("words", " ").alias("words"), "kind")
     side = lambda s: flat.select(F.col("fid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in flat.columns if c != "fid"])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # Few pairs of names are used for one person; names that differ are looked up among them.
-    known = written(nicknames(told), "p5-nicknames").withColumn("nick", F.lit(True))
-    differ = F.col("given_a") != F.col("given_b")
-    both = both.withColumn("x", F.when(differ, F.least("given_a", "given_b"))).withColumn("y", F.when(differ, F.greatest("given_a", "given_b")))
-    near = both.join(known, ["x", "y"], "left").withColumn("nick", F.coalesce("nick", F.lit(False))).filter(F.expr(_MUST))
+    pairs = written(_people(told, known).unionByName(_organisations(told)), "p5-candidates")
+    near = _nicked(pairs.join(side("a"), "a").join(side("b"), "b"), known).filter(F.expr(_MUST))
 
     def plausible(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def form(pdf: pd.DataFrame, s: str) -> list[dict]:
@@ -347,6 +414,30 @@ def _similar(forms: DataFrame) -> DataFrame:
 
     close = near.mapInPandas(plausible, "a long, b long")
     close = written(close, "p5-close")
+    grams = told.select("fid", F.explode("grams").alias("g")).groupBy("fid", "g").agg(F.count("*").alias("tf"))
+    df = grams.groupBy("g").agg(F.count("*").alias("df"))
+    n = told.count()
+    weighed = grams.join(df, "g").withColumn("w", F.col("tf") * F.log(1 + F.lit(float(n)) / F.col("df")))
+    # Only forms with a partner are compared; what is common is counted over all.
+    ends = close.select(F.explode(F.array("a", "b")).alias("fid")).distinct()
+    weighed = weighed.join(ends, "fid", "left_semi")
+    vectors = weighed.groupBy("fid").agg(F.collect_list(F.struct("df", "g", "w")).alias("v"))  # the grams of one form
+    weight, limit = dict(FIELD_WEIGHT), THRESHOLD
+
+    def scaled(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            out = []
+            for fid, v in zip(pdf["fid"], pdf["v"]):
+                cells = sorted((int(x["df"]), x["g"], float(x["w"])) for x in v)
+                norm: dict[str, float] = {}
+                for _, g, w in cells:
+                    norm[g[0]] = norm.get(g[0], 0.0) + w * w
+                total = math.sqrt(sum(weight[f] ** 2 for f in norm))
+                w = np.array([w / math.sqrt(norm[g[0]]) * weight[g[0]] / total for _, g, w in cells])
+                out.append((fid, [g for _, g, _ in cells], w.tolist()))
+            yield pd.DataFrame(out, columns=["fid", "g", "w"])
+
+    sparse = written(vectors.mapInPandas(scaled, "fid long, g array<string>, w array<double>"), "p5-vectors")
     vector = sparse.select("fid", F.map_from_arrays("g", "w").alias("v"))
     full = close.join(vector.select(F.col("fid").alias("a"), F.col("v").alias("_x")), "a").join(
         vector.select(F.col("fid").alias("b"), F.col("v").alias("_y")), "b"

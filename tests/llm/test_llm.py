@@ -293,6 +293,37 @@ def test_similarity_join_is_exact(spark, monkeypatch, split):
     assert got == want and len(want) > 5
 
 
+def test_candidates_are_whole_and_few(spark, monkeypatch):
+    """All pairs that pass the check are candidates, for names of shared syllables, mistyped, cut and doubled; the many pairs
+    that share grams aren't."""
+    monkeypatch.setattr(variants, "SPLIT", 3)
+    rng = random.Random(11)
+    parts = ["zor", "holt", "mask", "perr", "quil", "dess", "lund", "vik", "ost", "ferm"]
+    name = lambda k: "".join(rng.choice(parts) for _ in range(k)).capitalize()
+
+    def typed(w):
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            i = rng.randrange(len(w) - 1)
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "x" + w[i + 1 :], w[: max(3, i)]])
+        return w
+
+    forms = []
+    for _ in range(60):
+        given, family, org = rng.choice(["Eva", "Thomas", "Kwame", "Tom", "E."]), name(rng.choice([1, 2, 3])), f"Northern {name(3)} {rng.choice(['Dairy', 'Housing'])} Council"
+        family += f"-{name(2)}" if rng.random() < 0.3 else ""
+        for _ in range(3):
+            forms.append((f"{given} {typed(rng.choice([family, family.split('-')[0]]))}", rng.choice(["", org, typed(org)])))
+            forms.append((typed(org[9:-8]) + rng.choice([" Council", " Coun.", ""]), "") if rng.random() < 0.5 else (org[: rng.randint(14, len(org))], "Brief"))
+    forms = [(i, w, c) for i, (w, c) in enumerate(dict.fromkeys(forms))]
+    P = {i: variants.parts(w, c) for i, w, c in forms}
+    told = spark.createDataFrame([(i, p["org"], p["given"], p["middle"], p["family"], p["words"], p["kind"]) for i, p in P.items()], variants._PARTS)
+    known = spark.createDataFrame([], "x string, y string, nick boolean")
+    got = {(r.a, r.b) for r in variants._people(told, known).unionByName(variants._organisations(told)).collect()}
+    want = {(a, b) for a in P for b in P if a < b and variants.same_witness(P[a], P[b])}
+    shared = sum(bool(set(P[a]["grams"]) & set(P[b]["grams"])) for a in P for b in P if a < b)
+    assert want <= got and len(want) > 200 and sum(P[a]["org"] for a, _ in want) > 50 and len(got) < shared / 5
+
+
 def test_variants(spark):
     rows = [
         (1, "Dr. Zoé Vasondtho", "Director of Research, Central Quildrawist Dairy Federation"), (2, "VASONDTHO, Dr. Z.", "CENTRAL QUILDRAWIST DAIRY FEDERATION"),
