@@ -160,12 +160,13 @@ def exploded(s, d):
 
 @query("g6_fan_out", "SELECT s.user_id, count(*) AS messages FROM events e JOIN (SELECT DISTINCT user_id, event_type FROM events) s ON s.event_type = e.event_type GROUP BY s.user_id")
 def fan_out(s, d):
-    """Messages that each user gets: every event goes to all who have an event of its type, and is counted per user, since
-    the messages themselves grow with events x users. The tables have no column for a subscription that ended or bounces."""
+    """Messages that each user gets: every event goes to all who have an event of its type. They are counted, not made, since
+    messages grow with events x users: a topic is sent to its subscribers once, with the number of its events. The tables have
+    no column for a subscription that ended or bounces."""
     e = table(s, d, "events")
     subs = e.select(F.col("event_type").alias("topic"), F.col("user_id").alias("user"), F.lit(True).alias("active"), F.lit(False).alias("bouncing")).distinct()
-    sent = jobs.fan_out(e.select("event_id", F.col("event_type").alias("topic")), subs)
-    return sent.groupBy(F.col("user").alias("user_id")).agg(F.count("*").alias("messages"))
+    sent = jobs.fan_out(e.groupBy(F.col("event_type").alias("topic")).agg(F.count("*").alias("events")), subs)
+    return sent.groupBy(F.col("user").alias("user_id")).agg(F.sum("events").alias("messages"))
 
 
 

@@ -217,3 +217,16 @@ def test_fan_out_of_all_events(spark, tmp_path):
     sent = spark.createDataFrame([(1, "a"), (2, "b")], "event_id int, topic string")
     subs = spark.createDataFrame([("a", 1, True, False), ("a", 2, False, False), ("b", 3, True, True)], "topic string, user int, active boolean, bouncing boolean")
     assert [(r.event_id, r.user) for r in jobs.fan_out(sent, subs).collect()] == [(1, 1)]
+
+
+def test_fan_out_counts_without_making_messages(spark, tmp_path):
+    """A billion messages: 1 000 users with 1 000 events each of one type."""
+    spark.range(1_000_000).selectExpr("id as event_id", "id % 1000 as user_id", "'view' as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    joined = []
+    whole = jobs.fan_out
+    try:
+        jobs.fan_out = lambda sent, subs: joined.append(whole(sent, subs)) or joined[-1]
+        got = more.fan_out(spark, str(tmp_path)).collect()
+    finally:
+        jobs.fan_out = whole
+    assert joined[0].count() == 1000 and {r.messages for r in got} == {1_000_000} and len(got) == 1000
