@@ -30,6 +30,18 @@ def in_range(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str
     return points.withColumn("_pb", number(F.col(at))).join(spread, (F.col("_pb") == F.col("_bucket")) & inside, how).drop("_pb", "_bucket")
 
 
+def merged(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """key, start, end of the disjoint ranges that cover the days of each key's ranges; a null end is open, ranges without a
+    start hold no day. So a day lies in at most one range of a key."""
+    far = F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))
+    real = ranges.filter(F.col(start).isNotNull()).withColumn("_e", far).filter(F.col(start) <= F.col("_e"))
+    w = Window.partitionBy(key).orderBy(start, "_e")
+    before = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = real.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    open_end = F.when(F.bool_or(F.col(end).isNull()), F.lit(None).cast("date")).otherwise(F.max("_e"))
+    return runs.groupBy(key, "_run").agg(F.min(start).alias(start), open_end.alias("_last")).select(key, start, F.col("_last").alias(end))
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in `order` (J9, J10, W3): one sort within the key, pre-aggregation isn't possible for rows."""
     w = Window.partitionBy(*keys).orderBy(*order)

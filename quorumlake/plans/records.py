@@ -103,13 +103,19 @@ def dissent_flags(s, d):
       WHERE c.vote_id = due.vote_id AND c.politician_id = due.politician_id)""",
 )
 def absent(s, d):
-    """Ballots, and an absence for everyone in office on the day who cast none."""
+    """Ballots, and an absence for everyone in office on the day who cast none.
+
+    Absences grow with questions x members, so no join or shuffle holds them: who is in office is found once a day, what each
+    has voted on that day is set beside it, and the day's other questions are unfolded last."""
     q = questions(s, d).select(F.col("id").alias("vote_id"), "date")
-    due = joins.in_range(q, members(s, d).select("politician_id", "start_date", "end_date"), "date", "start_date", "end_date")
-    due = due.select("vote_id", "politician_id").distinct()
     cast = ballots(s, d).select(F.col("votequestion_id").alias("vote_id"), "politician_id", "vote").distinct()
-    missing = due.join(cast, ["vote_id", "politician_id"], "left_anti").withColumn("vote", F.lit("A"))
-    return cast.unionByName(missing)
+    asked = q.groupBy("date").agg(F.collect_list(F.struct("vote_id")).alias("asked"))  # the questions of one day
+    voted = cast.join(q, "vote_id").groupBy("date", "politician_id").agg(F.collect_set(F.struct("vote_id")).alias("voted"))
+    held = joins.merged(members(s, d).select("politician_id", "start_date", "end_date"), "politician_id", "start_date", "end_date")
+    due = joins.in_range(asked.select("date"), held, "date", "start_date", "end_date", bucket_days=31).select("date", "politician_id")
+    left = due.join(voted, ["date", "politician_id"], "left").join(asked, "date")
+    left = left.select("politician_id", F.explode(F.when(F.col("voted").isNull(), F.col("asked")).otherwise(F.array_except("asked", "voted"))).alias("q"))
+    return cast.unionByName(left.select("q.vote_id", "politician_id", F.lit("A").alias("vote")))
 
 
 @query(

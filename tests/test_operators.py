@@ -230,3 +230,38 @@ def test_fan_out_counts_without_making_messages(spark, tmp_path):
     finally:
         jobs.fan_out = whole
     assert joined[0].count() == 1000 and {r.messages for r in got} == {1_000_000} and len(got) == 1000
+
+
+def test_absences_are_never_shuffled(spark, tmp_path):
+    from datetime import date, timedelta
+
+    from quorumlake.plans import records
+
+    day = lambda k: date(2020, 1, 1) + timedelta(k)
+    asked = [(k, day(k % 50)) for k in range(500)] + [(900, None), (3, day(3))]
+    held = [(k, k, day(0), None) for k in range(100)]
+    held += [(200, 100, day(3), day(5)), (201, 100, day(5), day(6)), (202, 100, day(8), day(8)), (203, 100, day(9), day(7)), (204, 101, None, None), (205, None, day(49), None), (206, 100, day(4), day(4))]
+    ballots = [(k, k % 500, None, k % 103, "Y", False) for k in range(2000)] + [(5000, 3, None, None, "N", False), (5001, None, None, 4, "N", False)]
+    for name, rows, cols in (
+        ("vote_question", asked, "id long, date date"), ("elected_member", held, "id long, politician_id long, start_date date, end_date date"),
+        ("member_vote", [(*b, None) for b in ballots], "id long, votequestion_id long, member_id long, politician_id long, vote string, dissent boolean, recorded_at timestamp_ntz"),
+    ):
+        spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = records.absent(spark, str(tmp_path))
+    rows = [tuple(r) for r in got.collect()]
+    cast = {(q, p, v) for _, q, _, p, v, _ in ballots}
+    voted = {(q, p) for q, p, _ in cast if q is not None and p is not None}
+    due = {(q, p) for q, t in asked if t for _, p, a, b in held if a and a <= t and (b is None or t <= b)}
+    assert len(rows) == len(set(rows)) and set(rows) == cast | {(q, p, "A") for q, p in due - voted}
+    nodes, sent = [got._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        x = nodes.pop()
+        if x.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(x.executedPlan())
+        elif "QueryStage" in x.nodeName():
+            rows_of = x.getRuntimeStatistics().rowCount() if "Shuffle" in x.nodeName() else None
+            sent += [int(str(rows_of.get()))] if rows_of is not None and rows_of.isDefined() else []
+            nodes.append(x.plan())
+        else:
+            nodes += [x.children().apply(i) for i in range(x.children().size())]
+    assert sent and max(sent) < 10_000 < len(rows)
