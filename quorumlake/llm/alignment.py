@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +39,13 @@ _SPACE = r"[\s\u00a0\u202f]"
 _FRONT = r"\(?(?:\d{1,4}|[A-Za-z]|[ivxIVX]{1,5})"
 # Every pattern begins with a character that is seldom there; what must stand before it is looked at afterwards.
 _STEPS = (
-    (r"<[^>]*>|\r", "\n"),
+    (r"<[^>]*>", "\n"),
     (r"[ ,\u00a0\u202f](?=\d{3}(?!\d))(?<=(?<!\d)\d{1,3}.)", ""),
     (r",(?=\d)(?<=\d,)", "."),
     (rf"(^|\n{_SPACE}*|[.?!]{_SPACE}+)({_FRONT}[.)]*\.)[ \t\u00a0]+(?=\S)", "$1$2\u0001"),
     (rf"([.?!]){_SPACE}+", "$1\n"),
     (rf"\n{_SPACE}*", "\n"),
-    (rf"(^|\n)(?:{_FRONT}[.)]+[ \u0001\u00a0]+|\d{{1,4}} +(?=[A-ZÀ-ÖØ-Þ]))", "$1"),
+    (rf"(?dm)^(?:{_FRONT}[.)]+[ \u0001\u00a0]+|\d{{1,4}} +(?=[A-ZÀ-ÖØ-Þ]))", ""),
 )
 _EDGE = " \t\n\r\u00a0\u202f"
 
@@ -51,18 +53,22 @@ _EDGE = " \t\n\r\u00a0\u202f"
 def sentence_words(text: Column) -> Column:
     """The sentences of a text in order, one per line, as lower-case words and figures between blanks; a sentence without any
     word is a line with a blank. Null gives null, a text without sentences ''."""
-    text = F.btrim(text, F.lit(_EDGE))
+    text = F.replace(F.btrim(text, F.lit(_EDGE)), F.lit("\r"), F.lit("\n"))
     for k, (pattern, by) in enumerate(_STEPS):
         text = F.regexp_replace(text, pattern, by)
         if k in (2, 5):
             text = F.btrim(text, F.lit(_EDGE))
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\d.:\n ]+|[.:](?!\d)|[.:](?<!\d.)", " ")
+    return F.regexp_replace(F.lower(text), r"[[^ a-z]&&[^\p{L}\d.:\n ]]+|[.:](?:(?!\d)|(?<!\d.))", " ")
+
+
+#: Quotients of like lengths: their logarithm is less than a quarter.
+_LIKE = math.exp(-0.25), math.exp(0.25)
 
 
 def by_length(a: list[int], b: list[int], ratio: float) -> list[tuple[int, int, int, int]]:
     """Beads (i, di, j, dj) of the cheapest length alignment: sentence lengths are expected in proportion `ratio`."""
     n, m = len(a), len(b)
-    if n == m and all(abs(math.log((y + 4.0) / (x * ratio + 4.0))) < 0.25 for x, y in zip(a, b)):
+    if n == m and all(_LIKE[0] < (y + 4.0) / (x * ratio + 4.0) < _LIKE[1] for x, y in zip(a, b)):
         return [(i, 1, i, 1) for i in range(n)]  # no other path can be cheaper by more than it differs
     inf = 1e18
     # Logarithms of all single and double sentences, so the inner loop only subtracts.
@@ -113,10 +119,9 @@ def _pair(x: str, y: str) -> str:
     stands on one side only."""
     u, v = set(x.split()), set(y.split())
     same = u & v
-    u -= same
-    v -= same
-    if u and v and min(u) > ":" and min(v) > ":":
-        return " ".join(sorted(u)) + "\t" + " ".join(sorted(v))
+    left, right = sorted(u - same), sorted(v - same)
+    if left and right and left[0] > ":" and right[0] > ":":
+        return " ".join(left) + "\t" + " ".join(right)
     return ""
 
 
@@ -177,14 +182,14 @@ class Lexicon:
         """(words with weights, their sum, what the other language may show for them)."""
         out, total = [], 0.0
         shown: dict[str, float] = {}
-        get, have = self.words[lang].get, shown.get
+        get = self.words[lang].get
         for t in words:
             w, known = get(t, _STRANGE)
             if w:
                 out.append((t, w))
                 total += w
                 for k, p in known:
-                    if p > have(k, 0.0):
+                    if k not in shown or p > shown[k]:
                         shown[k] = p
                 shown[t] = 1.0  # figures, names, and words that both languages share
         return out, total or 1.0, shown
@@ -228,6 +233,22 @@ def _cover(words: list[tuple[str, float]], total: float, shown: dict[str, float]
     return got / total
 
 
+def _covers(a: list, b: list) -> list[list[float]]:
+    """`_cover` of each of a by each of b."""
+    shown = [y[2] for y in b]
+    out = []
+    for words, total, _ in a:
+        row = []
+        for z in shown:
+            got = 0.0
+            for t, w in words:
+                if t in z:
+                    got += w * z[t]
+            row.append(got / total)
+        out.append(row)
+    return out
+
+
 def _both(x: dict[str, float], y: dict[str, float]) -> dict[str, float]:
     out = dict(x)
     for k, v in y.items():
@@ -239,8 +260,8 @@ def _both(x: dict[str, float], y: dict[str, float]) -> dict[str, float]:
 def by_words(a: list, b: list) -> set[tuple[int, int]]:
     """Pairs (i, j) of sentences that translate each other; a and b as of `Lexicon.side`."""
     n, m = len(a), len(b)
-    ce = [[_cover(x[0], x[1], y[2]) for y in b] for x in a]  # how much of the English sentence the French one shows
-    cf = [[_cover(y[0], y[1], x[2]) for y in b] for x in a]
+    ce = _covers(a, b)  # how much of the English sentence the French one shows
+    cf = list(zip(*_covers(b, a)))
     one = [[(ce[i][j] + cf[i][j]) / 2 for j in range(m)] for i in range(n)]
     if n == m == 1:
         return {(0, 0)} if one[0][0] >= ACCEPT * 0.8 else set()
@@ -248,46 +269,36 @@ def by_words(a: list, b: list) -> set[tuple[int, int]]:
     best = [[neg] * (m + 1) for _ in range(n + 1)]
     back: list[list[tuple[int, int]]] = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
     best[0][0] = 0.0
-    merged: dict[tuple[int, int, str], float] = {}
-
-    def two(i: int, j: int, side: str) -> float:
-        """Score of two sentences of one side against one of the other."""
-        key = (i, j, side)
-        if key not in merged:
-            if side == "e":
-                part = min(ce[i][j], ce[i + 1][j])
-                got = 0.0
-                if part >= 0.45:
-                    got = (_cover(b[j][0], b[j][1], _both(a[i][2], a[i + 1][2])) + (ce[i][j] + ce[i + 1][j]) / 2) / 2
-            else:
-                part = min(cf[i][j], cf[i][j + 1])
-                got = 0.0
-                if part >= 0.45:
-                    got = (_cover(a[i][0], a[i][1], _both(b[j][2], b[j + 1][2])) + (cf[i][j] + cf[i][j + 1]) / 2) / 2
-            merged[key] = got
-        return merged[key]
-
     for i in range(n + 1):
+        row, steps = best[i], back[i]
+        if i == n:
+            for j in range(m):
+                if row[j] > row[j + 1]:
+                    row[j + 1], steps[j + 1] = row[j], (0, 1)
+            break
+        below, under = best[i + 1], back[i + 1]
+        ones, e0, f0 = one[i], ce[i], cf[i]
+        e1 = ce[i + 1] if i + 1 < n else None
         for j in range(m + 1):
-            c = best[i][j]
-            if c == neg:
-                continue
-            if i < n and c > best[i + 1][j]:
-                best[i + 1][j], back[i + 1][j] = c, (1, 0)
-            if j < m and c > best[i][j + 1]:
-                best[i][j + 1], back[i][j + 1] = c, (0, 1)
-            if i < n and j < m:
-                g = one[i][j] - ACCEPT
-                if g > 0 and c + g > best[i + 1][j + 1]:
-                    best[i + 1][j + 1], back[i + 1][j + 1] = c + g, (1, 1)
-                if i + 1 < n:
-                    g = 1.6 * (two(i, j, "e") - ACCEPT)
-                    if g > 0 and c + g > best[i + 2][j + 1]:
-                        best[i + 2][j + 1], back[i + 2][j + 1] = c + g, (2, 1)
-                if j + 1 < m:
-                    g = 1.6 * (two(i, j, "f") - ACCEPT)
-                    if g > 0 and c + g > best[i + 1][j + 2]:
-                        best[i + 1][j + 2], back[i + 1][j + 2] = c + g, (1, 2)
+            c = row[j]
+            if c > below[j]:
+                below[j], under[j] = c, (1, 0)
+            if j == m:
+                break
+            if c > row[j + 1]:
+                row[j + 1], steps[j + 1] = c, (0, 1)
+            g = ones[j] - ACCEPT
+            if g > 0 and c + g > below[j + 1]:
+                below[j + 1], under[j + 1] = c + g, (1, 1)
+            # Two sentences of one side against one of the other, of which each shows a good part.
+            if e1 is not None and e0[j] >= 0.45 and e1[j] >= 0.45:
+                g = 1.6 * ((_cover(b[j][0], b[j][1], _both(a[i][2], a[i + 1][2])) + (e0[j] + e1[j]) / 2) / 2 - ACCEPT)
+                if g > 0 and c + g > best[i + 2][j + 1]:
+                    best[i + 2][j + 1], back[i + 2][j + 1] = c + g, (2, 1)
+            if j + 1 < m and f0[j] >= 0.45 and f0[j + 1] >= 0.45:
+                g = 1.6 * ((_cover(a[i][0], a[i][1], _both(b[j][2], b[j + 1][2])) + (f0[j] + f0[j + 1]) / 2) / 2 - ACCEPT)
+                if g > 0 and c + g > below[j + 2]:
+                    below[j + 2], under[j + 2] = c + g, (1, 2)
     out: set[tuple[int, int]] = set()
     i, j = n, m
     while i or j:
@@ -318,48 +329,79 @@ def by_words(a: list, b: list) -> set[tuple[int, int]]:
     return out
 
 
-def _expected(keys: np.ndarray | None, pf: np.ndarray | None, pe: np.ndarray | None, width: int):
+#: Word pairs of two vocabularies up to which a task holds the place of each in the table; and cells that are looked at at once.
+PLACES, CELLS = 1 << 24, 400_000
+
+
+def _expected(keys: np.ndarray | None, pf: np.ndarray | None, pe: np.ndarray | None, height: int, width: int):
     """A pass that sums the expected counts of word pairs under a table (sorted keys e * width + f; None: all alike)."""
 
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        size, room = 0, height * width if keys is None else len(keys)
+        place = sums = None
+        if keys is not None and height * width <= PLACES:
+            place = np.full(height * width, -1, dtype=np.int64)
+            place[keys] = np.arange(len(keys))
+
+        def told(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"key": k if keys is None else keys[k], "cf": a, "ce": b})
 
-        def summed() -> pd.DataFrame:
+        def summed() -> pa.RecordBatch:
             k, a, b = (np.concatenate(x) for x in zip(*held))
             u, inv = np.unique(k, return_inverse=True)
-            return pd.DataFrame({"key": u, "cf": np.bincount(inv, a), "ce": np.bincount(inv, b)})
-
-        for whole in rows:
-            for lo in range(0, len(whole), 2000):
-                pdf = whole.iloc[lo : lo + 2000]
-                ne, nf = pdf["e"].map(len).to_numpy(), pdf["f"].map(len).to_numpy()
-                e, f = np.concatenate(pdf["e"].to_list()), np.concatenate(pdf["f"].to_list())
+            return told(u, np.bincount(inv, a), np.bincount(inv, b))
+
+        for batch in batches:
+            lists = [batch.column(c) for c in ("e", "f")]
+            each = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+            words = [x.flatten().to_numpy().astype(np.int64) for x in lists]
+            ends = [np.concatenate(([0], np.cumsum(n))) for n in each]
+            weight, cells = batch.column("w").to_numpy(), np.cumsum(each[0] * each[1])
+            lo = 0
+            while lo < len(cells):
+                hi = max(lo + 1, int(np.searchsorted(cells, (cells[lo - 1] if lo else 0) + CELLS, side="right")))
+                ne, nf, w = each[0][lo:hi], each[1][lo:hi], weight[lo:hi]
+                e, f = (words[i][ends[i][lo] : ends[i][hi]] for i in (0, 1))
+                lo = hi
                 # One cell per word pair of a sentence pair: word slots ie, jf, of which several make one sum.
                 per = np.repeat(nf, ne)
-                ie = np.repeat(np.arange(len(e)), per)
-                first = np.repeat(np.cumsum(nf) - nf, ne)
-                jf = np.repeat(first - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
-                key = e[ie].astype(np.int64) * width + f[jf]
-                w = np.repeat(pdf["w"].to_numpy(), ne)[ie]
-                if keys is None:
-                    a = b = np.ones(len(key))
+                jf = np.repeat(np.repeat(np.cumsum(nf) - nf, ne) - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+                at = np.repeat(e * width, per) + f[jf]
+                if keys is None:  # each word of the other side gets the same share
+                    ca, cb = np.repeat(w * (1.0 / ne), ne * nf), np.repeat(w * (1.0 / nf), ne * nf)
                 elif len(keys):
-                    pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[pos] == key
-                    a, b = np.where(hit, pf[pos], 0.0), np.where(hit, pe[pos], 0.0)
+                    if place is not None:
+                        at = place[at]
+                        hit = np.flatnonzero(at >= 0)
+                        at = at[hit]
+                    else:
+                        pos = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+                        hit = np.flatnonzero(keys[pos] == at)
+                        at = pos[hit]
+                    if not len(hit):
+                        continue
+                    jf, ie = jf[hit], np.repeat(np.arange(len(e)), per)[hit]
+                    a, b = pf[at], pe[at]
+                    # The weight of a pair over the sum of a word's row or column, by word; none where the sum is nothing.
+                    sa, sb = np.bincount(jf, a, len(f)), np.bincount(ie, b, len(e))
+                    ca = a * np.divide(np.repeat(w, nf), sa, out=np.zeros_like(sa), where=sa > 0)[jf]
+                    cb = b * np.divide(np.repeat(w, ne), sb, out=np.zeros_like(sb), where=sb > 0)[ie]
                 else:
                     continue
-                sa, sb = np.bincount(jf, a, len(f))[jf], np.bincount(ie, b, len(e))[ie]
-                ca = w * np.divide(a, sa, out=np.zeros_like(a), where=sa > 0)
-                cb = w * np.divide(b, sb, out=np.zeros_like(b), where=sb > 0)
-                some = (ca > 0) | (cb > 0)
-                u, inv = np.unique(key[some], return_inverse=True)
-                held.append((u, np.bincount(inv, ca[some], len(u)), np.bincount(inv, cb[some], len(u))))
+                if room <= 4 * CELLS:  # few enough word pairs to sum at their places
+                    got = np.bincount(at, ca, room), np.bincount(at, cb, room)
+                    sums = got if sums is None else (sums[0] + got[0], sums[1] + got[1])
+                    continue
+                u, inv = np.unique(at, return_inverse=True)
+                held.append((u, np.bincount(inv, ca, len(u)), np.bincount(inv, cb, len(u))))
                 size += len(u)
                 if size > 3_000_000:
                     yield summed()
                     held, size = [], 0
+        if sums is not None:
+            some = np.flatnonzero((sums[0] > 0) | (sums[1] > 0))
+            yield told(some, sums[0][some], sums[1][some])
         if held:
             yield summed()
 
@@ -374,35 +416,40 @@ def train_lexicon(pairs: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     stock phrases don't drown the rest. In an input of more than `PAIRS` pairs numbers are first brought to those of so many,
     and what is then below one counts as it is: chance pairs, of which there are ever new ones, would otherwise outweigh the
     phrases as the input grows."""
-    occ = pairs.select(
-        F.explode(F.concat(
-            F.transform(F.split("en", " "), lambda x: F.struct(F.lit("e").alias("s"), x.alias("w"))),
-            F.transform(F.split("fr", " "), lambda x: F.struct(F.lit("f").alias("s"), x.alias("w"))),
-        )).alias("o"), "n",
-    ).filter("o.w <> ''").groupBy("o.s", "o.w").agg(F.sum("n").alias("n"))
+    said = lambda s, c: pairs.select(F.lit(s).alias("s"), F.explode(F.split(c, " ")).alias("w"), "n")
+    occ = said("e", "en").unionByName(said("f", "fr")).filter("w <> ''").groupBy("s", "w").agg(F.sum("n").alias("n"))
     occ = written(occ, "p2-words")
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # The words in the table, the same however large the rest of the input is: every task holds at most 2 / KEEP entries of each.
     known = occ.filter(F.col("n") >= LEAST)
     scale = F.log(F.lit(float(max(total, 2))) / F.col("n"))
-    weights = known.select("s", "w", F.least(F.lit(UNKNOWN), F.greatest(F.lit(0.2), scale)).alias("x")).orderBy("s", "w").toPandas()
+    weights = known.select("s", "w", F.least(F.lit(UNKNOWN), F.greatest(F.lit(0.2), scale)).alias("x")).orderBy("s", "w").toArrow().to_pandas()
     # Words that count for nothing aren't trained either.
     vocab = weights[weights["x"] >= STOP]
     es, fs = (vocab.loc[vocab["s"] == s, "w"].tolist() for s in "ef")
-    ids = pairs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(es)}, {w: i for i, w in enumerate(fs)}))
+    ids = pairs.sparkSession.sparkContext.broadcast((es, fs))
 
-    def encode(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ei, fi = ids.value
-        for pdf in rows:
-            out = [([ei[w] for w in en.split() if w in ei], [fi[w] for w in fr.split() if w in fi], n) for en, fr, n in zip(pdf["en"], pdf["fr"], pdf["n"])]
-            yield pd.DataFrame([x for x in out if x[0] and x[1]], columns=["e", "f", "n"])
-
-    coded = pairs.mapInPandas(encode, "e array<int>, f array<int>, n long").groupBy("e", "f").agg((F.sum("n") / max(1.0, total / PAIRS)).alias("w"))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [pa.array(words, type=pa.string()) for words in ids.value]
+        for batch in batches:
+            out = []
+            for c, words in zip(("en", "fr"), known):
+                said = pc.split_pattern(batch.column(c), " ")
+                at = pc.index_in(said.flatten(), value_set=words)
+                # Where each row's words begin once those without a number are left out.
+                before = np.concatenate(([0], np.cumsum(at.is_valid().to_numpy(zero_copy_only=False))))
+                ends = np.concatenate(([0], np.cumsum(said.value_lengths().to_numpy(zero_copy_only=False))))
+                out.append(pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), at.drop_null()))
+            both = pc.and_(pc.greater(out[0].value_lengths(), 0), pc.greater(out[1].value_lengths(), 0))
+            yield pa.RecordBatch.from_arrays([*out, batch.column("n")], ["e", "f", "n"]).filter(both)
+
+    coded = pairs.select("en", "fr", "n").mapInArrow(encode, "e array<int>, f array<int>, n long")
+    coded = coded.groupBy("e", "f").agg((F.sum("n") / max(1.0, total / PAIRS)).alias("w"))
     coded = written(coded.withColumn("w", F.least("w", F.sqrt("w"))), "p2-coded")
-    width = max(1, len(fs))
+    height, width = max(1, len(es)), max(1, len(fs))
     keys = pf = pe = None
     for it in range(ITERATIONS + 1):
-        sums = coded.mapInPandas(_expected(keys, pf, pe, width), "key long, cf double, ce double").groupBy("key").agg(
+        sums = coded.mapInArrow(_expected(keys, pf, pe, height, width), "key long, cf double, ce double").groupBy("key").agg(
             F.sum("cf").alias("cf"), F.sum("ce").alias("ce")
         ).withColumn("e", F.expr(f"key div {width}L")).withColumn("f", F.expr(f"key % {width}L"))
         sums = written(sums, f"p2-em{it}")
@@ -410,7 +457,7 @@ def train_lexicon(pairs: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         keep = KEEP if it == ITERATIONS else PRUNE
         table = (
             sums.join(te, "e").join(tf, "f").select("key", "cf", (F.col("cf") / F.col("te")).alias("pf"), (F.col("ce") / F.col("tf")).alias("pe"))
-            .filter((F.col("pf") >= keep) | (F.col("pe") >= keep)).toPandas().sort_values("key")  # at most 2 / keep per word
+            .filter((F.col("pf") >= keep) | (F.col("pe") >= keep)).toArrow().to_pandas().sort_values("key")  # at most 2 / keep per word
         )
         keys, pf, pe = table["key"].to_numpy(), table["pf"].to_numpy(), table["pe"].to_numpy()
     table = table[table["cf"] >= 0.5]

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,33 @@ def test_lexicon_holds_however_much_chance_there_is(spark, monkeypatch):
     assert least[1] >= least[0] - 0.1, least
 
 
+@pytest.mark.parametrize("places, cells", [(1 << 24, 400_000), (0, 400_000), (1 << 24, 5), (0, 5)])
+def test_expected_counts_are_those_of_the_model(monkeypatch, places, cells):
+    """A pass gives the counts of each word pair, however words are looked up and rows are cut into chunks."""
+    monkeypatch.setattr(alignment, "PLACES", places, raising=False)
+    monkeypatch.setattr(alignment, "CELLS", cells, raising=False)
+    rng = random.Random(5)
+    rows = [([rng.randrange(6) for _ in range(rng.randint(1, 5))], [rng.randrange(7) for _ in range(rng.randint(1, 5))], rng.randint(1, 4) / 2) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"e": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "f": pa.array([r[1] for r in rows], pa.list_(pa.int32())), "w": [r[2] for r in rows]})
+    keys = np.array(sorted(rng.sample(range(42), 20)))
+    for table in (None, {int(k): (rng.random(), rng.random()) for k in keys}):
+        want = {}
+        at = lambda e, f: (1.0, 1.0) if table is None else table.get(e * 7 + f, (0.0, 0.0))
+        for es, fs, w in rows:
+            for e in es:
+                for f in fs:
+                    sa, sb = sum(at(x, f)[0] for x in es), sum(at(e, y)[1] for y in fs)
+                    old = want.get(e * 7 + f, (0.0, 0.0))
+                    want[e * 7 + f] = (old[0] + (w * at(e, f)[0] / sa if sa else 0), old[1] + (w * at(e, f)[1] / sb if sb else 0))
+        args = (None, None, None) if table is None else (keys, *(np.array([table[int(k)][i] for k in keys]) for i in (0, 1)))
+        got = {}
+        for out in alignment._expected(*args, 6, 7)(iter([batch.slice(0, 25), batch.slice(25)])):
+            for k, a, b in zip(*(out.column(c).to_pylist() for c in ("key", "cf", "ce"))):
+                got[k] = (got.get(k, (0, 0))[0] + a, got.get(k, (0, 0))[1] + b)
+        want = {k: v for k, v in want.items() if v[0] or v[1]}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 # --- p3 ----------------------------------------------------------------------------------------------------------------
 
 
